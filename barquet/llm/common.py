@@ -17,16 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which the cluster shares; only where that is unset, as in tests, a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barquet-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

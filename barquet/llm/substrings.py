@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent
 from barquet.llm.common import BASE_B, mixed, rolling
@@ -72,12 +73,16 @@ def _merge_windows(keys: np.ndarray, extra: np.ndarray, kind: int) -> np.ndarray
     return first
 
 
+_KEPT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+
+
 def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Removes each word that a window of ``window`` words covers whose words also start earlier in the corpus.
 
-    docs: doc_id and text; other columns are left out. Earlier is a smaller doc_id, or an earlier
-    start in the same document. Words are runs of characters but ASCII white space. Returns a row
-    per row of docs: doc_id, n_words, n_removed, kept_text (the other words joined by one space).
+    docs: doc_id, text and others, which are carried along. Earlier is a smaller doc_id, or an earlier
+    start in the same document. Words are runs of characters but ASCII white space. Returns the rows
+    of docs and n_words, n_removed, kept_text (the other words joined by one space), in place of
+    columns of these names.
 
     A null or empty text has no words, and its kept_text is empty. Texts of any length are taken
     whole. doc_id should be unique; rows that share one count as one after another in the order of
@@ -86,15 +91,17 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
     if window < 4:
         raise ValueError("a window has 4 words at least")
     k = window // 2
-    dealt, n = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes)
+    docs = docs.drop("n_words", "n_removed", "kept_text", "block").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    dealt, n = in_blocks(docs, block_bytes)
+    slim, schema = dealt.select("block", "doc_id", "text"), T.StructType([*docs.schema, *_KEPT])
     bits = min(64, 38 + (n * block_bytes >> 10).bit_length() - 14)  # chance hits stay rare at any size
-    groups = lambda df: df.groupBy("block")
+    groups, docs_columns = lambda df: df.groupBy("block"), docs.columns
 
     def ask_anchors(block: int, rows: pa.Table):
         _, keys, count, _, _ = _anchor_keys(Block(rows, _split), k, bits)
         yield request(block, 1, keys, count, n)
 
-    anchors = resolve(groups(dealt).applyInArrow(sent(ask_anchors), REQUEST), n, "u1", _merge_anchors)
+    anchors = resolve(groups(slim).applyInArrow(sent(ask_anchors), REQUEST), n, "u1", _merge_anchors)
 
     def ask_windows(key: tuple[pa.Scalar, ...], rows: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(rows, _split)
@@ -104,7 +111,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         extra["rest"], extra["doc"] = second, b.ids[b.doc[at]]
         return pa.Table.from_batches([request(key[0].as_py(), 2, first, extra, n)])
 
-    asked = groups(dealt).cogroup(groups(anchors.repartition(n, "block"))).applyInArrow(ask_windows, REQUEST)
+    asked = groups(slim).cogroup(groups(anchors.repartition(n, "block"))).applyInArrow(ask_windows, REQUEST)
     firsts = resolve(asked, n, _WINDOW, _merge_windows)
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table, got: pa.Table) -> pa.Table:
@@ -122,8 +129,8 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
             out = gone[i:j]
             kept.append(b" ".join([w for w, g in zip(words, out.tolist(), strict=True) if not g] if out.any() else words).decode())
         removed = np.bincount(b.doc, gone, len(b.words)).astype(np.int64)
-        return pa.table({"doc_id": b.rows["doc_id"], "n_words": b.lengths, "n_removed": removed, "kept_text": pa.array(kept, pa.string())})
+        own = {"n_words": pa.array(b.lengths), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())}
+        return pa.table({c: b.rows[c] for c in docs_columns} | own)
 
     both = anchors.unionByName(firsts).repartition(n, "block")
-    return groups(dealt).cogroup(groups(both)).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
-
+    return groups(dealt).cogroup(groups(both)).applyInArrow(keep, schema)
