@@ -92,10 +92,10 @@ def _judge_by_join(located: DataFrame, rules: list[Rule], default: str) -> DataF
     table = table.groupBy("rule_host", "rule_path").agg(F.max_by("rule_verdict", "place").alias("rule_verdict"))
     lengths = F.array(*[F.lit(x) for x in sorted({len(path) for _, path, _, in rules})])
     labels = F.split("host", r"\.")
-    keys = located.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    places = located.select("host", "path").distinct()
+    keys = places.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     keys = keys.withColumn("prefix_length", F.explode(F.filter(lengths, lambda x: x <= F.length("path")))).withColumn("prefix", F.expr("left(path, prefix_length)"))
     hits = keys.join(table, (F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")))
     best = F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), F.struct(F.length("rule_host"), F.length("rule_path")))
-    found = hits.groupBy("page_id", "host", "path").agg(best.alias("found"))
-    out = located.join(found, located.page_id.eqNullSafe(found.page_id) & (located.host == found.host) & (located.path == found.path), "left")
-    return out.select(located.page_id, located.host, located.path, "found.rule", F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
+    out = located.join(hits.groupBy("host", "path").agg(best.alias("found")), ["host", "path"], "left")
+    return out.select("page_id", "host", "path", "found.rule", F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
