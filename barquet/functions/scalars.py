@@ -47,12 +47,17 @@ def csv_escape(x: Column | str) -> Column:
     return F.when(_c(x).rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(_c(x), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(_c(x))
 
 
+def utc(ms: Column | str) -> Column:
+    """The UTC time of day of ms since 1970, as a timestamp without time zone: the session's zone doesn't matter."""
+    return F.timestamp_add("MILLISECOND", _c(ms), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def iso_day(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_c(ms)), "yyyy-MM-dd")
+    return F.date_format(utc(ms), "yyyy-MM-dd")
 
 
 def utc_time(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_c(ms)), "yyyy-MM-dd HH:mm:ss 'UTC'")
+    return F.date_format(utc(ms), "yyyy-MM-dd HH:mm:ss 'UTC'")
 
 
 def midnight(ms: Column | str, days_before: int = 0) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.functions.scalars import csv_escape, fixed, iso_day, quantity_text, strip_quote, utc_time
+from barquet.functions.scalars import csv_escape, fixed, iso_day, quantity_text, strip_quote, utc, utc_time
 
 #: Header lines of the dialects.
 HEADERS = {
@@ -22,7 +22,7 @@ def tax_rows(transactions: DataFrame, gains: DataFrame, year: int | None = None)
         F.col("sell_date").alias("date"), F.lit("sell").alias("type"), "symbol", "quantity", F.try_divide("proceeds", "quantity").alias("price"), F.lit(0.0).alias("fee"), F.concat_ws("-", "sell_seq", "buy_seq").alias("seq"), "proceeds", "cost_basis", "gain", "holding_period"
     )
     rows = buys.unionByName(sells, allowMissingColumns=True)
-    return rows if year is None else rows.where(F.year(F.timestamp_millis("date")) == year)
+    return rows if year is None else rows.where(F.year(utc("date")) == year)
 
 
 def _line(*fields: Column) -> Column:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barquet.functions.scalars import utc
+
 #: Sums of percentages are taken over decimals, so that they don't depend on the order of rows.
 EXACT = "decimal(28,8)"
 
@@ -122,7 +124,7 @@ def by_action(entries: DataFrame) -> DataFrame:
 
 
 def by_month(entries: DataFrame) -> DataFrame:
-    month = F.date_format(F.timestamp_millis(F.col("created_at")), "yyyy-MM")
+    month = F.date_format(utc("created_at"), "yyyy-MM")
     return entries.where("pnl is not null").groupBy(month.alias("month")).agg(_sum(F.col("pnl")).alias("pnl"), F.count("*").alias("trades"))
 
 

@@ -54,7 +54,7 @@ add("journal_csv", lambda s, d: export.journal_csv(t.journal(s, d)))
 
 def _patterns(s, d):
     j = t.journal(s, d)
-    months = j.where("pnl is not null").groupBy("user_id", F.date_format(F.timestamp_millis("created_at"), "yyyy-MM").alias("month")).agg(F.sum(F.col("pnl").cast(t.EXACT)).cast("double").alias("pnl"), F.count("*").alias("trades"))
+    months = j.where("pnl is not null").groupBy("user_id", F.date_format(scalars.utc("created_at"), "yyyy-MM").alias("month")).agg(F.sum(F.col("pnl").cast(t.EXACT)).cast("double").alias("pnl"), F.count("*").alias("trades"))
     return journal.patterns(journal.summary(j, ["user_id"]), months).select("user_id", F.explode("patterns").alias("pattern"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from barquet.config import INTERVAL_MS
 from barquet.operators.bars import upsert
 from barquet.operators.limiter import Limiter
+from barquet.sources.tables import epoch_ms
 
 DELAY = "10 minutes"
 
@@ -53,7 +54,7 @@ def latest(ticks: DataFrame) -> DataFrame:
 
 def once_per_day(rows: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """The first row of each key and day; a repeated run of a day adds nothing."""
-    return rows.withColumn("day", F.to_date("ts")).withWatermark("ts", delay).dropDuplicates([*keys, "day"])
+    return rows.withColumn("day", F.date_from_unix_date(F.floor(F.unix_millis("ts") / 86_400_000).cast("int"))).withWatermark("ts", delay).dropDuplicates([*keys, "day"])
 
 
 class _LimitState(StatefulProcessor):
@@ -114,7 +115,7 @@ def read_ticks(spark: SparkSession, sf_dir: str, symbol: Column | None = None, f
     """The events table as a stream of ticks."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    return raw.select((F.col("event_type") if symbol is None else symbol).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), "user_id")
+    return raw.select((F.col("event_type") if symbol is None else symbol).alias("symbol"), F.timestamp_millis(epoch_ms("ts")).alias("ts"), "event_id", F.col("value").alias("price"), "user_id")
 
 
 def alerts(ticks: DataFrame, levels: DataFrame) -> DataFrame:
