@@ -30,14 +30,15 @@ class Indicators:
     stoch: tuple[int, int, int, int] = (14, 14, 3, 3)
     williams: int = 14
     ichimoku: tuple[int, int, int] = (9, 26, 52)
+    displacement: int = 26
     mfi: int = 14
     volume: int = 20
     supertrend: tuple[int, float] = (10, 3.0)
 
     @property
     def min_candles(self) -> int:
-        """Bars that a full suite asks for: the longest period and ten more."""
-        return max(*self.ema, *self.sma, self.rsi, *self.macd, self.bollinger[0], self.atr, *self.stoch, self.williams, *self.ichimoku, self.mfi) + 10
+        """Bars that a full suite asks for: the longest period, a displaced cloud included, and ten more."""
+        return max(*self.ema, *self.sma, self.rsi, *self.macd, self.bollinger[0], self.atr, *self.stoch, self.williams, self.ichimoku[2] + self.displacement, self.mfi) + 10
 
 
 @dataclass(frozen=True)
