@@ -25,6 +25,11 @@ def signal(name: str, value: Column, *cases: tuple[Column, str, Column | float],
     return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), direction.alias("direction"), clamp(strength, 0, 100).alias("strength"))
 
 
+def describe(s: Column) -> Column:
+    """A signal in words: its name, direction and value."""
+    return F.format_string("%s %s at %.2f", s["name"], s["direction"], s["value"])
+
+
 def ema_cross(fast: Column, slow: Column, close: Column) -> Column:
     """Twenty points for each percent between the means; three fifths if the price disagrees."""
     spread = F.try_divide(fast - slow, slow) * 100

@@ -77,3 +77,20 @@ def in_list(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
 def top_by(rows: DataFrame, measure: str, n: int, suffix: str = "") -> DataFrame:
     """The n symbols with the largest measure that end in ``suffix``; NaN and null take no part, ties go by name."""
     return rows.where(F.endswith("symbol", F.lit(suffix)) & F.col(measure).isNotNull() & ~F.isnan(measure)).orderBy(F.desc(measure), "symbol").limit(n)
+
+
+def live(signals: DataFrame, ttl_days: dict[str, int], now: int) -> DataFrame:
+    """Signals (style, ts in ms) that have not expired; of an unknown style none has a time to live."""
+    days = F.create_map(*[F.lit(x) for kv in ttl_days.items() for x in kv])[F.col("style")]
+    return signals.where(F.col("ts") + days.cast("long") * 86_400_000 > now)
+
+
+def stats(rows: DataFrame, key: str) -> DataFrame:
+    """One row: total, oldest and newest ts, and counts, a map with an entry per key."""
+    per = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"), F.min("a").alias("oldest"), F.max("z").alias("newest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
+
+
+def filled(rows: DataFrame, known: DataFrame, keys: list[str], value: str, default: float) -> DataFrame:
+    """Rows with the known value of their keys, else the default."""
+    return rows.join(known.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, F.lit(default)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from barquet.config import CATEGORIES, ROBUST, WALK_FORWARD, Backtest
 from barquet.operators import backtest
 
+T = TypeVar("T")
 RESULT_KEYS = ["run_id", "symbol", "interval"]
 
 
@@ -162,3 +164,21 @@ def walk_forward(bars: DataFrame, base: dict[str, float], rules: Backtest = Back
     best = best.select("run_id", *keys, "window", "place", "test_start", "test_end", *CATEGORIES, F.col("sharpe_ratio").alias("train_sharpe"))
     tested = measured(best, "test_start", "test_end").select(*RESULT_KEYS, "sharpe_ratio", "sortino_ratio", "win_rate", "total_trades", "total_pnl")
     return best.join(tested, RESULT_KEYS).drop("test_start", "test_end").withColumnRenamed("place", "candidate")
+
+
+def round_robin(styles: list[str], symbols: DataFrame) -> DataFrame:
+    """style and symbol: the symbols (symbol, place from 0) dealt to the styles in turn, each style the one at its own place, beginning anew after the last."""
+    n = symbols.agg(F.count("*").alias("n"))
+    rows = symbols.sparkSession.createDataFrame(list(enumerate(styles)), "at long, style string").join(F.broadcast(n)).where("n > 0")  # one row
+    return rows.join(symbols, F.col("at") % F.col("n") == F.col("place")).select("style", "symbol")
+
+
+def isolated(tasks: dict[str, Callable[[], T]]) -> tuple[dict[str, T], dict[str, str]]:
+    """Runs jobs one after another; what fails is reported by name and doesn't stop the others."""
+    done, failed = {}, {}
+    for name, task in tasks.items():
+        try:
+            done[name] = task()
+        except Exception as e:  # the caller gets them all
+            failed[name] = str(e)
+    return done, failed

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from barquet.config import DEFAULT_WEIGHTS, STYLES, Indicators
 from barquet.functions import interpret, score
-from barquet.operators import bars, kernels
-from barquet.plans.kernel_sql import rolling_cte, score_cte, signals_sql, with_suite, VALS
+from barquet.operators import bars, kernels, overlays
+from barquet.plans.kernel_sql import VALS, W, _ema, _wilder, frame, rolling_cte, score_cte, signals_sql, total, with_suite
 from barquet.sources.tables import candles, candles_sql
 
 DAY = Indicators()
@@ -201,3 +201,33 @@ def _style_scores(spark, d):
 @query("tiers", f"{with_suite(DAY)},\n{score_cte(DEFAULT_WEIGHTS)} SELECT symbol, tier, count(*) AS bars FROM scored GROUP BY 1, 2")
 def _tiers(spark, d):
     return _scored(spark, d).groupBy("symbol", "tier").agg(F.count("*").alias("bars"))
+
+
+_MA = [f"ma_{p}" for p in (5, 10, 30, 60)] + [f"volume_ma_{p}" for p in (5, 10, 20)]
+
+
+@query("chart_means", f"WITH b AS ({candles_sql()}), c AS (SELECT *, row_number() {W} AS n FROM b) SELECT symbol, interval, ts, " + ", ".join(f"CASE WHEN n >= {p} THEN {total('close', p)} / {p} END AS ma_{p}" for p in (5, 10, 30, 60)) + ", " + ", ".join(f"CASE WHEN n >= {p} THEN {total('volume', p)} / {p} END AS volume_ma_{p}" for p in (5, 10, 20)) + " FROM c")
+def _chart_means(spark, d):
+    return overlays.means(candles(spark, d)).select(*BAR, *_MA)
+
+
+_LINES = ["ema_6", "ema_20", "rsi_6", "rsi_24", "kdj_k", "kdj_d", "kdj_j", "sar"]
+
+
+@query(
+    "chart_overlays",
+    f"""WITH RECURSIVE c AS ({candles_sql()}), b AS (SELECT *, CAST(row_number() {W} AS INTEGER) AS n, lag(close) {W} AS before, max(high) {frame(9)} AS hh, min(low) {frame(9)} AS ll, lag(low) {W} AS l1, lag(low, 2) {W} AS l2, lag(high) {W} AS h1, lag(high, 2) {W} AS h2 FROM c),
+r AS (SELECT symbol, interval, ts, n, close AS e6, close AS e20, CAST(0 AS DOUBLE) AS g6, CAST(0 AS DOUBLE) AS x6, CAST(0 AS DOUBLE) AS g24, CAST(0 AS DOUBLE) AS x24, CAST(50 AS DOUBLE) AS k, CAST(50 AS DOUBLE) AS d, TRUE AS up, low AS sar, high AS ext, CAST(0.02 AS DOUBLE) AS sp FROM b WHERE n = 1
+UNION ALL SELECT symbol, interval, ts, n, e6, e20, g6, x6, g24, x24, k1, CASE WHEN n >= 9 THEN (2 * d + k1) / 3 ELSE d END, CASE WHEN hit THEN NOT up ELSE up END, CASE WHEN hit THEN ext ELSE aim END,
+  CASE WHEN hit THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(ext, high) ELSE least(ext, low) END, CASE WHEN hit THEN CAST(0.02 AS DOUBLE) WHEN (up AND high > ext) OR (NOT up AND low < ext) THEN least(sp + 0.02e0, 0.2e0) ELSE sp END
+  FROM (SELECT *, CASE WHEN up THEN low < aim ELSE high > aim END AS hit FROM (SELECT b.symbol, b.interval, b.ts, b.n, b.high, b.low, r.up, r.ext, r.sp, r.d,
+    {_ema(6, "b.close", "b.n", "r.e6")} AS e6, {_ema(20, "b.close", "b.n", "r.e20")} AS e20,
+    {_wilder(6, "greatest(b.close - b.before, 0)", "(b.n - 1)", "r.g6")} AS g6, {_wilder(6, "greatest(b.before - b.close, 0)", "(b.n - 1)", "r.x6")} AS x6, {_wilder(24, "greatest(b.close - b.before, 0)", "(b.n - 1)", "r.g24")} AS g24, {_wilder(24, "greatest(b.before - b.close, 0)", "(b.n - 1)", "r.x24")} AS x24,
+    CASE WHEN b.n >= 9 THEN (2 * r.k + CASE WHEN hh > ll THEN (b.close - ll) / (hh - ll) * 100 ELSE 0 END) / 3 ELSE r.k END AS k1,
+    CASE WHEN r.up THEN least(r.sar + r.sp * (r.ext - r.sar), l1, coalesce(l2, l1)) ELSE greatest(r.sar + r.sp * (r.ext - r.sar), h1, coalesce(h2, h1)) END AS aim
+    FROM r JOIN b ON b.symbol = r.symbol AND b.n = r.n + 1)))
+SELECT symbol, interval, ts, CASE WHEN n >= 6 THEN e6 END AS ema_6, CASE WHEN n >= 20 THEN e20 END AS ema_20, CASE WHEN n > 6 THEN CASE WHEN x6 = 0 THEN 100 ELSE 100 - 100 / (1 + g6 / x6) END END AS rsi_6, CASE WHEN n > 24 THEN CASE WHEN x24 = 0 THEN 100 ELSE 100 - 100 / (1 + g24 / x24) END END AS rsi_24,
+  CASE WHEN n >= 9 THEN k END AS kdj_k, CASE WHEN n >= 9 THEN d END AS kdj_d, CASE WHEN n >= 9 THEN 3 * k - 2 * d END AS kdj_j, CASE WHEN n > 1 THEN sar END AS sar FROM r""",
+)
+def _chart_overlays(spark, d):
+    return overlays.overlays(candles(spark, d)).select(*BAR, *_LINES)

@@ -388,3 +388,37 @@ def _stream_limiter(s, d):
 
 add("stream_rate_limiter", _stream_limiter, SQL["rate_limiter"])
 add("scalar_ages", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.age_text(F.col("p_partkey") * 7000, 14_000_000).alias("age"), scalars.style_interval(F.col("p_brand")).alias("interval")), "SELECT p_partkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' END AS age, '1h' AS interval FROM (SELECT p_partkey, CAST(floor((14000000 - p_partkey * 7000) / 1000) AS BIGINT) AS s FROM part)")
+
+
+# Stored signals, snapshots and pages of them.
+
+
+def _stored(s, d):
+    """One row per bar: the stored signal of a series in a style, alternating by hour."""
+    hour = (F.col("ts") / HOUR).cast("long")
+    return t.candles(s, d).select("symbol", "interval", "ts", F.element_at(F.array(*[F.lit(x) for x in STYLES]), (hour % 4 + 1).cast("int")).alias("style"), "close")
+
+
+STORED = f"st AS (SELECT symbol, interval, ts, [{', '.join(chr(39) + x + chr(39) for x in STYLES)}][CAST(ts // {HOUR} % 4 + 1 AS INTEGER)] AS style, close FROM ({t.candles_sql()}))"
+END = 1_705_276_800_000
+add("signals_live", lambda s, d: joins.live(_stored(s, d), {k: v.ttl_days for k, v in STYLES.items()}, END), f"WITH {STORED} SELECT * FROM st WHERE ts + CASE style WHEN 'scalping' THEN 1 WHEN 'day_trading' THEN 7 WHEN 'swing_trading' THEN 30 ELSE 90 END * CAST(86400000 AS BIGINT) > {END}")
+add("signals_latest_per_style", lambda s, d: joins.newest(_stored(s, d), ["symbol", "style"], "ts"), f"WITH {STORED} SELECT symbol, style, interval, ts, close FROM st QUALIFY row_number() OVER (PARTITION BY symbol, style ORDER BY ts DESC) = 1")
+add("snapshot_stats", lambda s, d: joins.stats(_stored(s, d), "symbol").select("total", "oldest", "newest", F.explode("counts").alias("symbol", "count")), f"WITH {STORED} SELECT (SELECT count(*) FROM st) AS total, (SELECT min(ts) FROM st) AS oldest, (SELECT max(ts) FROM st) AS newest, symbol, count(*) AS count FROM st GROUP BY symbol")
+add("history_with_fallback", lambda s, d: joins.filled(t.candles(s, d, "1d", True).select("ts"), t.candles(s, d, "1d").where("symbol = 'click' and ts % 172800000 = 0").select("ts", F.col("close").alias("price")), ["ts"], "price", 50.0), f"WITH c AS (SELECT ts, close FROM ({t.candles_sql('1d')}) WHERE symbol = 'click' AND ts % 172800000 = 0) SELECT ts, coalesce(c.close, 50) AS price FROM ({t.candles_sql('1d', True)}) LEFT JOIN c USING (ts)")
+add("cursor_json", lambda s, d: t.candles(s, d, "1d").select(F.from_json(F.to_json(F.struct("symbol", "ts", "close")), "symbol string, ts long, close double").alias("j")).select("j.*"), f"SELECT symbol, ts, close FROM ({t.candles_sql('1d')})")
+add("write_split", lambda s, d: sinks.split_valid(t.read(s, d, "customer").select("c_custkey", "c_acctbal"), F.col("c_acctbal") > 0)[1], "SELECT c_custkey, c_acctbal FROM customer WHERE NOT c_acctbal > 0")
+add("round_robin", lambda s, d: optimize.round_robin(list(STYLES), s.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "symbol string, place long")), "SELECT * FROM (VALUES ('scalping', 'A'), ('day_trading', 'B'), ('swing_trading', 'C'), ('position_trading', 'A')) v(style, symbol)")
+
+
+def _live_merge(s, d):
+    """500 bars of history and then the stream: each live bar replaces or extends it by its time."""
+    folder = _folder(s)
+    old = bars.scan(t.candles(s, d).where(F.col("ts") < END), limit=500)
+    old.write.parquet(f"{folder}/rows/v=0")
+    write = jobs.upsert_to(f"{folder}/rows", ["symbol", "interval", "ts"])
+    live = jobs.bars(jobs.read_ticks(s, d), "1h").where(F.col("ts") >= END - 5 * HOUR)
+    jobs.run_available(live, folder, each=lambda df, i: write(df, i + 1), mode="update")
+    return _last_version(s, f"{folder}/rows")
+
+
+add("stream_history_merge", _live_merge, f"WITH c AS ({t.candles_sql()}), h AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM c WHERE ts < {END}) WHERE r <= 500) SELECT * FROM h UNION SELECT * FROM c WHERE ts >= {END - 5 * HOUR}")
