@@ -91,7 +91,8 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
     if window < 4:
         raise ValueError("a window has 4 words at least")
     k = window // 2
-    docs = docs.drop("n_words", "n_removed", "kept_text", "block").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
     dealt, n = in_blocks(docs, block_bytes)
     slim, schema = dealt.select("block", "doc_id", "text"), T.StructType([*docs.schema, *_KEPT])
     bits = min(64, 38 + (n * block_bytes >> 10).bit_length() - 14)  # chance hits stay rare at any size
@@ -133,4 +134,4 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         return pa.table({c: b.rows[c] for c in docs_columns} | own)
 
     both = anchors.unionByName(firsts).repartition(n, "block")
-    return groups(dealt).cogroup(groups(both)).applyInArrow(keep, schema)
+    return groups(dealt).cogroup(groups(both)).applyInArrow(keep, schema).select("doc_id", "text", "others.*", *[f.name for f in _KEPT]).drop("_")

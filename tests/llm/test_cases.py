@@ -173,7 +173,7 @@ def test_repeats(docs, none, window):
 
 def test_repeats_keep_other_columns(docs):
     r = drop_repeats(docs, 20).where("doc_id = 13").first()
-    assert r["shard"] == "clash" and r["text"] == dict(TEXTS)[13]
+    assert r["shard"] == r["block"] == "clash" and r["text"] == dict(TEXTS)[13]
 
 
 def test_repeats_of_shared_ids(spark):

@@ -76,3 +76,20 @@ def test_pipeline_runs(spark):
 
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_pipeline_cases(spark):
+    """Stages take nulls, empty texts, repeated rows, further columns with names that operators use, and empty tables."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i % 37} and{i % 11}" for i in range(300)) + "."
+    rows = [(1, text, "en", "s", len(text)), (1, text, "en", "s", len(text)), (2, text + " end", None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, "some words here, and more.", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("n_words", "kept_text", "row", "block", "ids", "component_id", "label"):
+        docs = docs.selectExpr("*", f"'clash' AS {c}")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        out = stage(spark, docs, SMALL).collect()
+        assert out and all(r["kept_text"] == "clash" for r in out if "kept_text" in r)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, SMALL).collect()]
+    assert sorted(kept, key=str) == [1, 1, 3, 4, None]
