@@ -44,12 +44,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Every row stays; where a text loses words, the others are joined by one space and n_chars follows.
     """
-    kept = drop_repeats(docs, window=40)
+    rest = [c for c in docs.columns if c != "text"]
+    kept = drop_repeats(docs.select("doc_id", "text", F.struct(*rest).alias("row")), window=40)  # the row's names can't clash
     lost = F.col("n_removed") > 0
-    kept = kept.withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(docs.columns)
+    new = {c: F.col("row")[c] for c in rest} | {"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(lost, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return kept.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
