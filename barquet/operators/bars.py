@@ -20,9 +20,10 @@ def align(ts: Column, interval: str) -> Column:
 def rollup(ticks: DataFrame, interval: str) -> DataFrame:
     """Ticks (symbol, ts in ms, event_id, price) to bars; the volume is the count of ticks, and bars without ticks don't exist.
 
-    Map-side aggregation leaves a row per task and bar to shuffle, however many ticks a symbol has.
+    Map-side aggregation leaves a row per task and bar to shuffle, however many ticks a symbol has. Time and id are one
+    decimal, as Spark aggregates by hash only over types of a fixed width; of a struct it would sort all ticks.
     """
-    at = F.struct("ts", "event_id")
+    at = F.col("ts").cast("decimal(19,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
     bars = ticks.withColumn("bar", align(F.col("ts"), interval)).groupBy("symbol", "bar").agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").cast("double").alias("volume")
     )

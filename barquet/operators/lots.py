@@ -37,8 +37,10 @@ def _numbered(transactions: DataFrame, order: list[str]) -> DataFrame:
     out = transactions.where("quantity > 0").withColumns(
         {"seq": F.row_number().over(w), "b": F.sum(F.when(F.col("type") == "buy", q).otherwise(zero)).over(upto), "s": F.sum(F.when(F.col("type") != "buy", q).otherwise(zero)).over(upto)}
     )
+    whole = W.partitionBy("symbol")
     out = out.withColumn("m", F.col("s") - F.greatest(zero, F.max(F.col("s") - F.col("b")).over(upto)))
-    return out.withColumn("m0", F.coalesce(F.lag("m").over(w), zero))
+    mean = F.try_divide(F.max("b").over(whole).cast("double"), F.count_if(F.col("type") == "buy").over(whole).cast("double"))
+    return out.withColumns({"m0": F.coalesce(F.lag("m").over(w), zero), "mean_lot": mean})
 
 
 def fifo_gains(transactions: DataFrame, order: list[str]) -> DataFrame:
@@ -50,13 +52,14 @@ def fifo_gains(transactions: DataFrame, order: list[str]) -> DataFrame:
     """
     rows = _numbered(transactions, order)
     fee = F.coalesce("fee", F.lit(0.0))
-    lots = rows.where("type = 'buy'").select("symbol", F.col("seq").alias("buy_seq"), F.col("date").alias("buy_date"), (F.col("b") - F.col("quantity").cast(QUANTITY)).alias("lo"), F.col("b").alias("hi"), (F.col("price") + fee / F.col("quantity")).alias("unit_cost"))
-    sales = rows.where("type <> 'buy' and m > m0").select("symbol", F.col("seq").alias("sell_seq"), F.col("date").alias("sell_date"), "m0", "m", F.col("price").alias("sell_price"), F.col("quantity").alias("sold"), fee.alias("sell_fee"))
-    size = lots.groupBy("symbol").agg((F.max("hi") / F.count("*")).cast("double").alias("size"))
-    pieces = lambda df, lo, hi: df.join(size, "symbol").withColumn("piece", F.explode(F.sequence(F.floor(F.col(lo).cast("double") / F.col("size")), F.floor(F.col(hi).cast("double") / F.col("size"))))).drop("size")
-    j = pieces(lots, "lo", "hi").join(pieces(sales, "m0", "m"), ["symbol", "piece"]).where("lo < m and m0 < hi")
+    piece = lambda q: F.floor(F.col(q).cast("double") / F.col("mean_lot"))
+    pieces = lambda lo, hi: F.explode(F.sequence(piece(lo), piece(hi)))
+    lots = rows.where("type = 'buy'").withColumns({"lo": F.col("b") - F.col("quantity").cast(QUANTITY), "hi": F.col("b")})
+    lots = lots.select("symbol", pieces("lo", "hi").alias("piece"), F.col("seq").alias("buy_seq"), F.col("date").alias("buy_date"), "lo", "hi", "mean_lot", (F.col("price") + fee / F.col("quantity")).alias("unit_cost"))
+    sales = rows.where("type <> 'buy' and m > m0")
+    sales = sales.select("symbol", pieces("m0", "m").alias("piece"), F.col("seq").alias("sell_seq"), F.col("date").alias("sell_date"), "m0", "m", F.col("price").alias("sell_price"), F.col("quantity").alias("sold"), fee.alias("sell_fee"))
     # A pair may share many pieces; it counts in the first of them.
-    j = j.join(size, "symbol").where(F.col("piece") == F.floor(F.greatest("lo", "m0").cast("double") / F.col("size")))
+    j = lots.join(sales, ["symbol", "piece"]).where("lo < m and m0 < hi").where(F.col("piece") == F.floor(F.greatest("lo", "m0").cast("double") / F.col("mean_lot")))
     q = (F.least("hi", "m") - F.greatest("lo", "m0")).cast("double")
     proceeds = q * F.col("sell_price") - q / F.col("sold") * F.col("sell_fee")
     out = j.select("symbol", "buy_seq", "sell_seq", "buy_date", "sell_date", q.alias("quantity"), proceeds.alias("proceeds"), (q * F.col("unit_cost")).alias("cost_basis"))
