@@ -33,7 +33,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
 
 
 class Block:
-    """The documents of a block in order of doc_id, and the hashes of all their words in one array."""
+    """The documents of a block in order of doc_id, and the hashes of all their words in one array; the words themselves aren't held."""
 
     def __init__(self, rows: pa.Table, split: Callable[[str], list[bytes]]):
         ids = rows["doc_id"].to_pylist()
@@ -41,17 +41,18 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
         self.rows = rows.take(order) if order else rows
         self.ids = np.array([-(1 << 63) if ids[i] is None else ids[i] for i in order], np.int64)
-        self.words = [split(texts[i] or "") for i in order]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(self.lengths)
         cache = WordHashes()
-        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(cache.of(w) for w in self.words)])
-        self.doc = np.repeat(np.arange(len(self.words)), self.lengths)
+        hashes = [cache.of(split(texts[i] or "")) for i in order]
+        del texts
+        self.lengths = np.array([len(h) for h in hashes], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.doc = np.repeat(np.arange(len(hashes), dtype=np.int32), self.lengths)
         self.starts = self.ends - self.lengths
 
     def whole(self, k: int) -> np.ndarray:
         """Whether ``k`` words from each start lie in one document, for the starts that ``rolling`` gives."""
-        at = np.arange(max(0, len(self.hashes) - k + 1))
+        at = np.arange(max(0, len(self.hashes) - k + 1), dtype=np.int32)
         return at + k <= self.ends[self.doc[at]]
 
 

@@ -32,7 +32,7 @@ def _ngrams(b: Block, order: int) -> list[tuple[np.ndarray, ...]]:
 
 def _own(doc: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
     """How often the document at each place has the key at that place."""
-    _, inverse, count = np.unique(doc * np.int64(max(keys, 1)) + key, return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(doc.astype(np.int64) * max(keys, 1) + key, return_inverse=True, return_counts=True)
     return count[inverse]
 
 
@@ -89,7 +89,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_by
             value[last] = np.where(has, rest[m - 1][first] / np.maximum(rest[m - 2][first], 1), alpha * value[last])
             seen[last] = has
         micro = np.where(others > 0, np.rint(1e6 * np.log(value)), 0).astype(np.int64)
-        per = lambda v: np.bincount(b.doc, v, len(b.words)).astype(np.int64)
+        per = lambda v: np.bincount(b.doc, v, len(b.lengths)).astype(np.int64)
         return pa.table({"doc_id": b.rows["doc_id"], "n_words": b.lengths, "n_seen": per(seen & (others > 0)), "score_micro": per(micro)})
 
     return groups(dealt).cogroup(groups(counts.repartition(n, "block"))).applyInArrow(score, "doc_id long, n_words long, n_seen long, score_micro long")

@@ -126,10 +126,10 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         np.add.at(cover, again + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
         kept = []
-        for words, i, j in zip(b.words, b.starts, b.ends, strict=True):
-            out = gone[i:j]
+        for row, (i, j) in enumerate(zip(b.starts, b.ends, strict=True)):
+            words, out = _split(b.rows["text"][row].as_py() or ""), gone[i:j]
             kept.append(b" ".join([w for w, g in zip(words, out.tolist(), strict=True) if not g] if out.any() else words).decode())
-        removed = np.bincount(b.doc, gone, len(b.words)).astype(np.int64)
+        removed = np.bincount(b.doc, gone, len(b.lengths)).astype(np.int64)
         own = {"n_words": pa.array(b.lengths), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())}
         return pa.table({c: b.rows[c] for c in docs_columns} | own)
 
