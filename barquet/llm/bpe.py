@@ -1,25 +1,37 @@
 """Byte-level BPE through a distinct-word table, and decoding through an id-to-piece join.
 
 A byte-level tokenizer never merges across the words of its splitting pattern, so a word has the
-same ids wherever it stands. Documents are dealt into blocks; each block sends its distinct words,
-which meet in a table sorted by word: there every distinct word is encoded once. The ids go back
-to the blocks that asked, and are joined to each document by word position. Decoding joins ids to
+same ids wherever it stands. Tasks cut their documents into chunks of bounded size and split each text
+once. Of a chunk two things go on: its documents as numbers of words, most used words first, and its
+distinct words, each to the bucket of its hash. A bucket is a part of the table of distinct words: there
+every word of the corpus is encoded once. The ids go back to the chunks, and are joined to each
+document by word position. Texts themselves aren't shuffled. Decoding joins ids to
 the vocabulary's pieces, a table whose size the tokenizer fixes, and puts the pieces in order.
 """
 
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barquet.llm.blocks import BLOCK_BYTES, in_blocks
+from barquet.llm.blocks import BLOCK_BYTES
+from barquet.llm.common import slices
+
+CHUNK_BYTES = 4 << 20
+#: Rows that a chunk sends: its documents (kind 0), and its distinct words of a bucket (kind 1).
+_SENT = "target int, kind int, chunk long, bucket int, docs array<bigint>, sizes array<int>, data binary, more binary"
+_ENCODED = "target int, chunk long, bucket int, data binary, more binary"
 
 #: Fixed value: the public pattern by which byte-level tokenizers of this kind split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +58,12 @@ def _tokenizer(spec: str) -> Tokenizer:
     return t
 
 
+@cache
+def _cached_tokenizer(spec: str) -> Tokenizer:
+    """One per worker and specification."""
+    return _tokenizer(spec)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file at ``path`` on the driver, as text, to be sent with the tasks; a few MB whatever the data."""
     with open(path, encoding="utf-8") as f:
@@ -56,60 +74,123 @@ def read_tokenizer(path: str) -> str:
     return json.dumps(spec)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers as compressed byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+class _Chunk:
+    """Documents of a task, as numbers of words in order of first use."""
+
+    def __init__(self):
+        self.docs, self.codes, self.bytes, self.number = [], [], 0, {}
+
+    def add(self, doc_id: int | None, text: str, words: list[str]) -> None:
+        number = self.number
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+        self.docs.append(doc_id)
+        self.codes.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+        self.bytes += len(text)
+
+    def rows(self, chunk: int, buckets: int) -> pa.RecordBatch:
+        """A row of kind 0, and one of kind 1 per bucket; words are in order of use, most used first."""
+        codes = np.concatenate([np.zeros(0, np.uint32), *self.codes])
+        words = list(self.number)
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        encoded = [words[i].encode() for i in order]
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in encoded), np.uint32, len(encoded))
+        home = chunk % buckets
+        out = [(home, 0, chunk, None, self.docs, [len(c) for c in self.codes], _packed(rank[codes]), _packed(bucket))]
+        at = np.argsort(bucket, kind="stable")
+        for part in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
+            own = [encoded[i] for i in part]
+            b = int(bucket[part[0]])
+            out.append((b, 1, chunk, b, None, None, zstandard.compress(b"".join(own), 3), _packed(np.array([len(w) for w in own]))))
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["target", "kind", "chunk", "bucket", "docs", "sizes", "data", "more"])
+
+
+def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Token ids of every whole text: a row (doc_id, ids array<int>) per row of docs.
 
     docs: doc_id and text; other columns are left out. A null or empty text has no ids. Special
     tokens are not added; where their strings stand in a text they are encoded as themselves.
-    Repeated rows are encoded each; rows with one doc_id share a block. An empty table gives an
-    empty one. path: a byte-level tokenizer file on the driver.
+    Repeated rows are encoded each. An empty table gives an empty one. path: a byte-level
+    tokenizer file on the driver. part_bytes: text for each part of the table and of the result.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_tokenizer(path))
-    dealt, n = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes)
-
-    def distinct_words(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        split = _splitter(spec.value)
-        found = set()
-        for text in rows["text"].to_pylist():
-            found.update(split(text or ""))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.string())})
-
-    def encode_words(batches):
-        tokenizer, last, last_ids = _tokenizer(spec.value), None, b""
-        for batch in batches:
-            words = batch["word"].to_pylist()
-            new = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            fresh = iter(np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False))
-            out = []
-            for w in words:
-                if w != last:
-                    last, last_ids = w, next(fresh)
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["word"], pa.array(out, pa.binary())], names=["block", "word", "ids"])
-
-    words = dealt.groupBy("block").applyInArrow(distinct_words, "block int, word string")
-    by_word = words.repartition(n, "word").sortWithinPartitions("word")
-    encoded = by_word.mapInArrow(encode_words, "block int, word string, ids binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+    def split(batches):
+        words, task, chunk, made = _splitter(spec.value), TaskContext.get().partitionId(), _Chunk(), 0
+        for batch in slices(batches):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                chunk.add(doc_id, text or "", words(text or ""))
+                if chunk.bytes >= chunk_bytes:
+                    yield chunk.rows(task + (made << 32), n)
+                    chunk, made = _Chunk(), made + 1
+        if chunk.docs:
+            yield chunk.rows(task + (made << 32), n)
+
+    def encode_words(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        asked = []
+        for row in rows.filter(pc.equal(rows["kind"], 1)).select(["chunk", "bucket", "data", "more"]).to_pylist():
+            blob, ends = zstandard.decompress(row["data"]), np.cumsum(_unpacked(row["more"])).tolist()
+            asked.append((row["chunk"], row["bucket"], [blob[i:j] for i, j in zip([0, *ends], ends, strict=False)]))
+        table = dict.fromkeys(w for _, _, words in asked for w in words)
+        distinct, tokenizer = list(table), _cached_tokenizer(spec.value)
+        for i in range(0, len(distinct), 1000):
+            part = distinct[i : i + 1000]
+            for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                table[w] = e.ids
+        out = []
+        for chunk, bucket, words in asked:
+            ids = [table[w] for w in words]
+            out.append((chunk % n, chunk, bucket, _packed(np.array([i for x in ids for i in x], np.uint32)), _packed(np.array([len(x) for x in ids]))))
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["target", "chunk", "bucket", "data", "more"])
 
     def join_ids(key: tuple[pa.Scalar, ...], rows: pa.Table, known: pa.Table) -> pa.Table:
-        split = _splitter(spec.value)
-        number = {w: i for i, w in enumerate(known["word"].to_pylist())}
-        pieces = known["ids"].to_pylist()
-        sizes = np.array([len(p) // 4 for p in pieces], np.int64)
-        table, starts = np.frombuffer(b"".join(pieces), np.int32), np.cumsum(sizes) - sizes
-        ids, ends = [], [0]
-        for text in rows["text"].to_pylist():
-            found = split(text or "")
-            at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            size = sizes[at]
-            total = int(size.sum())
-            ids.append(table[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(total)])
-            ends.append(ends[-1] + total)
+        found: dict[int, list] = {}
+        for row in known.to_pylist():
+            found.setdefault(row["chunk"], []).append((row["bucket"], row["data"], row["more"]))
+        docs_out, ids, ends = [], [], [0]
+        for row in rows.filter(pc.equal(rows["kind"], 0)).to_pylist():
+            parts = sorted(found.pop(row["chunk"], []))
+            at = np.argsort(_unpacked(row["more"]), kind="stable")  # ranks in the order of buckets
+            table = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(d) for _, d, _ in parts]]).astype(np.int32)
+            sizes_there = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(m) for _, _, m in parts]]).astype(np.int64)
+            if len(sizes_there) != len(at):
+                raise RuntimeError(f"a chunk asked for {len(at)} words and got {len(sizes_there)}")
+            size_of, start_of = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            size_of[at], start_of[at] = sizes_there, np.cumsum(sizes_there) - sizes_there
+            codes = _unpacked(row["data"])
+            size, start = size_of[codes], start_of[codes]
+            before = np.cumsum(size)
+            ids.append(table[np.repeat(start - before + size, size) + np.arange(int(size.sum()))])
+            words_end = np.cumsum(row["sizes"])
+            tokens_end = np.concatenate([[0], before])[words_end]
+            ends.extend((ends[-1] + tokens_end).tolist())
+            docs_out.extend(row["docs"])
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
-        return pa.table({"doc_id": rows["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+        return pa.table({"doc_id": pa.array(docs_out, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
 
-    return dealt.groupBy("block").cogroup(encoded.repartition(n, "block").groupBy("block")).applyInArrow(join_ids, "doc_id long, ids array<int>")
+    sent = docs.mapInArrow(split, _SENT).repartition(n, "target")
+    encoded = sent.groupBy("target").applyInArrow(encode_words, _ENCODED).repartition(n, "target")
+    return sent.groupBy("target").cogroup(encoded.groupBy("target")).applyInArrow(join_ids, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -140,7 +221,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def join_pieces(batches):
         table = pa.array(_pieces(spec.value), pa.binary())
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch["ids"]
             flat = lists.flatten()
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)

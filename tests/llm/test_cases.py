@@ -232,7 +232,7 @@ def test_urls(spark, most):
 
 def test_bpe(docs, none):
     t = Tokenizer.from_file(BPE)
-    encoded = bpe.encode(docs, BPE, block_bytes=1 << 12)
+    encoded = bpe.encode(docs, BPE, part_bytes=1 << 12, chunk_bytes=1 << 10)
     got = {r["doc_id"]: r for r in bpe.decode(encoded, BPE).collect()}
     for i, text in TEXTS:
         ids = t.encode(text or "", add_special_tokens=False).ids
