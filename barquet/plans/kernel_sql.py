@@ -113,12 +113,14 @@ def signals_sql(live: bool = False) -> dict[str, str]:
     }
 
 
-VALS = """vals AS (SELECT *, coalesce(ema_fast, close) AS fast, coalesce(ema_slow, close) AS slow, coalesce(sma_medium, close) AS sm, coalesce(sma_long, close) AS sl, coalesce(rsi, 50) AS rsi0, coalesce(macd, 0) AS line,
+def vals(cfg: Indicators) -> str:
+    """Values of signals in series with enough bars, neutral while an indicator warms up."""
+    return f"""vals AS (SELECT *, coalesce(ema_fast, close) AS fast, coalesce(ema_slow, close) AS slow, coalesce(sma_medium, close) AS sm, coalesce(sma_long, close) AS sl, coalesce(rsi, 50) AS rsi0, coalesce(macd, 0) AS line,
   coalesce(macd_histogram, 0) AS hist, coalesce(stoch_k, 50) AS k, coalesce(stoch_d, 50) AS d, coalesce(williams_r, -50) AS wr, coalesce(obv, 0) AS obv0, coalesce(obv_sma, 0) AS osma, coalesce(mfi, 50) AS mfi0, volume_ratio AS ratio,
-  coalesce(bb_pb, 0.5) AS pb, ichimoku_conversion AS ic, ichimoku_base AS ib, ichimoku_span_a AS sa, ichimoku_span_b AS sb, supertrend_up AS up FROM suite)"""
+  coalesce(bb_pb, 0.5) AS pb, ichimoku_conversion AS ic, ichimoku_base AS ib, ichimoku_span_a AS sa, ichimoku_span_b AS sb, supertrend_up AS up FROM suite QUALIFY count(*) OVER (PARTITION BY symbol, interval) >= {cfg.min_candles})"""
 
 
-def score_cte(weights: dict[str, float], live: bool = False) -> str:
+def score_cte(weights: dict[str, float], live: bool = False, cfg: Indicators = Indicators()) -> str:
     """CTEs from ``suite`` to ``scored``: category scores, score, tier, without futures and sentiment."""
     sig = signals_sql(live)
     w = [weights[c] for c in CATEGORIES[:4]]
@@ -129,7 +131,7 @@ def score_cte(weights: dict[str, float], live: bool = False) -> str:
     for c, x in zip(CATEGORIES[:4], w, strict=True):
         score = f"({score} + score_{c} * (CAST({x!r} AS DOUBLE) / avail))"
     missing = weights["futures"] * 100 + weights["sentiment"] * 100
-    return f"""{VALS},
+    return f"""{vals(cfg)},
 sig AS (SELECT symbol, interval, ts, n, close, {", ".join(f"{s} AS s_{name}" for name, s in sig.items())} FROM vals),
 cat AS (SELECT symbol, interval, ts, n, close, (s_ema_cross + s_sma_trend + coalesce(s_ichimoku, 0) + coalesce(s_supertrend, 0)) / (2 + (s_ichimoku IS NOT NULL)::INT + (s_supertrend IS NOT NULL)::INT) AS score_trend,
   (s_rsi + s_macd + s_stoch + s_williams) / 4 AS score_momentum, (s_obv + s_mfi + s_volume) / 3 AS score_volume, (s_bollinger + s_atr) / 2 AS score_volatility, CAST({total} AS DOUBLE) AS avail FROM sig),

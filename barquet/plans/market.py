@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barquet.config import DEFAULT_WEIGHTS, STYLES, Indicators
 from barquet.functions import interpret, score
 from barquet.operators import bars, kernels, overlays
-from barquet.plans.kernel_sql import VALS, W, _ema, _wilder, frame, rolling_cte, score_cte, signals_sql, total, with_suite
+from barquet.plans.kernel_sql import W, _ema, _wilder, frame, rolling_cte, score_cte, signals_sql, total, vals, with_suite
 from barquet.sources.tables import candles, candles_sql
 
 DAY = Indicators()
@@ -168,7 +168,7 @@ for _category, _names in _SIGNALS.items():
 
     QUERIES[f"interpret_{_category}"] = _interpret
     _s = signals_sql()
-    SQL[f"interpret_{_category}"] = f"{with_suite(DAY)},\n{VALS}\n" + " UNION ALL ".join(f"SELECT symbol, interval, ts, '{x}' AS signal, {_s[x]} + 0 AS signed FROM vals WHERE ({_s[x]}) IS NOT NULL" for x in _names)
+    SQL[f"interpret_{_category}"] = f"{with_suite(DAY)},\n{vals(DAY)}\n" + " UNION ALL ".join(f"SELECT symbol, interval, ts, '{x}' AS signal, {_s[x]} + 0 AS signed FROM vals WHERE ({_s[x]}) IS NOT NULL" for x in _names)
 
 
 @query("category_scores", f"{with_suite(DAY)},\n{score_cte(DEFAULT_WEIGHTS)} SELECT symbol, interval, ts, score_trend, score_momentum, score_volume, score_volatility FROM scored")
@@ -187,7 +187,7 @@ def composite_score(spark, d):
     return score.latest(_scored(spark, d, pooled=True, live=True).select(*cols))
 
 
-@query("style_scores", " UNION ALL ".join(f"SELECT * FROM ({with_suite(s.indicators)},\n{score_cte(s.weights, live=True)} SELECT symbol, interval, ts, '{name}' AS style, score, tier, confidence FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)" for name, s in STYLES.items() if not s.skip_ichimoku))
+@query("style_scores", " UNION ALL ".join(f"SELECT * FROM ({with_suite(s.indicators)},\n{score_cte(s.weights, live=True, cfg=s.indicators)} SELECT symbol, interval, ts, '{name}' AS style, score, tier, confidence FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)" for name, s in STYLES.items() if not s.skip_ichimoku))
 def _style_scores(spark, d):
     out = None
     for name, s in STYLES.items():
