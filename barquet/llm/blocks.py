@@ -21,7 +21,7 @@ from barquet.llm.common import WordHashes, pack, unpack
 
 REQUEST = "bucket int, block int, kind int, n long, keys binary, extra binary"
 ANSWER = "block int, bucket int, kind int, answer binary"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:

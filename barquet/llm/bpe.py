@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from barquet.llm.blocks import BLOCK_BYTES
 from barquet.llm.common import slices
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows that a chunk sends: its documents (kind 0), and its distinct words of a bucket (kind 1).
 _SENT = "target int, kind int, chunk long, bucket int, docs array<bigint>, sizes array<int>, data binary, more binary"
 _ENCODED = "target int, chunk long, bucket int, data binary, more binary"
