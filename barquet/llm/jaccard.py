@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, durable, mixed, rolling
+from barquet.llm.common import WordHashes, durable, mixed, rolling, slices
 from barquet.llm.components import components
 
 #: Coordinates of the boxes and points of the leaves.
@@ -46,8 +46,9 @@ def _root_boxes(s: np.ndarray, percent: int) -> np.ndarray:
     """A key for each range of groups, in each size class in which the larger of two linked sets can be.
 
     Linked sets of which the larger has ``largest`` shingles differ in ``most`` at most, so of more
-    ranges than that one is alike. Empty ranges are left out, as long as more than ``most`` aren't
-    empty: of those, too, one is alike. Only if both sets have fewer are empty ranges needed.
+    ranges than that one is alike. A set leaves out its emptiest ranges, all those of a count or less, as
+    long as more than ``most`` stay. Of what the set with the higher such count keeps one range is alike,
+    and the other set keeps it, too. So a passage that many texts share rarely makes a box on its own.
     """
     size_class = lambda size: int(np.log(size) / np.log(1.25) + 1e-9)
     out = []
@@ -58,9 +59,10 @@ def _root_boxes(s: np.ndarray, percent: int) -> np.ndarray:
         at = ((mixed(s ^ np.uint64(c + 1)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(ranges, np.uint64)
         np.add.at(sums, at, mixed(s + np.uint64(0x632BE59BD9B4E019)))
-        full = np.bincount(at, minlength=ranges) > 0
         keys = mixed(sums + mixed(np.arange(ranges, dtype=np.uint64) + np.uint64(c << 32)))
-        out.append(keys[full] if full.sum() > most else keys)
+        counts = np.bincount(at, minlength=ranges)
+        least = np.searchsorted(np.cumsum(np.bincount(counts)), ranges - most - 1, side="right")
+        out.append(keys[counts >= least])
     return np.concatenate(out)
 
 
@@ -105,7 +107,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hashes, ids, sizes, digests, boxes = WordHashes(), batch["doc_id"], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, words, hashes)
@@ -128,7 +130,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     paged = paged.join(paged.groupBy("component").count().where("count > 1").drop("count"), "component")
 
     def point_sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hashes = WordHashes()
             found = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
             counts = [p.tolist() for p in _leaf_points(found)]
