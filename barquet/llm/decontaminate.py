@@ -32,11 +32,11 @@ def _token(all_words: str, at: str, size: int) -> str:
 
 
 def _windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """Distinct windows: item_words, items that hold it, its length, the size of its shingles, and each shingle with its offset."""
-    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where("item_id is not null and size(w) > 0")
+    """Distinct windows: item_words, ids of items that hold it, whether an item without an id does (unnamed), its length and the size of its shingles."""
+    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where("size(w) > 0")
     w = w.select("item_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {window}, 0))")).alias("at"))
     w = w.select("item_id", F.expr(f"slice(w, at + 1, {window})").alias("item_words"))
-    w = w.groupBy("item_words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    w = w.groupBy("item_words").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     return w.withColumn("len", F.size("item_words")).withColumn("token_size", F.least("len", F.lit(shingle)))
 
 
@@ -50,8 +50,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Texts that are null, empty or without words have no words, and such items no windows. Rows that
     repeat both doc_id and text give one row; a doc_id with other texts, one for each; a null doc_id
-    stays null. Items that share windows all count. Empty tables: no documents give no rows, no items
-    no hits.
+    stays null. Items that share windows all count. Windows of items with a null item_id count like any
+    other, in n_items as one item; only items and items_sha256 can't name it. Empty tables: no documents
+    give no rows, no items no hits.
 
     most_windows bounds what is broadcast. A larger benchmark is joined by shuffling the documents'
     tokens (a hash and a position, not the words), and candidates meet their documents again.
@@ -62,7 +63,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     sizes = sorted(r[0] for r in windows.select("token_size").distinct().collect())  # 1 to shingle
     small = windows.count() <= most_windows
     near = F.broadcast if small else (lambda df: df)
-    tokens = windows.select("window_id", "items", "item_words", "len", F.explode(F.expr("sequence(0, len - token_size)")).alias("offset"), "token_size")
+    tokens = windows.select("window_id", "items", "unnamed", "item_words", "len", F.explode(F.expr("sequence(0, len - token_size)")).alias("offset"), "token_size")
     token = F.lit(None).cast("long")
     for size in sizes:
         token = F.when(F.col("token_size") == size, F.expr(_token("item_words", "offset", size))).otherwise(token)
@@ -82,7 +83,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     rarity = exploded.join(near(known), exploded.doc_token == known.token).groupBy("token").agg(F.count("*").alias("uses"))
     rarest = W.partitionBy("window_id").orderBy(F.coalesce("uses", F.lit(0)), "offset")
     prefix = tokens.join(rarity, "token", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1")
-    prefix = prefix.where("uses > 0").select(F.col("token").alias("prefix_token"), "offset", "len", "item_words", "items")
+    prefix = prefix.where("uses > 0").select("window_id", F.col("token").alias("prefix_token"), "offset", "len", "item_words", "items", "unnamed")
 
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
@@ -93,11 +94,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         hit = F.coalesce(F.col("prefix_token").isNotNull() & inside & F.when(inside, same), F.lit(False))
         found = found.withColumn("hit", hit).where("hit or coalesce(pos, 0) = 0")
     else:
+        # Rows that repeat doc_id and text have the same candidates: one of each, or they would meet m times m.
         candidates = exploded.drop("w").join(prefix, F.col("doc_token") == F.col("prefix_token")).where(start >= 0)
-        candidates = candidates.join(docs, ["doc_id", "version"]).where(inside).where(same).withColumn("hit", F.lit(True))
+        candidates = candidates.dropDuplicates(["doc_id", "version", "pos", "window_id"])
+        texts = docs.select(F.col("doc_id").alias("text_id"), F.col("version").alias("text_version"), "w")
+        again = F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("version") == F.col("text_version"))  # a null doc_id is one, too
+        candidates = candidates.join(texts, again).where(inside).where(same).drop("text_id", "text_version").withColumn("hit", F.lit(True))
         alone = docs.select("doc_id", "version", "w", F.lit(False).alias("hit"))
         found = candidates.unionByName(alone, allowMissingColumns=True)
-    found = found.select("doc_id", "version", F.size("w").alias("n_words"), "hit", F.when(F.col("hit"), start).alias("start"), F.when(F.col("hit"), start + F.col("len")).alias("end"), F.when(F.col("hit"), F.col("items")).alias("items"))
+    found = found.select("doc_id", "version", F.size("w").alias("n_words"), "hit", F.when(F.col("hit"), start).alias("start"), F.when(F.col("hit"), start + F.col("len")).alias("end"), F.when(F.col("hit"), F.col("items")).alias("items"), F.when(F.col("hit"), F.col("unnamed")).alias("unnamed"))
 
     # Occurrences overlap: in order of start, each adds the words beyond the furthest end before it.
     document = W.partitionBy("doc_id", "version")
@@ -107,5 +112,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         F.max("n_words").cast("long").alias("n_words"),
         F.sum(F.when(F.col("hit"), F.col("new")).otherwise(0)).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.coalesce(F.max("unnamed"), F.lit(0)).alias("unnamed"),
     )
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

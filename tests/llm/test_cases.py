@@ -110,6 +110,17 @@ def test_contamination_repeated_rows(spark):
     assert got == [(1, 0), (1, 2), (None, 2)]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_contamination_null_ids(spark, most):
+    """Documents and items without an id count on both paths; the id of such an item is all that is left out."""
+    items = spark.createDataFrame([(None, "x y"), (1, "a b"), (None, "a b")], "item_id long, text string")
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (None, "c x y"), (2, "x y a b"), (3, None)]
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), items, most_windows=most).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in got), key=str)
+    want = [(None, 2, 2, 2, ["1"], True), (None, 1, 0, 0, [], False), (None, 3, 2, 1, [], True), (2, 4, 4, 2, ["1"], True), (3, 0, 0, 0, [], False)]
+    assert got == sorted(want, key=str)
+
+
 # 2
 
 
