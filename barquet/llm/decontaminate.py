@@ -44,7 +44,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     """Finds the words of each document that occur in a window of a benchmark item.
 
     documents: doc_id and text; benchmark: item_id and text; other columns are left out. Returns for
-    each document doc_id, n_words, n_hit (words inside any occurrence of a window), n_items (items with
+    each document doc_id, version (xxhash64 of its text), n_words, n_hit (words inside any occurrence of a window), n_items (items with
     such windows), items (their ids as strings, sorted), items_sha256 (of those joined by commas),
     contaminated (n_hit > 0).
 
@@ -114,4 +114,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.coalesce(F.max("unnamed"), F.lit(0)).alias("unnamed"),
     )
-    return out.select("doc_id", "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "version", "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

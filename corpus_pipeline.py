@@ -54,9 +54,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of a benchmark item; an item of fewer words is one window."""
-    leaks = contamination(docs, table(spark, sf_dir, "benchmark"), window=10).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti").select(docs.columns)
+    """Documents that hold no window of ten words of a benchmark item; an item of fewer words is one window.
+
+    Texts that share a doc_id, or have none, are judged each on its own.
+    """
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), window=10).where("contaminated")
+    leaks = found.select(F.col("doc_id").alias("leak_id"), F.col("version").alias("leak_version"))  # one row a text
+    same = docs.doc_id.eqNullSafe(leaks.leak_id) & (F.xxhash64(docs.text.cast("string")) == leaks.leak_version)
+    return docs.join(leaks, same, "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

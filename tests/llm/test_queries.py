@@ -93,3 +93,16 @@ def test_pipeline_cases(spark):
         assert out and all(r["kept_text"] == "clash" for r in out if "kept_text" in r)
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, SMALL).collect()]
     assert sorted(kept, key=str) == [1, 1, 3, 4, None]
+
+
+def test_pipeline_leaks_by_text(spark):
+    """Only the texts that hold a window go, not others with their doc_id or, like them, without one."""
+    import corpus_pipeline
+
+    leak = max((r["text"] or "" for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()), key=len)
+    rows = [(None, leak), (None, "clean a"), (None, "clean b"), (1, f"before {leak} after"), (1, "clean c"), (2, leak), (2, leak), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("version", "leak_id", "leak_version"):
+        docs = docs.selectExpr("*", f"'clash' AS {c}")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_leaks(spark, docs, SMALL).collect()]
+    assert sorted(kept, key=str) == [(1, "clean c"), (3, None), (None, "clean a"), (None, "clean b")]
