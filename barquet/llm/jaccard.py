@@ -15,7 +15,7 @@ smaller count, so that sum bounds the similarity from above. The points lie in a
    pairs are verified on the shingles themselves. Points that are already connected are not
    compared again, so a page pair yields fewer links than it has points.
 
-Equal sets are one point. All steps are exact; the result doesn't depend on the page size.
+Equal sets are one point, known by its digest; texts that share a doc_id are points of their own. All steps are exact; the result doesn't depend on the page size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from barquet.llm.components import components
 
 #: Coordinates of the boxes and points of the leaves.
 GROUPS = 64
-_SHINGLES = "doc_id long, n_shingles long, digest binary, boxes array<long>"
+_SHINGLES = "doc_id long, version long, n_shingles long, digest binary, boxes array<long>"
 
 
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     Rows that share a doc_id are one node of the graph; a null doc_id gets a null component_id. An empty
     table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
     def describe(batches):
         for batch in slices(batches):
@@ -114,18 +114,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
                 sizes.append(len(s))
                 digests.append(s.sum().tobytes() + mixed(s + np.uint64(1)).sum().tobytes() if len(s) else None)
                 boxes.append(_root_boxes(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(boxes, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "boxes"])
+            yield pa.RecordBatch.from_arrays([ids, batch["version"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(boxes, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "digest", "boxes"])
 
     described = docs.mapInArrow(describe, _SHINGLES)
     sets = durable(described.drop("boxes"))
-    points = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("point"), F.first("n_shingles").alias("size"))
-    boxes = described.where("doc_id is not null").select("doc_id", F.explode("boxes").alias("box")).repartition("box")
-    first = boxes.groupBy("box").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    regions = components(boxes.join(first, "box").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    members = durable(points.join(regions, points.point == regions.node).select("component", "point", "size"))
+    # Of each point the smallest doc_id, and the hash of a text of it under that doc_id.
+    points = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("point"), F.min_by("version", "doc_id").alias("point_version"), F.first("n_shingles").alias("size"))
+    # Regions are of hashes of digests: if two were alike, their regions would only be one.
+    boxes = described.where("doc_id is not null").select(F.xxhash64("digest").alias("set"), F.explode("boxes").alias("box")).repartition("box")
+    first = boxes.groupBy("box").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first < last").drop("last")
+    regions = components(boxes.join(first, "box").where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b")).distinct())
+    members = durable(points.join(regions, F.xxhash64(points.digest) == regions.node).select("component", "digest", "point", "point_version", "size"))
 
     # Pages of about page_shingles shingles, in order of size; a region of one point needs none.
-    in_order = W.partitionBy("component").orderBy("size", "point")
+    in_order = W.partitionBy("component").orderBy("size", "digest")
     paged = members.withColumn("page", F.floor((F.sum("size").over(in_order) - F.col("size")) / page_shingles).cast("int"))
     paged = paged.join(paged.groupBy("component").count().where("count > 1").drop("count"), "component")
 
@@ -134,10 +136,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             hashes = WordHashes()
             found = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
             counts = [p.tolist() for p in _leaf_points(found)]
-            yield pa.RecordBatch.from_arrays([batch["component"], batch["page"], batch["point"], batch["size"], pa.array([s.tobytes() for s in found], pa.binary()), pa.array(counts, pa.list_(pa.int32()))], names=["component", "page", "point", "size", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["component"], batch["page"], batch["digest"], batch["point"], batch["size"], pa.array([s.tobytes() for s in found], pa.binary()), pa.array(counts, pa.list_(pa.int32()))], names=["component", "page", "digest", "point", "size", "shingles", "counts"])
 
-    texts = docs.join(paged, docs.doc_id == paged.point).select("component", "page", "point", "size", "text")
-    leaves = durable(texts.mapInArrow(point_sets, "component long, page int, point long, size long, shingles binary, counts array<int>").dropDuplicates(["point"]))
+    texts = docs.join(paged, (docs.doc_id == paged.point) & (docs.version == paged.point_version)).select("component", "page", "digest", "point", "size", "text")
+    leaves = durable(texts.mapInArrow(point_sets, "component long, page int, digest binary, point long, size long, shingles binary, counts array<int>").dropDuplicates(["digest"]))
     shape = [F.min("size").alias("low"), F.max("size").alias("high")] + [F.max(F.col("counts")[g]).alias(f"g{g}") for g in range(GROUPS)]
     tops = leaves.groupBy("component", "page").agg(*shape).select("component", "page", "low", "high", F.array(*[f"g{g}" for g in range(GROUPS)]).alias("most"))
     left, right = (tops.select("component", *[F.col(c).alias(f"{c}_{side}") for c in ("page", "low", "high", "most")]) for side in ("a", "b"))
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
         found = _links(rows["point"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = visits.join(leaves.drop("counts", "size"), ["component", "page"]).groupBy("component", "page_a", "page_b").applyInArrow(link, "a long, b long")
+    links = visits.join(leaves.drop("counts", "size", "digest"), ["component", "page"]).groupBy("component", "page_a", "page_b").applyInArrow(link, "a long, b long")
     # One document of a set may also have another text: its sets are one node, and so are equal sets.
     equal = sets.where("doc_id is not null").join(points, "digest").select(F.col("doc_id").alias("a"), F.col("point").alias("b"))
     found = components(links.unionByName(equal))

@@ -300,6 +300,15 @@ def test_near_duplicates_of_shared_ids(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(rows).collect()), key=str) == [(2, 2), (5, 2), (5, 2), (9, 2), (None, None)]
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    """Each text of an id is compared, whichever rows come first."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60 + i)) for i in range(6)]
+    rows = [(50, t) for t in texts] + [(50, texts[0])] + [(i, t + " tail") for i, t in enumerate(texts)] + [(60, made(70)), (None, texts[1])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(i, 0) for i in range(6)] + [(50, 0)] * 7 + [(60, 60)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(1000, 1060)] + [(1, x) for x in range(2, 80)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
