@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from barquet.llm.common import durable
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges to (node, component): the smallest node that each node reaches.
 
-    Alternates two rewirings until nothing changes: each node's larger neighbours point to its
-    smallest neighbour, then its smaller neighbours do. The number of rounds grows with the
-    logarithm of the longest path; every round is written to the shared checkpoint folder, and
-    rows, not groups, are rewired, so that a node with many edges is only a long run of rows.
-    No edges give no rows.
+    The graph is contracted in rounds: each node points to the first of its neighbours and itself, in the
+    order of a hash; pointers are followed four steps; edges are rewritten to where they end, until
+    none is left. By hashes pointer paths are short whatever the ids, so the rounds grow with the logarithm
+    of the number of nodes. First neighbours are aggregated before they are shuffled, and all joins
+    are of written tables, so that Spark can split a node with many edges; every round is
+    written to the shared checkpoint folder. No edges give no rows.
     """
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    edges = _ordered(edges)
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).limit(0)
+    first = True
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        new = durable(small.where("a <> b").distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
-        edges = new
-    stars = new.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()).distinct()
+        place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        nearest = both.select("a", F.least(place("a"), place("b")).alias("p")).groupBy("a").agg(F.min_by("p.n", "p.h").alias("to"))
+        parents = durable(nearest.select(F.col("a").alias("node"), "to"))
+        for _ in range(2):
+            parents = durable(parents.join(parents.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select("node", F.col("end").alias("to")))
+        moved = parents.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        found = parents if first else durable(found.join(moved, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+        first = False
+        for c in ("a", "b"):
+            edges = edges.join(moved.withColumnRenamed("to", c), c).drop(c).withColumnRenamed("end", c)
+        edges = _ordered(edges)
+    lowest = durable(found.groupBy("to").agg(F.min("node").alias("component")))
+    return found.join(lowest, "to").select("node", "component")

@@ -1,37 +1,40 @@
 """N-gram Jaccard join: count vectors in an R-tree, bounded by summed coordinate minima.
 
-A document is the set of its distinct word shingles. Shingles are hashed into groups, and a
-document becomes the point of its group counts. Two sets share at most the sum over groups of the
-smaller count, so that sum bounds the similarity from above. The points lie in a tree:
-
-1. root: few groups only tell apart small or very different sets, and no box of long, unrelated
-   texts in a few dozen dimensions excludes another. The root level therefore uses many groups, cut
-   into more ranges than two linked sets can differ in shingles: in one range at least their
-   coordinates are equal. A root box is one value of one range; boxes that share documents form a
-   region, found by linking each document to the first of its box, never document to document.
-2. leaves: a region's points, in order of size, fill pages of bounded size with a box of the
-   lowest and highest coordinates. Two pages meet if sizes and summed coordinate maxima allow a link.
-3. in a pair of pages, each point's bound with the points of other groups is summed, and surviving
-   pairs are verified on the shingles themselves. Points that are already connected are not
-   compared again, so a page pair yields fewer links than it has points.
-
-Equal sets are one point, known by its digest; texts that share a doc_id are points of their own. All steps are exact; the result doesn't depend on the page size.
+A document is the set of its distinct word shingles. Shingles are hashed into groups, and the set
+becomes the point of its group counts. Two sets share at most the sum over groups of the smaller
+count, so that sum bounds their similarity from above. Groups nest: 2**48 fine ones at the root,
+65,536 in which the mass of the whole corpus is counted, 64 coordinates in the boxes of the levels below.
+
+1. Root. A child is the half-space of points with a count in one fine group. A point goes to as few
+   children as the bound allows: groups are taken by rising mass until those left, summed, fall below
+   the least overlap that a link needs. Two points without a common child have summed minima below it,
+   so no link is lost; and what a third of all documents hold has a large mass and is hardly ever taken.
+2. Each point of a child is compared with the child's first point: coordinates first, then shingles.
+   That joins copies into parts with a number of comparisons in proportion to the entries.
+3. Children of which the other points still lie in more than one part are searched on: their points
+   fill pages, of alike size and part, pages fill nodes, and both have boxes of lowest and highest size and
+   highest coordinates. Pairs of nodes, then of pages, are left out by sizes and summed minima, as are
+   pages in one part; in a pair of pages, pairs of points are, and what survives is verified.
+
+Children with the same points are searched once. Equal sets are one point. All steps are exact but for
+hashes: shingles and sets are told apart by 64 bits. The result doesn't depend on the size of pages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, durable, mixed, rolling, slices
+from barquet.llm.common import WordHashes, durable, rolling, slices
 from barquet.llm.components import components
 
-#: Coordinates of the boxes and points of the leaves.
-GROUPS = 64
-_SHINGLES = "doc_id long, version long, n_shingles long, digest binary, boxes array<long>"
+#: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
+GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
+_DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, masses array<long>"
+_LEAST = np.uint64(64 - FINE_BITS)
 
 
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -42,119 +45,207 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(rolling(hashes.of(words), k))
 
 
-def _root_boxes(s: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each range of groups, in each size class in which the larger of two linked sets can be.
+def _id(s: np.ndarray) -> int | None:
+    """What a set is known by; an empty set has none."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
-    Linked sets of which the larger has ``largest`` shingles differ in ``most`` at most, so of more
-    ranges than that one is alike. A set leaves out its emptiest ranges, all those of a count or less, as
-    long as more than ``most`` stay. Of what the set with the higher such count keeps one range is alike,
-    and the other set keeps it, too. So a passage that many texts share rarely makes a box on its own.
-    """
-    size_class = lambda size: int(np.log(size) / np.log(1.25) + 1e-9)
-    out = []
-    for c in range(size_class(len(s)), size_class(len(s) * 100 // percent) + 1):
-        largest = int(np.ceil(1.25 ** (c + 1))) + 1
-        most = 2 * largest * (100 - percent) // (100 + percent)
-        ranges = (most + 1) * 115 // 100 + 2
-        at = ((mixed(s ^ np.uint64(c + 1)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(ranges, np.uint64)
-        np.add.at(sums, at, mixed(s + np.uint64(0x632BE59BD9B4E019)))
-        keys = mixed(sums + mixed(np.arange(ranges, dtype=np.uint64) + np.uint64(c << 32)))
-        counts = np.bincount(at, minlength=ranges)
-        least = np.searchsorted(np.cumsum(np.bincount(counts)), ranges - most - 1, side="right")
-        out.append(keys[counts >= least])
-    return np.concatenate(out)
-
-
-def _leaf_points(sets: list[np.ndarray]) -> np.ndarray:
+
+def _mass_group(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - MASSES.bit_length() + 1)).astype(np.int64)
+
+
+def _points(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32).reshape(-1, GROUPS)
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], page: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked: between the two pages, or within one if there is one."""
+def _least_overlap(n: int, percent: int) -> int:
+    """The least overlap with a set of ``n`` that a link needs: no union is smaller than ``n``."""
+    return -(-percent * n // 100)
+
+
+def _children(s: np.ndarray, masses: np.ndarray, percent: int) -> np.ndarray:
+    """Fine groups in order of mass, until the counts of those left sum to less than the least overlap."""
+    order = np.argsort(masses[_mass_group(s)], kind="stable")
+    return np.unique(s[order[: len(s) - _least_overlap(len(s), percent) + 1]] >> _LEAST)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def _links(sets: list[np.ndarray], page: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different parts, enough to connect what is linked: between the two pages, or within one if there is one."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets, page = ids[order], [sets[i] for i in order], page[order]
-    n, points, part = np.array([len(s) for s in sets]), _leaf_points(sets), np.arange(len(sets))
+    sets, page, names = [sets[i] for i in order], page[order], part[order]
+    part = np.unique(names, return_inverse=True)[1]
+    n, points = np.array([len(s) for s in sets]), _points(sets)
     out, two = [], len(np.unique(page)) > 1
     for i in range(1, len(sets)):
-        low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-        others = np.arange(low, i)
+        others = np.arange(int(np.searchsorted(n, _least_overlap(n[i], percent))), i)
         others = others[(part[others] != part[i]) & ((page[others] != page[i]) | (not two))]
         if not len(others):
             continue
         bound = np.minimum(points[others], points[i]).sum(1)
         ok = (100 + percent) * bound >= percent * (n[others] + n[i])
         for j in others[ok][np.argsort(-bound[ok], kind="stable")]:
-            if part[j] == part[i]:
-                continue
-            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * same >= percent * (n[i] + n[j] - same):
-                out.append((int(ids[i]), int(ids[j])))
+            if part[j] != part[i] and _linked(sets[i], sets[j], percent):
+                out.append((int(names[i]), int(names[j])))
                 part[part == part[i]] = part[j]
     return out
 
 
+def _summed_minima(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether boxes a and b (low and high size, most of each coordinate) may hold points that link."""
+    sizes = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
+    return sizes & ((100 + percent) * _summed_minima("most_a", "most_b") >= percent * (F.col("low_a") + F.col("low_b")))
+
+
+def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
+    return df.select(*same, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in same])
+
+
+def _boxes(points: DataFrame, *keys: str) -> DataFrame:
+    """The box of each node: sizes, highest coordinates, and the parts between which its points lie."""
+    shape = [F.min("size").alias("low"), F.max("size").alias("high"), F.min("part").alias("part_low"), F.max("part").alias("part_high")]
+    shape += [F.max(F.col("point")[g]).alias(f"g{g}") for g in range(GROUPS)]
+    return points.groupBy(*keys).agg(*shape).withColumn("most", F.array(*[f"g{g}" for g in range(GROUPS)])).drop(*[f"g{g}" for g in range(GROUPS)])
+
+
+def _search(points: DataFrame, leaves: DataFrame, percent: int, page_shingles: int) -> DataFrame:
+    """Links (a, b) between parts: points (box, id, size, point, part) of each box against each other, by pages and nodes."""
+    points = points.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
+    # Pages needed for a part, a size class and a box, by counts that are aggregated before they are shuffled.
+    by_part = points.groupBy("box", "class", "part").agg(F.sum("size").alias("in_part"))
+    by_class = by_part.groupBy("box", "class").agg(F.sum("in_part").alias("in_class"))
+    by_box = by_class.groupBy("box").agg(F.sum("in_class").alias("in_box"))
+    need = by_part.join(by_class, ["box", "class"]).join(by_box, "box")
+    pages = lambda c: F.ceil(F.col(c) / page_shingles)
+    one = F.col("in_box") <= page_shingles
+    slot = F.when(one, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("part"), pages("in_class")))
+    need = need.select("box", "class", "part", F.when(one, F.lit(-1)).otherwise(F.col("class")).alias("shelf"), slot.alias("slot"), F.when(one, F.lit(1).cast("long")).otherwise(pages("in_part")).alias("salts"))
+    paged = points.join(need, ["box", "class", "part"])
+    paged = paged.withColumn("node", F.xxhash64("shelf", F.floor(F.col("slot") / 16))).withColumn("page", F.xxhash64("shelf", "slot", F.pmod(F.xxhash64("id"), F.col("salts"))))
+    paged = durable(paged.select("box", "node", "page", "id", "size", "point", "part"))
+
+    apart = F.least("part_low_a", "part_low_b") < F.greatest("part_high_a", "part_high_b")
+    nodes = _boxes(paged, "box", "node")
+    nodes = _side(nodes, "a", "box").join(_side(nodes, "b", "box"), "box").where(F.col("node_a") <= F.col("node_b")).where(apart).where(_may_link(percent)).select("box", "node_a", "node_b")
+    leaf = _boxes(paged, "box", "node", "page")
+    pairs = nodes.join(_side(leaf, "a", "box"), ["box", "node_a"]).join(_side(leaf, "b", "box"), ["box", "node_b"])
+    pairs = pairs.where((F.col("node_a") < F.col("node_b")) | (F.col("page_a") <= F.col("page_b"))).where(apart).where(_may_link(percent))
+    visits = pairs.select("box", "page_a", "page_b", F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page"))
+
+    def link(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    visited = visits.join(paged.select("box", "page", "id", "part"), ["box", "page"]).join(leaves, "id").drop("id")
+    return visited.groupBy("box", "page_a", "page_b").applyInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 20) -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more, directly or by a chain.
 
     docs: doc_id and text; other columns are left out. Words are what ASCII white space divides,
-    with A-Z in lower case. Returns a row per row of docs: doc_id, n_shingles (size of the set) and
-    component_id, the smallest doc_id reachable by links, itself included. Texts that are null or have no
-    words have an empty set and link with nothing; texts of fewer words than a shingle are one shingle.
-    Rows that share a doc_id are one node of the graph; a null doc_id gets a null component_id. An empty
-    table gives an empty one.
+    with A-Z in lower case. Returns a row per row of docs: doc_id, version (xxhash64 of its text), n_shingles
+    (size of the set), component_id, the smallest doc_id reachable by links, itself included, and part, a
+    number that rows share if they are reachable. Texts that are null or have no words have an
+    empty set, no part, and link with nothing; texts of fewer words than a shingle are one shingle. Rows with words
+    that share a doc_id are reachable from each other. Rows with a null doc_id link like others, but have a null
+    component_id. An empty table gives an empty one.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
     def describe(batches):
+        """A row per document, and at the end one with the masses of all groups."""
+        names, masses = ["doc_id", "version", "n_shingles", "id", "point", "masses"], np.zeros(MASSES, np.int64)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for batch in slices(batches):
+            hashes = WordHashes()
+            sets = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
+            masses += np.bincount(_mass_group(np.concatenate(sets)), minlength=MASSES)
+            points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(_points(sets).ravel()))
+            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [None] * len(sets)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
+
+    described = durable(docs.mapInArrow(describe, _DESCRIBED))
+    rows = described.where("masses is null").select("doc_id", "version", "n_shingles", "id")
+    counted = described.where("masses is not null").select(F.posexplode("masses")).groupBy("pos").agg(F.sum("col").alias("mass"))
+    masses = np.zeros(MASSES, np.int64)
+    for pos, mass in counted.collect():  # one row a group, a fixed number of them
+        masses[pos] = mass
+    sent = spark.sparkContext.broadcast(masses)
+
+    def enter(batches):
+        """The root's children of each set, once a task: copies of a set are one point before anything is shuffled."""
+        done: set[int] = set()
         for batch in slices(batches):
-            hashes, ids, sizes, digests, boxes = WordHashes(), batch["doc_id"], [], [], []
+            hashes, ids, children = WordHashes(), [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, words, hashes)
-                sizes.append(len(s))
-                digests.append(s.sum().tobytes() + mixed(s + np.uint64(1)).sum().tobytes() if len(s) else None)
-                boxes.append(_root_boxes(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, batch["version"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(boxes, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "digest", "boxes"])
-
-    described = docs.mapInArrow(describe, _SHINGLES)
-    sets = durable(described.drop("boxes"))
-    # Of each point the smallest doc_id, and the hash of a text of it under that doc_id.
-    points = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("point"), F.min_by("version", "doc_id").alias("point_version"), F.first("n_shingles").alias("size"))
-    # Regions are of hashes of digests: if two were alike, their regions would only be one.
-    boxes = described.where("doc_id is not null").select(F.xxhash64("digest").alias("set"), F.explode("boxes").alias("box")).repartition("box")
-    first = boxes.groupBy("box").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first < last").drop("last")
-    regions = components(boxes.join(first, "box").where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b")).distinct())
-    members = durable(points.join(regions, F.xxhash64(points.digest) == regions.node).select("component", "digest", "point", "point_version", "size"))
-
-    # Pages of about page_shingles shingles, in order of size; a region of one point needs none.
-    in_order = W.partitionBy("component").orderBy("size", "digest")
-    paged = members.withColumn("page", F.floor((F.sum("size").over(in_order) - F.col("size")) / page_shingles).cast("int"))
-    paged = paged.join(paged.groupBy("component").count().where("count > 1").drop("count"), "component")
-
-    def point_sets(batches):
+                if len(s) and (i := _id(s)) not in done:
+                    ids.append(i)
+                    children.append(_children(s, sent.value, percent).view(np.int64))
+            done.update(ids)
+            if len(done) > 1 << 20:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(children, pa.list_(pa.int64()))], names=["id", "boxes"])
+
+    entries = docs.select("text").mapInArrow(enter, "id long, boxes array<long>").select("id", F.explode("boxes").alias("box")).repartition("box")
+    first = entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    live = durable(entries.join(first, "box").select("box", "id", "first").distinct())
+
+    # Of each point that shares a box: a row with its text, its size and its coordinates.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
+    points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"))
+    points = durable(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point"))
+
+    def as_sets(batches):
         for batch in slices(batches):
             hashes = WordHashes()
-            found = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
-            counts = [p.tolist() for p in _leaf_points(found)]
-            yield pa.RecordBatch.from_arrays([batch["component"], batch["page"], batch["digest"], batch["point"], batch["size"], pa.array([s.tobytes() for s in found], pa.binary()), pa.array(counts, pa.list_(pa.int32()))], names=["component", "page", "digest", "point", "size", "shingles", "counts"])
-
-    texts = docs.join(paged, (docs.doc_id == paged.point) & (docs.version == paged.point_version)).select("component", "page", "digest", "point", "size", "text")
-    leaves = durable(texts.mapInArrow(point_sets, "component long, page int, digest binary, point long, size long, shingles binary, counts array<int>").dropDuplicates(["digest"]))
-    shape = [F.min("size").alias("low"), F.max("size").alias("high")] + [F.max(F.col("counts")[g]).alias(f"g{g}") for g in range(GROUPS)]
-    tops = leaves.groupBy("component", "page").agg(*shape).select("component", "page", "low", "high", F.array(*[f"g{g}" for g in range(GROUPS)]).alias("most"))
-    left, right = (tops.select("component", *[F.col(c).alias(f"{c}_{side}") for c in ("page", "low", "high", "most")]) for side in ("a", "b"))
-    bound = F.aggregate(F.zip_with("most_a", "most_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    pairs = left.join(right, "component").where(
-        (F.col("page_a") <= F.col("page_b")) & (100 * F.col("high_a") >= percent * F.col("low_b")) & ((100 + percent) * bound >= percent * (F.col("low_a") + F.col("low_b")))
-    )
-    visits = pairs.select("component", "page_a", "page_b", F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page"))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t, words, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    def link(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        found = _links(rows["point"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    texts = docs.join(points, docs.doc_id.eqNullSafe(points.best_id) & (docs.version == points.best_version)).select("id", "text").dropDuplicates(["id"])
+    leaves = durable(texts.mapInArrow(as_sets, "id long, shingles binary"))
+
+    boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
+    pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
+    pairs = pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b")
 
-    links = visits.join(leaves.drop("counts", "size", "digest"), ["component", "page"]).groupBy("component", "page_a", "page_b").applyInArrow(link, "a long, b long")
-    # One document of a set may also have another text: its sets are one node, and so are equal sets.
-    equal = sets.where("doc_id is not null").join(points, "digest").select(F.col("doc_id").alias("a"), F.col("point").alias("b"))
-    found = components(links.unionByName(equal))
-    return sets.join(found, sets.doc_id == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    def verify(batches):
+        for batch in slices(batches):
+            sets = ([np.frombuffer(x, np.uint64) for x in batch[c].to_pylist()] for c in ("shingles_a", "shingles_b"))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+    both = pairs.join(_side(leaves, "a"), "id_a").join(_side(leaves, "b"), "id_b")
+    parts = durable(components(both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "shingles_a", "shingles_b").mapInArrow(verify, "a long, b long")))
+
+    # Boxes that still hold points of several parts, besides the first, which was compared with all.
+    others = live.where("id <> first").select("box", "id").join(parts, F.col("id") == F.col("node"), "left").select("box", "id", F.coalesce("component", "id").alias("part"))
+    open_boxes = others.groupBy("box").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    open_boxes = durable(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
+    if not open_boxes.isEmpty():
+        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point"), "id"), leaves, percent, page_shingles)
+        parts = _joined(parts, components(found))
+    rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
+    shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
+    if not shared.isEmpty():
+        same = components(rows.join(shared.select("doc_id", "low"), "doc_id").where("part is not null").select(F.col("part").alias("a"), F.col("low").alias("b")))
+        rows = rows.join(same, F.col("part") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "part").alias("part"))
+    lowest = durable(rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
+    return rows.join(lowest, "part", "left").select("doc_id", "version", "n_shingles", component, "part")
+
+
+def _joined(parts: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component) after the components ``joined`` (node, component) have been merged; what only ``joined`` has is added."""
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    moved = parts.join(to, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    return durable(moved.unionByName(joined.join(parts, "node", "left_anti")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquet.llm import bpe
-from barquet.llm.common import shared_folder, table
+from barquet.llm.common import durable, shared_folder, table
 from barquet.llm.decontaminate import contamination
 from barquet.llm.jaccard import near_duplicates
 from barquet.llm.quality import fit, keep_good
@@ -31,12 +31,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates (five words, 0.8).
+    """One row of each group of near duplicates (five words, 0.8): that with the smallest doc_id, null last.
 
-    Documents without words have none and stay; so do rows without a doc_id.
+    Texts without words have no group and stay. Of rows that repeat both doc_id and text one stays, of texts that
+    share a doc_id, which are one group, the one with the smallest hash.
     """
-    copies = near_duplicates(docs, words=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    found = durable(near_duplicates(docs, words=5, percent=80).where("part is not null").select("part", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version").alias("row")))
+    best = durable(found.groupBy("part").agg(F.min("row").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    named = lambda df: df.select(F.col("row.doc_id").alias("other_id"), F.col("row.version").alias("other_version"))
+    in_groups = found.join(best, "part")
+    others = named(in_groups.where(~F.col("row").eqNullSafe(F.col("best")))).distinct()
+    repeated = durable(named(in_groups.where(F.col("row").eqNullSafe(F.col("best"))).groupBy("row").count().where("count > 1")))
+
+    def same(df: DataFrame):
+        return docs.doc_id.eqNullSafe(df.other_id) & (F.xxhash64(docs.text.cast("string")) == df.other_version)
+
+    kept = docs.join(others, same(others), "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same(repeated), "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_pipeline_cases(spark):
         out = stage(spark, docs, SMALL).collect()
         assert out and all(r["kept_text"] == "clash" for r in out if "kept_text" in r)
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, SMALL).collect()]
-    assert sorted(kept, key=str) == [1, 1, 3, 4, None]
+    assert sorted(kept, key=str) == [1, 3, 4, None]  # one row of a group, repeated or not
 
 
 def test_pipeline_leaks_by_text(spark):
