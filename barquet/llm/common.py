@@ -40,6 +40,26 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys; of sorted batches, those of each key. Holds a run and a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        at = [0, *cuts.tolist(), batch.num_rows]
+        if held and any(held[-1][k][-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(at[:-2], at[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(i, j - i)])
+            held = []
+        held.append(batch.slice(at[-2], at[-1] - at[-2]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen, computed once per word."""
 

@@ -9,12 +9,12 @@ count, so that sum bounds their similarity from above. Groups nest: 2**48 fine o
    children as the bound allows: groups are taken by rising mass until those left, summed, fall below
    the least overlap that a link needs. Two points without a common child have summed minima below it,
    so no link is lost; and what a third of all documents hold has a large mass and is hardly ever taken.
-2. Each point of a child is compared with the child's first point: coordinates first, then shingles.
-   That joins copies into parts with a number of comparisons in proportion to the entries.
+2. Each point of a child is compared with the child's first point: sizes and coordinates first, then
+   shingles. That joins copies into parts with a number of comparisons in proportion to the entries.
 3. Children of which the other points still lie in more than one part are searched on: their points
-   fill pages, of alike size and part, pages fill nodes, and both have boxes of lowest and highest size and
+   fill pages, of alike size, pages fill nodes, and both have boxes of lowest and highest size and
    highest coordinates. Pairs of nodes, then of pages, are left out by sizes and summed minima, as are
-   pages in one part; in a pair of pages, pairs of points are, and what survives is verified.
+   pages in one part; in a pair of pages, points are, and what survives is verified on the shingles.
 
 Children with the same points are searched once. Equal sets are one point. All steps are exact but for
 hashes: shingles and sets are told apart by 64 bits. The result doesn't depend on the size of pages.
@@ -22,13 +22,15 @@ hashes: shingles and sets are told apart by 64 bits. The result doesn't depend o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, durable, rolling, slices
+from barquet.llm.common import WordHashes, durable, rolling, runs, slices
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
@@ -70,10 +72,32 @@ def _children(s: np.ndarray, masses: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) + len(b) > 1000:  # of long texts GROUPS coordinates tell little: once more the same bound, with more of them
+        counts = (np.bincount((s >> np.uint64(51)).astype(np.int64), minlength=1 << 13) for s in (a, b))
+        if (100 + percent) * np.minimum(*counts).sum() < percent * (len(a) + len(b)):
+            return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
+def _survivors(n: np.ndarray, points: np.ndarray, page: np.ndarray, part: np.ndarray, percent: int, step: int = 1024) -> np.ndarray:
+    """Which points have another in a different part whose bound allows a link: in the other page, or within one if there is one."""
+    order = np.argsort(n, kind="stable")
+    n, points, page, part = n[order], points[order], page[order], part[order]
+    found, two = np.zeros(len(n), bool), len(np.unique(page)) > 1
+    for i in range(1, len(n)):
+        low = int(np.searchsorted(n, _least_overlap(n[i], percent)))
+        for high in range(i, low, -step):
+            others = np.arange(max(low, high - step), high)
+            others = others[(part[others] != part[i]) & ((page[others] != page[i]) | (not two)) & ~(found[others] & found[i])]
+            ok = (100 + percent) * np.minimum(points[others], points[i]).sum(1) >= percent * (n[others] + n[i])
+            found[others[ok]] = True
+            found[i] |= ok.any()
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
+
+
 def _links(sets: list[np.ndarray], page: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between different parts, enough to connect what is linked: between the two pages, or within one if there is one."""
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -84,8 +108,6 @@ def _links(sets: list[np.ndarray], page: np.ndarray, part: np.ndarray, percent:
     for i in range(1, len(sets)):
         others = np.arange(int(np.searchsorted(n, _least_overlap(n[i], percent))), i)
         others = others[(part[others] != part[i]) & ((page[others] != page[i]) | (not two))]
-        if not len(others):
-            continue
         bound = np.minimum(points[others], points[i]).sum(1)
         ok = (100 + percent) * bound >= percent * (n[others] + n[i])
         for j in others[ok][np.argsort(-bound[ok], kind="stable")]:
@@ -116,21 +138,30 @@ def _boxes(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(*shape).withColumn("most", F.array(*[f"g{g}" for g in range(GROUPS)])).drop(*[f"g{g}" for g in range(GROUPS)])
 
 
-def _search(points: DataFrame, leaves: DataFrame, percent: int, page_shingles: int) -> DataFrame:
-    """Links (a, b) between parts: points (box, id, size, point, part) of each box against each other, by pages and nodes."""
+_VISIT = ["box", "page_a", "page_b"]
+
+
+def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``f`` of the rows of each visit to a pair of pages; a task holds one visit at a time."""
+
+    def each(batches):
+        for rows in runs(batches, _VISIT):
+            yield f(rows)
+
+    return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
+
+
+def _search(points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
+    """Links (a, b) between parts: points (box, id, size, point, part) of each box against each other, by nodes, pages and points."""
     points = points.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
-    # Pages needed for a part, a size class and a box, by counts that are aggregated before they are shuffled.
-    by_part = points.groupBy("box", "class", "part").agg(F.sum("size").alias("in_part"))
-    by_class = by_part.groupBy("box", "class").agg(F.sum("in_part").alias("in_class"))
+    # Pages that a size class and a box need, by sums that are aggregated before they are shuffled.
+    by_class = points.groupBy("box", "class").agg(F.sum("size").alias("in_class"))
     by_box = by_class.groupBy("box").agg(F.sum("in_class").alias("in_box"))
-    need = by_part.join(by_class, ["box", "class"]).join(by_box, "box")
-    pages = lambda c: F.ceil(F.col(c) / page_shingles)
     one = F.col("in_box") <= page_shingles
-    slot = F.when(one, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("part"), pages("in_class")))
-    need = need.select("box", "class", "part", F.when(one, F.lit(-1)).otherwise(F.col("class")).alias("shelf"), slot.alias("slot"), F.when(one, F.lit(1).cast("long")).otherwise(pages("in_part")).alias("salts"))
-    paged = points.join(need, ["box", "class", "part"])
-    paged = paged.withColumn("node", F.xxhash64("shelf", F.floor(F.col("slot") / 16))).withColumn("page", F.xxhash64("shelf", "slot", F.pmod(F.xxhash64("id"), F.col("salts"))))
-    paged = durable(paged.select("box", "node", "page", "id", "size", "point", "part"))
+    need = by_class.join(by_box, "box").select("box", "class", F.when(one, -1).otherwise(F.col("class")).alias("shelf"), F.when(one, 1).otherwise(F.ceil(F.col("in_class") / page_shingles)).alias("slots"))
+    slot = F.pmod(F.xxhash64("id"), "slots")
+    paged = points.join(need, ["box", "class"]).select("box", F.xxhash64("shelf", F.floor(slot / 16)).alias("node"), F.xxhash64("shelf", slot).alias("page"), "id", "size", "point", "part")
+    paged = durable(paged)
 
     apart = F.least("part_low_a", "part_low_b") < F.greatest("part_high_a", "part_high_b")
     nodes = _boxes(paged, "box", "node")
@@ -138,14 +169,24 @@ def _search(points: DataFrame, leaves: DataFrame, percent: int, page_shingles: i
     leaf = _boxes(paged, "box", "node", "page")
     pairs = nodes.join(_side(leaf, "a", "box"), ["box", "node_a"]).join(_side(leaf, "b", "box"), ["box", "node_b"])
     pairs = pairs.where((F.col("node_a") < F.col("node_b")) | (F.col("page_a") <= F.col("page_b"))).where(apart).where(_may_link(percent))
-    visits = pairs.select("box", "page_a", "page_b", F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page"))
+    visited = pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
+
+    def survive(rows: pa.Table) -> pa.RecordBatch:
+        coordinates = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        found = _survivors(rows["size"].to_numpy(), coordinates, rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
+        return pa.RecordBatch.from_struct_array(rows.select([*_VISIT, "page", "id", "part"]).filter(pa.array(found)).to_struct_array().combine_chunks())
 
-    def link(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    def link(rows: pa.Table) -> pa.RecordBatch:
         found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    visited = visits.join(paged.select("box", "page", "id", "part"), ["box", "page"]).join(leaves, "id").drop("id")
-    return visited.groupBy("box", "page_a", "page_b").applyInArrow(link, "a long, b long")
+    left = durable(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long"))
+    # Visits that have come down to the same points are one.
+    side = (F.col("page") == F.col("page_a")).cast("int")
+    same = left.groupBy(*_VISIT).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", side)).alias("x"), F.bit_xor(F.xxhash64("id", side, F.lit(1))).alias("y"))
+    same = same.groupBy("n", "x", "y").agg(F.min(F.struct(*_VISIT)).alias("visit")).select("visit.*")
+    left = durable(left.join(same, _VISIT))
+    return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 20) -> DataFrame:
@@ -212,12 +253,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             hashes = WordHashes()
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t, words, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    texts = docs.join(points, docs.doc_id.eqNullSafe(points.best_id) & (docs.version == points.best_version)).select("id", "text").dropDuplicates(["id"])
-    leaves = durable(texts.mapInArrow(as_sets, "id long, shingles binary"))
+    def fetch(ids: DataFrame) -> DataFrame:
+        """The sets of points: id, shingles."""
+        asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
+        texts = docs.join(asked, docs.doc_id.eqNullSafe(asked.best_id) & (docs.version == asked.best_version)).select("id", "text").dropDuplicates(["id"])
+        return durable(texts.mapInArrow(as_sets, "id long, shingles binary"))
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
     pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
-    pairs = pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b")
+    pairs = durable(pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
+    leaves = fetch(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
 
     def verify(batches):
         for batch in slices(batches):
@@ -232,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     open_boxes = others.groupBy("box").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     open_boxes = durable(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
     if not open_boxes.isEmpty():
-        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point"), "id"), leaves, percent, page_shingles)
+        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point"), "id"), fetch, percent, page_shingles)
         parts = _joined(parts, components(found))
     rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
     shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
