@@ -16,27 +16,29 @@ def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges to (node, component): the smallest node that each node reaches.
 
     The graph is contracted in rounds: each node points to the first of its neighbours and itself, in the
-    order of a hash; pointers are followed four steps; edges are rewritten to where they end, until
+    order of a hash; pointers are followed two steps; edges are rewritten to where they end, until
     none is left. By hashes pointer paths are short whatever the ids, so the rounds grow with the logarithm
     of the number of nodes. First neighbours are aggregated before they are shuffled, and all joins
     are of written tables, so that Spark can split a node with many edges; every round is
     written to the shared checkpoint folder. No edges give no rows.
     """
     edges = _ordered(edges)
-    found = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).limit(0)
-    first = True
+    nobody, moves = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0), []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         nearest = both.select("a", F.least(place("a"), place("b")).alias("p")).groupBy("a").agg(F.min_by("p.n", "p.h").alias("to"))
         parents = durable(nearest.select(F.col("a").alias("node"), "to"))
-        for _ in range(2):
-            parents = durable(parents.join(parents.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select("node", F.col("end").alias("to")))
-        moved = parents.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        found = parents if first else durable(found.join(moved, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
-        first = False
+        moved = durable(parents.join(parents.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select(F.col("node").alias("to"), "end"))
+        moves.append(moved)
         for c in ("a", "b"):
             edges = edges.join(moved.withColumnRenamed("to", c), c).drop(c).withColumnRenamed("end", c)
         edges = _ordered(edges)
+    if not moves:
+        return nobody
+    found = moves[0].toDF("node", "to")
+    for moved in moves[1:]:
+        found = found.join(moved, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    found = durable(found)
     lowest = durable(found.groupBy("to").agg(F.min("node").alias("component")))
     return found.join(lowest, "to").select("node", "component")

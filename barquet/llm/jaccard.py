@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Shingles are hashed into groups, and the set
 becomes the point of its group counts. Two sets share at most the sum over groups of the smaller
 count, so that sum bounds their similarity from above. Groups nest: 2**48 fine ones at the root,
-65,536 in which the mass of the whole corpus is counted, 64 coordinates in the boxes of the levels below.
+65,536 in which the mass of the whole corpus is counted, 64 coordinates in the boxes of the levels below,
+and for each point as many as tell unrelated texts of its size apart.
 
 1. Root. A child is the half-space of points with a count in one fine group. A point goes to as few
    children as the bound allows: groups are taken by rising mass until those left, summed, fall below
@@ -14,7 +15,7 @@ count, so that sum bounds their similarity from above. Groups nest: 2**48 fine o
 3. Children of which the other points still lie in more than one part are searched on: their points
    fill pages, of alike size, pages fill nodes, and both have boxes of lowest and highest size and
    highest coordinates. Pairs of nodes, then of pages, are left out by sizes and summed minima, as are
-   pages in one part; in a pair of pages, points are, and what survives is verified on the shingles.
+   pages in one part; in a pair of pages, pairs of points are, and what survives is verified on the shingles.
 
 Children with the same points are searched once. Equal sets are one point. All steps are exact but for
 hashes: shingles and sets are told apart by 64 bits. The result doesn't depend on the size of pages.
@@ -35,7 +36,7 @@ from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
 GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
-_DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, masses array<long>"
+_DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, fine binary, masses array<long>"
 _LEAST = np.uint64(64 - FINE_BITS)
 
 
@@ -60,6 +61,29 @@ def _points(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32).reshape(-1, GROUPS)
 
 
+def _fine_point(s: np.ndarray) -> np.ndarray:
+    """Counts in so many groups, a power of two, that a group has 2 to 4 shingles of the set."""
+    bits = min(16, max(6, (len(s) // 4).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+
+def _coded(point: np.ndarray) -> bytes:
+    """One byte a group if that is enough, else four."""
+    small = bool(point.max() < 256)
+    return bytes([small]) + point.astype(np.uint8 if small else np.uint32).tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[0] else np.uint32, offset=1).astype(np.int64)
+
+
+def _fine_minima(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed minima in the groups of the coarser of both."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(1)).sum())
+
+
 def _least_overlap(n: int, percent: int) -> int:
     """The least overlap with a set of ``n`` that a link needs: no union is smaller than ``n``."""
     return -(-percent * n // 100)
@@ -72,27 +96,31 @@ def _children(s: np.ndarray, masses: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if len(a) + len(b) > 1000:  # of long texts GROUPS coordinates tell little: once more the same bound, with more of them
-        counts = (np.bincount((s >> np.uint64(51)).astype(np.int64), minlength=1 << 13) for s in (a, b))
-        if (100 + percent) * np.minimum(*counts).sum() < percent * (len(a) + len(b)):
-            return False
+    if len(a) + len(b) > 2000 and (100 + percent) * _fine_minima(_fine_point(a), _fine_point(b)) < percent * (len(a) + len(b)):
+        return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _survivors(n: np.ndarray, points: np.ndarray, page: np.ndarray, part: np.ndarray, percent: int, step: int = 1024) -> np.ndarray:
-    """Which points have another in a different part whose bound allows a link: in the other page, or within one if there is one."""
+def _survivors(n: np.ndarray, points: np.ndarray, fine: list[bytes], page: np.ndarray, part: np.ndarray, percent: int, step: int = 1024) -> np.ndarray:
+    """Which points have another in a different part whose bounds allow a link: in the other page, or within one if there is one."""
     order = np.argsort(n, kind="stable")
     n, points, page, part = n[order], points[order], page[order], part[order]
     found, two = np.zeros(len(n), bool), len(np.unique(page)) > 1
+    read: dict[int, np.ndarray] = {}
     for i in range(1, len(n)):
         low = int(np.searchsorted(n, _least_overlap(n[i], percent)))
         for high in range(i, low, -step):
             others = np.arange(max(low, high - step), high)
             others = others[(part[others] != part[i]) & ((page[others] != page[i]) | (not two)) & ~(found[others] & found[i])]
             ok = (100 + percent) * np.minimum(points[others], points[i]).sum(1) >= percent * (n[others] + n[i])
-            found[others[ok]] = True
-            found[i] |= ok.any()
+            for j in others[ok].tolist():
+                if not (found[i] and found[j]):
+                    for x in (i, j):
+                        if x not in read:
+                            read[x] = _decoded(fine[order[x]])
+                    if (100 + percent) * _fine_minima(read[i], read[j]) >= percent * (n[i] + n[j]):
+                        found[i] = found[j] = True
     out = np.empty(len(n), bool)
     out[order] = found
     return out
@@ -151,29 +179,35 @@ def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: st
     return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
 
 
-def _search(points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
-    """Links (a, b) between parts: points (box, id, size, point, part) of each box against each other, by nodes, pages and points."""
+def _page_pairs(points: DataFrame, percent: int, page_shingles: int) -> DataFrame:
+    """The points of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
     points = points.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
-    # Pages that a size class and a box need, by sums that are aggregated before they are shuffled.
-    by_class = points.groupBy("box", "class").agg(F.sum("size").alias("in_class"))
-    by_box = by_class.groupBy("box").agg(F.sum("in_class").alias("in_box"))
-    one = F.col("in_box") <= page_shingles
-    need = by_class.join(by_box, "box").select("box", "class", F.when(one, -1).otherwise(F.col("class")).alias("shelf"), F.when(one, 1).otherwise(F.ceil(F.col("in_class") / page_shingles)).alias("slots"))
-    slot = F.pmod(F.xxhash64("id"), "slots")
-    paged = points.join(need, ["box", "class"]).select("box", F.xxhash64("shelf", F.floor(slot / 16)).alias("node"), F.xxhash64("shelf", slot).alias("page"), "id", "size", "point", "part")
-    paged = durable(paged)
-
+    pages = points.groupBy("box", "class").agg(F.ceil(F.sum("size") / page_shingles).alias("pages"))
+    slot = F.pmod(F.xxhash64("id"), "pages")
+    paged = points.join(pages, ["box", "class"]).withColumn("node", F.xxhash64("class", F.floor(slot / 16))).withColumn("page", F.xxhash64("class", slot))
+    paged = durable(paged.drop("class", "pages"))
     apart = F.least("part_low_a", "part_low_b") < F.greatest("part_high_a", "part_high_b")
     nodes = _boxes(paged, "box", "node")
     nodes = _side(nodes, "a", "box").join(_side(nodes, "b", "box"), "box").where(F.col("node_a") <= F.col("node_b")).where(apart).where(_may_link(percent)).select("box", "node_a", "node_b")
     leaf = _boxes(paged, "box", "node", "page")
     pairs = nodes.join(_side(leaf, "a", "box"), ["box", "node_a"]).join(_side(leaf, "b", "box"), ["box", "node_b"])
     pairs = pairs.where((F.col("node_a") < F.col("node_b")) | (F.col("page_a") <= F.col("page_b"))).where(apart).where(_may_link(percent))
-    visited = pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
+    return pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
+
+
+def _search(points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
+    """Links (a, b) between parts: points (box, id, size, point, fine, part) of each box against each other, by nodes, pages and points."""
+    in_box = points.groupBy("box").agg(F.sum("size").alias("in_box"))  # aggregated before it is shuffled
+    points = durable(points.join(in_box, "box"))
+    small, large = points.where(F.col("in_box") <= page_shingles).drop("in_box"), points.where(F.col("in_box") > page_shingles).drop("in_box")
+    columns = [*_VISIT, "page", "id", "size", "point", "fine", "part"]
+    visited = small.withColumns({c: F.lit(0).cast("long") for c in ("page_a", "page_b", "page")}).select(columns)
+    if not large.isEmpty():
+        visited = visited.unionByName(_page_pairs(large, percent, page_shingles).select(columns))
 
     def survive(rows: pa.Table) -> pa.RecordBatch:
         coordinates = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-        found = _survivors(rows["size"].to_numpy(), coordinates, rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
+        found = _survivors(rows["size"].to_numpy(), coordinates, rows["fine"].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_struct_array(rows.select([*_VISIT, "page", "id", "part"]).filter(pa.array(found)).to_struct_array().combine_chunks())
 
     def link(rows: pa.Table) -> pa.RecordBatch:
@@ -181,11 +215,6 @@ def _search(points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     left = durable(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long"))
-    # Visits that have come down to the same points are one.
-    side = (F.col("page") == F.col("page_a")).cast("int")
-    same = left.groupBy(*_VISIT).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", side)).alias("x"), F.bit_xor(F.xxhash64("id", side, F.lit(1))).alias("y"))
-    same = same.groupBy("n", "x", "y").agg(F.min(F.struct(*_VISIT)).alias("visit")).select("visit.*")
-    left = durable(left.join(same, _VISIT))
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
@@ -205,14 +234,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
 
     def describe(batches):
         """A row per document, and at the end one with the masses of all groups."""
-        names, masses = ["doc_id", "version", "n_shingles", "id", "point", "masses"], np.zeros(MASSES, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names, masses = ["doc_id", "version", "n_shingles", "id", "point", "fine", "masses"], np.zeros(MASSES, np.int64)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
         for batch in slices(batches):
             hashes = WordHashes()
             sets = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
             masses += np.bincount(_mass_group(np.concatenate(sets)), minlength=MASSES)
             points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(_points(sets).ravel()))
-            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [None] * len(sets)]
+            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [_coded(_fine_point(s)) for s in sets], [None] * len(sets)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
 
@@ -245,8 +274,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
 
     # Of each point that shares a box: a row with its text, its size and its coordinates.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
-    points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"))
-    points = durable(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point"))
+    points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    points = durable(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "fine"))
 
     def as_sets(batches):
         for batch in slices(batches):
@@ -277,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     open_boxes = others.groupBy("box").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     open_boxes = durable(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
     if not open_boxes.isEmpty():
-        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point"), "id"), fetch, percent, page_shingles)
+        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point", "fine"), "id"), fetch, percent, page_shingles)
         parts = _joined(parts, components(found))
     rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
     shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
