@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Gives memory that isn't in use back to the system: Python workers live on from task to task, and their free memory with them."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in parts of few rows: Python holds the texts of a part at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        tidy()
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
