@@ -21,11 +21,11 @@ import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barquet.llm.blocks import BLOCK_BYTES
+from barquet.llm.blocks import BLOCK_BYTES, tidied
 from barquet.llm.common import slices
 
 CHUNK_BYTES = 2 << 20
@@ -84,6 +84,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _home(chunk: int, buckets: int) -> int:
+    """Where the documents of a chunk meet the ids of their words."""
+    return xxhash.xxh64_intdigest(chunk.to_bytes(8, "little")) % buckets
+
+
 class _Chunk:
     """Documents of a task, as numbers of words in order of first use."""
 
@@ -108,7 +113,7 @@ class _Chunk:
         rank[order] = np.arange(len(words), dtype=np.uint32)
         encoded = [words[i].encode() for i in order]
         bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in encoded), np.uint32, len(encoded))
-        home = chunk % buckets
+        home = _home(chunk, buckets)
         out = [(home, 0, chunk, None, self.docs, [len(c) for c in self.codes], _packed(rank[codes]), _packed(bucket))]
         at = np.argsort(bucket, kind="stable")
         for part in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
@@ -158,7 +163,7 @@ def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_byte
         out = []
         for chunk, bucket, words in asked:
             ids = [table[w] for w in words]
-            out.append((chunk % n, chunk, bucket, _packed(np.array([i for x in ids for i in x], np.uint32)), _packed(np.array([len(x) for x in ids]))))
+            out.append((_home(chunk, n), chunk, bucket, _packed(np.array([i for x in ids for i in x], np.uint32)), _packed(np.array([len(x) for x in ids]))))
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["target", "chunk", "bucket", "data", "more"])
@@ -188,14 +193,10 @@ def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_byte
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
         return pa.table({"doc_id": pa.array(docs_out, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
 
-    sent = docs.mapInArrow(split, _SENT).repartition(n, "target")
-    encoded = sent.groupBy("target").applyInArrow(encode_words, _ENCODED).repartition(n, "target")
-    return sent.groupBy("target").cogroup(encoded.groupBy("target")).applyInArrow(join_ids, "doc_id long, ids array<int>")
-
-
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The vocabulary as a table: id int, piece binary."""
-    return spark.createDataFrame(list(enumerate(_pieces(read_tokenizer(path)))), "id int, piece binary").where("piece is not null")
+    # In a fixed order, so that a task that runs again after a lost executor makes the same chunks.
+    sent = docs.sortWithinPartitions("doc_id", "text").mapInArrow(split, _SENT).repartition(n, "target")
+    encoded = sent.groupBy("target").applyInArrow(tidied(encode_words), _ENCODED).repartition(n, "target")
+    return sent.groupBy("target").cogroup(encoded.groupBy("target")).applyInArrow(tidied(join_ids), "doc_id long, ids array<int>")
 
 
 def _pieces(spec: str) -> list[bytes | None]:
