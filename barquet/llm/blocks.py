@@ -6,6 +6,7 @@ and sent to the bucket of their hash; the bucket merges what all blocks sent and
 same order. Sorting makes requests independent of the order in which rows arrive, so that the
 block finds its keys again when it gets the answers, even after a lost executor.
 A key costs a few bytes in the shuffle, and a hot key one entry a block instead of one a row.
+With more blocks than a block has keys, a request holds one key, and the exchange is one of rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, pack, unpack
+from barquet.llm.common import WordHashes, pack, tidy, unpack
 
 REQUEST = "bucket int, block int, kind int, n long, keys binary, extra binary"
 ANSWER = "block int, bucket int, kind int, answer binary"
@@ -25,22 +26,28 @@ BLOCK_BYTES = 8 << 20
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text and others) dealt by doc_id into blocks of about ``block_bytes`` of text, and their number."""
+    """``docs`` (doc_id, text and others) dealt into blocks of about ``block_bytes`` of text, and their number.
+
+    A doc_id with many texts is dealt into many blocks by ``tie``, 16 bits of a hash of the text; texts that share both share a block.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block"), n
+    docs = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 48).cast("int"))
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n)).cast("int")).repartition(n, "block"), n
 
 
 class Block:
-    """The documents of a block in order of doc_id, and the hashes of all their words in one array; the words themselves aren't held."""
+    """The documents of a block in order of doc_id, tie and text, and the hashes of all their words in one array; the words themselves aren't held."""
 
     def __init__(self, rows: pa.Table, split: Callable[[str], list[bytes]]):
         ids = rows["doc_id"].to_pylist()
         texts = rows["text"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+        ties = rows["tie"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, ties[i], texts[i] or ""))
         self.rows = rows.take(order) if order else rows
         self.ids = np.array([-(1 << 63) if ids[i] is None else ids[i] for i in order], np.int64)
+        self.ties = np.array([ties[i] for i in order], np.uint16)
         cache = WordHashes()
         hashes = [cache.of(split(texts[i] or "")) for i in order]
         del texts
@@ -63,16 +70,16 @@ def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 def request(block: int, kind: int, keys: np.ndarray, extra: np.ndarray, n: int) -> pa.RecordBatch:
     """Rows of REQUEST for sorted ``keys``; ``extra`` has one fixed-size value per key."""
-    at = np.searchsorted(buckets_of(keys, n), np.arange(n + 1))
-    full = [b for b in range(n) if at[b] < at[b + 1]]
+    full, at = np.unique(buckets_of(keys, n), return_index=True)
+    parts = [slice(i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)] if len(keys) else []
     return pa.RecordBatch.from_arrays(
         [
             pa.array(full, pa.int32()),
-            pa.array([block] * len(full), pa.int32()),
-            pa.array([kind] * len(full), pa.int32()),
-            pa.array([int(at[b + 1] - at[b]) for b in full], pa.int64()),
-            pa.array([pack(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-            pa.array([pack(extra[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            pa.array([block] * len(parts), pa.int32()),
+            pa.array([kind] * len(parts), pa.int32()),
+            pa.array([p.stop - p.start for p in parts], pa.int64()),
+            pa.array([pack(keys[p]) for p in parts], pa.binary()),
+            pa.array([pack(extra[p]) for p in parts], pa.binary()),
         ],
         names=["bucket", "block", "kind", "n", "keys", "extra"],
     )
@@ -94,7 +101,7 @@ def resolve(requests: DataFrame, n: int, extra: str, merge: Callable[[np.ndarray
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "kind", "answer"])
 
-    return requests.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER)
+    return requests.repartition(n, "bucket").groupBy("bucket").applyInArrow(tidied(answer), ANSWER)
 
 
 def answers(rows: pa.Table, kind: int, dtype, n: int) -> np.ndarray:
@@ -112,4 +119,14 @@ def sent(f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
     def apply(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(f(key[0].as_py(), rows)))
 
-    return apply
+    return tidied(apply)
+
+
+def tidied(f: Callable) -> Callable:
+    """``f`` for applyInArrow, of one to three arguments; what it no longer uses goes back to the system."""
+
+    def done(out):
+        tidy()
+        return out
+
+    return {1: lambda a: done(f(a)), 2: lambda a, b: done(f(a, b)), 3: lambda a, b, c: done(f(a, b, c))}[f.__code__.co_argcount]

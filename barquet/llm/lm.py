@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent
+from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent, tidied
 from barquet.llm.common import rolling
 
 
@@ -52,7 +52,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_by
 
     Returns a row per row of docs: doc_id, n_words, n_seen (words whose longest n-gram others have) and
     score_micro, the sum over words of the natural logarithm in millionths, each rounded, so that sums
-    don't depend on their order. A text without words, or null, scores 0; so does every text if no other
+    don't depend on their order. N-grams are told apart by 64-bit hashes. A text without words, or null, scores 0; so does every text if no other
     has words. Rows that share a doc_id are documents of their own. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -92,4 +92,4 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_by
         per = lambda v: np.bincount(b.doc, v, len(b.lengths)).astype(np.int64)
         return pa.table({"doc_id": b.rows["doc_id"], "n_words": b.lengths, "n_seen": per(seen & (others > 0)), "score_micro": per(micro)})
 
-    return groups(dealt).cogroup(groups(counts.repartition(n, "block"))).applyInArrow(score, "doc_id long, n_words long, n_seen long, score_micro long")
+    return groups(dealt).cogroup(groups(counts.repartition(n, "block"))).applyInArrow(tidied(score), "doc_id long, n_words long, n_seen long, score_micro long")

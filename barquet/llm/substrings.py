@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent
+from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent, tidied
 from barquet.llm.common import BASE_B, mixed, rolling
 
 
@@ -60,12 +60,12 @@ def _merge_anchors(keys: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarra
     return np.minimum(np.bincount(inverse, counts), 2).astype(np.uint8)[inverse]
 
 
-#: What a window's request carries besides its key: the rest of the hash, and the document of its first occurrence in the block.
-_WINDOW = np.dtype([("rest", "<u4"), ("doc", "<i8")])
+#: What a window's request carries besides its key: the rest of the hash, and the document of its first occurrence in the block, by doc_id and tie.
+_WINDOW = np.dtype([("rest", "<u4"), ("doc", "<i8"), ("tie", "<u2")])
 
 
 def _merge_windows(keys: np.ndarray, extra: np.ndarray, kind: int) -> np.ndarray:
-    order = np.lexsort((extra["doc"], extra["rest"], keys))
+    order = np.lexsort((extra["tie"], extra["doc"], extra["rest"], keys))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(keys[order]) != 0) | (np.diff(extra["rest"][order].astype(np.int64)) != 0)
     first = np.zeros(len(order), np.uint8)
@@ -86,7 +86,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
 
     A null or empty text has no words, and its kept_text is empty. Texts of any length are taken
     whole. doc_id should be unique; rows that share one count as one after another in the order of
-    their texts, and null as the smallest. An empty table gives an empty one.
+    a hash of their texts, and null as the smallest. An empty table gives an empty one.
     """
     if window < 4:
         raise ValueError("a window has 4 words at least")
@@ -94,7 +94,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
     dealt, n = in_blocks(docs, block_bytes)
-    slim, schema = dealt.select("block", "doc_id", "text"), T.StructType([*docs.schema, *_KEPT])
+    slim, schema = dealt.select("block", "doc_id", "tie", "text"), T.StructType([*docs.schema, *_KEPT])
     bits = min(64, 38 + (n * block_bytes >> 10).bit_length() - 14)  # chance hits stay rare at any size
     groups, docs_columns = lambda df: df.groupBy("block"), docs.columns
 
@@ -109,10 +109,10 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         found = _anchor_keys(b, k, bits)
         _, first, second, at, _ = _windows(b, window, answers(got, 1, np.uint8, len(found[1])), found)
         extra = np.empty(len(first), _WINDOW)
-        extra["rest"], extra["doc"] = second, b.ids[b.doc[at]]
+        extra["rest"], extra["doc"], extra["tie"] = second, b.ids[b.doc[at]], b.ties[b.doc[at]]
         return pa.Table.from_batches([request(key[0].as_py(), 2, first, extra, n)])
 
-    asked = groups(slim).cogroup(groups(anchors.repartition(n, "block"))).applyInArrow(ask_windows, REQUEST)
+    asked = groups(slim).cogroup(groups(anchors.repartition(n, "block"))).applyInArrow(tidied(ask_windows), REQUEST)
     firsts = resolve(asked, n, _WINDOW, _merge_windows)
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table, got: pa.Table) -> pa.Table:
@@ -134,4 +134,4 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         return pa.table({c: b.rows[c] for c in docs_columns} | own)
 
     both = anchors.unionByName(firsts).repartition(n, "block")
-    return groups(dealt).cogroup(groups(both)).applyInArrow(keep, schema).select("doc_id", "text", "others.*", *[f.name for f in _KEPT]).drop("_")
+    return groups(dealt).cogroup(groups(both)).applyInArrow(tidied(keep), schema).select("doc_id", "text", "others.*", *[f.name for f in _KEPT]).drop("_")
