@@ -62,19 +62,24 @@ def _points(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _fine_point(s: np.ndarray) -> np.ndarray:
-    """Counts in so many groups, a power of two, that a group has 2 to 4 shingles of the set."""
-    bits = min(16, max(6, (len(s) // 4).bit_length()))
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+    """Counts in so many groups, a power of two, that a group has a shingle of the set at most on average."""
+    bits = min(24, max(GROUPS.bit_length() - 1, len(s).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
 def _coded(point: np.ndarray) -> bytes:
-    """One byte a group if that is enough, else four."""
-    small = bool(point.max() < 256)
-    return bytes([small]) + point.astype(np.uint8 if small else np.uint32).tobytes()
+    """Half a byte a group if that is enough, else one, else four."""
+    most = int(point.max())
+    if most < 16:
+        return b"\0" + (point[::2] * 16 + point[1::2]).astype(np.uint8).tobytes()
+    return b"\1" + point.astype(np.uint8).tobytes() if most < 256 else b"\4" + point.astype(np.uint32).tobytes()
 
 
 def _decoded(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if data[0] else np.uint32, offset=1).astype(np.int64)
+    if data[0]:
+        return np.frombuffer(data, np.uint8 if data[0] == 1 else np.uint32, offset=1).astype(np.int64)
+    both = np.frombuffer(data, np.uint8, offset=1)
+    return np.stack([both >> 4, both & 15], 1).ravel().astype(np.int64)
 
 
 def _fine_minima(a: np.ndarray, b: np.ndarray) -> int:
@@ -102,10 +107,11 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _survivors(n: np.ndarray, points: np.ndarray, fine: list[bytes], page: np.ndarray, part: np.ndarray, percent: int, step: int = 1024) -> np.ndarray:
+def _survivors(n: np.ndarray, fine: list[bytes], page: np.ndarray, part: np.ndarray, percent: int, step: int = 1024) -> np.ndarray:
     """Which points have another in a different part whose bounds allow a link: in the other page, or within one if there is one."""
     order = np.argsort(n, kind="stable")
-    n, points, page, part = n[order], points[order], page[order], part[order]
+    n, page, part = n[order], page[order], part[order]
+    points = np.array([_decoded(fine[i]).reshape(GROUPS, -1).sum(1) for i in order], np.int32)
     found, two = np.zeros(len(n), bool), len(np.unique(page)) > 1
     read: dict[int, np.ndarray] = {}
     for i in range(1, len(n)):
@@ -179,35 +185,52 @@ def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: st
     return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
 
 
-def _page_pairs(points: DataFrame, percent: int, page_shingles: int) -> DataFrame:
-    """The points of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
-    points = points.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
-    pages = points.groupBy("box", "class").agg(F.ceil(F.sum("size") / page_shingles).alias("pages"))
+def _page_pairs(rows: DataFrame, points: DataFrame, percent: int, page_shingles: int) -> DataFrame:
+    """The rows (box, id, size, part) of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
+    rows = rows.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
+    pages = rows.groupBy("box", "class").agg(F.ceil(F.sum("size") / page_shingles).alias("pages"))
     slot = F.pmod(F.xxhash64("id"), "pages")
-    paged = points.join(pages, ["box", "class"]).withColumn("node", F.xxhash64("class", F.floor(slot / 16))).withColumn("page", F.xxhash64("class", slot))
+    paged = rows.join(pages, ["box", "class"]).withColumn("node", F.xxhash64("class", F.floor(slot / 16))).withColumn("page", F.xxhash64("class", slot))
     paged = durable(paged.drop("class", "pages"))
     apart = F.least("part_low_a", "part_low_b") < F.greatest("part_high_a", "part_high_b")
-    nodes = _boxes(paged, "box", "node")
+    leaf = durable(_boxes(paged.join(points.select("id", "point"), "id"), "box", "node", "page"))
+    shape = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("part_low").alias("part_low"), F.max("part_high").alias("part_high")]
+    nodes = leaf.groupBy("box", "node").agg(*shape, F.array(*[F.max(F.col("most")[g]) for g in range(GROUPS)]).alias("most"))
     nodes = _side(nodes, "a", "box").join(_side(nodes, "b", "box"), "box").where(F.col("node_a") <= F.col("node_b")).where(apart).where(_may_link(percent)).select("box", "node_a", "node_b")
-    leaf = _boxes(paged, "box", "node", "page")
     pairs = nodes.join(_side(leaf, "a", "box"), ["box", "node_a"]).join(_side(leaf, "b", "box"), ["box", "node_b"])
     pairs = pairs.where((F.col("node_a") < F.col("node_b")) | (F.col("page_a") <= F.col("page_b"))).where(apart).where(_may_link(percent))
     return pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
 
 
-def _search(points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
-    """Links (a, b) between parts: points (box, id, size, point, fine, part) of each box against each other, by nodes, pages and points."""
-    in_box = points.groupBy("box").agg(F.sum("size").alias("in_box"))  # aggregated before it is shuffled
-    points = durable(points.join(in_box, "box"))
-    small, large = points.where(F.col("in_box") <= page_shingles).drop("in_box"), points.where(F.col("in_box") > page_shingles).drop("in_box")
-    columns = [*_VISIT, "page", "id", "size", "point", "fine", "part"]
-    visited = small.withColumns({c: F.lit(0).cast("long") for c in ("page_a", "page_b", "page")}).select(columns)
-    if not large.isEmpty():
-        visited = visited.unionByName(_page_pairs(large, percent, page_shingles).select(columns))
+_VISIT = ["box", "page_a", "page_b"]
+
+
+def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``f`` of the rows of each visit to a pair of pages; a task holds one visit at a time."""
+
+    def each(batches):
+        for rows in runs(batches, _VISIT):
+            yield f(rows)
+
+    return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
+
+
+def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
+    """Links (a, b) between parts: of rows (box, id, part), those of each box against each other, by nodes, pages and points."""
+    rows = durable(rows.join(points.select("id", "size"), "id"))
+    in_box = durable(rows.groupBy("box").agg(F.sum("size").alias("in_box")))  # aggregated before it is shuffled
+    large = in_box.where(F.col("in_box") > page_shingles).select("box")
+    columns = [*_VISIT, "page", "id", "size", "part"]
+    none = {c: F.lit(0).cast("long") for c in ("page_a", "page_b", "page")}
+    if large.isEmpty():
+        visited = rows.withColumns(none).select(columns)
+    else:
+        visited = rows.join(large, "box", "left_anti").withColumns(none).select(columns)
+        visited = visited.unionByName(_page_pairs(rows.join(large, "box"), points, percent, page_shingles).select(columns))
+    visited = visited.join(points.select("id", "fine"), "id")
 
     def survive(rows: pa.Table) -> pa.RecordBatch:
-        coordinates = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-        found = _survivors(rows["size"].to_numpy(), coordinates, rows["fine"].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
+        found = _survivors(rows["size"].to_numpy(), rows["fine"].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_struct_array(rows.select([*_VISIT, "page", "id", "part"]).filter(pa.array(found)).to_struct_array().combine_chunks())
 
     def link(rows: pa.Table) -> pa.RecordBatch:
@@ -306,7 +329,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     open_boxes = others.groupBy("box").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     open_boxes = durable(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
     if not open_boxes.isEmpty():
-        found = _search(others.join(open_boxes, "box").join(points.select("id", "size", "point", "fine"), "id"), fetch, percent, page_shingles)
+        found = _search(others.join(open_boxes, "box"), points, fetch, percent, page_shingles)
         parts = _joined(parts, components(found))
     rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
     shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
