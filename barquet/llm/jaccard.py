@@ -36,6 +36,8 @@ from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
 GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
+#: Classes of text hashes: texts whose class nobody asks for are not shuffled. So many rows are broadcast at most.
+SLOTS = 1 << 17
 _DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, fine binary, masses array<long>"
 _LEAST = np.uint64(64 - FINE_BITS)
 
@@ -308,7 +310,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of points: id, shingles."""
         asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
-        texts = docs.join(asked, docs.doc_id.eqNullSafe(asked.best_id) & (docs.version == asked.best_version)).select("id", "text").dropDuplicates(["id"])
+        slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
+        near = docs.join(F.broadcast(asked.select(slot("best_version")).distinct()), slot("version") == F.col("slot"), "left_semi")
+        texts = near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"])
         return durable(texts.mapInArrow(as_sets, "id long, shingles binary"))
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
