@@ -17,22 +17,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Components beyond this, in absolute value, count as this much; inner products then fit 64 bits.
-LARGEST = 1 << 24
+#: The range of scores; a score beyond it counts as its end.
+LOWEST, HIGHEST = np.iinfo(np.int64).min + 2, np.iinfo(np.int64).max
 
 
 def _matrix(lists: list[list[float]], scale: float, width: int) -> np.ndarray:
+    """Integer components. One beyond 2**62 counts as that: times anything but 0 or 1 it is beyond the range of scores."""
     out = np.zeros((len(lists), width), np.int64)
     for i, v in enumerate(lists):
-        out[i, : len(v)] = np.clip(np.floor(np.asarray(v, np.float64)[:width] * scale), -LARGEST, LARGEST)
+        out[i, : len(v)] = np.clip(np.floor(np.asarray(v, np.float64)[:width] * scale), -(2.0**62), 2.0**62)
     return out
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; in floating point only while every sum stays exact."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+    """Exact integer products: in floating point or 64 bits only while every sum stays exact, else by Python's integers."""
+    most = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0
+    if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 1 << 62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, LOWEST, HIGHEST).astype(np.int64)
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not a.size or max(abs(int(x)) for m in (a, b) for x in (m.min(), m.max())) < 1 << 62:
+        return a + b
+    return np.clip(a.astype(object) + b.astype(object), LOWEST, HIGHEST).astype(np.int64)
 
 
 def _better(scores: np.ndarray, ids: np.ndarray, more_scores: np.ndarray, more_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +69,7 @@ class _Search:
         blocks = list(zip(np.split(ids, cuts), np.split(rows, cuts), strict=True))
         most, least = (np.array([f(m, axis=0) for _, m in blocks]) for f in (np.max, np.min))
         up, down = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
-        bounds = _dot(up, most) + _dot(down, least)
+        bounds = _sum(_dot(up, most), _dot(down, least))
         order = np.argsort(-bounds, axis=1, kind="stable")
         for step in range(len(blocks)):
             block = order[:, step]
@@ -86,14 +96,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     vec_id is no candidate. Vectors that are null, or hold null or non-finite components, take no
     part, on either side. Of vectors of unlike lengths the shorter is filled up with zeros, the longer cut to the
     longest query; an empty one scores 0. Ties go to smaller vec_ids; repeated rows rank each. Fewer than k
-    candidates give all. Returns query_id, rank (from 1), vec_id, score. Components are cut to 2**24 in size.
+    candidates give all. Rows that repeat a query count once. Returns query_id, rank (from 1), vec_id, score; a score
+    beyond the range of a long counts as the end of it.
 
     Every pair is scored or excluded by its bound. query_chunk bounds what is broadcast; a larger query set takes more passes.
     """
     valid = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(valid)
     spark, kept = vectors.sparkSession, pick(vectors)
-    asked = pick(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = pick(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).distinct()
     n = asked.count()
     width = (asked.agg(F.max(F.size("query"))).first()[0] or 0) if n else 0
     chunks = max(1, -(-n // query_chunk))

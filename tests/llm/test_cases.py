@@ -140,6 +140,19 @@ def test_top_k(spark):
     assert top_k(v.limit(0), v).count() == 0 and top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact up to a long, and at its end beyond."""
+    rows = [(0, [100000.0, 1.0]), (20, [70000.0, -3.5]), (1, [200000.0, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 1.0]), (4, [0.0, 3e15])]
+    v = spark.createDataFrame([*rows, (0, [100000.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(v, v.where("vec_id % 20 = 0"), 6).collect()]
+    want, top = [], (1 << 63) - 1
+    for q, e in rows[:2]:
+        whole = lambda x: [int(c * 256 // 1) for c in x]
+        scores = [(max(1 - top, min(top, sum(a * b for a, b in zip(whole(e), whole(x), strict=True)))), i) for i, x in [*rows, rows[0]] if i != q]
+        want += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:6], 1)]
+    assert sorted(got) == sorted(want)
+
+
 # 3
 
 
