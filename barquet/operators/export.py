@@ -57,11 +57,16 @@ def tax_csv(rows: DataFrame, dialect: str = "generic") -> DataFrame:
     return head.unionByName(lines).select("place.body", "place.date", "place.type", "place.symbol", "place.seq", "line")
 
 
-#: Columns of a journal's CSV file.
-JOURNAL = ["created_at", "entry_id", "user_id", "action", "signal_tier", "setup_type", "market_condition", "tags", "entry_price", "exit_price", "pnl", "reviewed_at"]
+#: Fixed value: the header line of a journal's CSV file.
+JOURNAL_HEADER = "Date,Symbol,Interval,Action,Signal Score,Signal Tier,Entry Price,Exit Price,P&L %,Setup Type,Market Condition,Tags,Notes,Reviewed"
 
 
 def journal_csv(entries: DataFrame) -> DataFrame:
-    """entry_id and line: the entry's columns as CSV, tags divided by semicolons, times in UTC."""
-    fields = [F.array_join("tags", "; ") if c == "tags" else utc_time(c) if c.endswith("_at") else F.col(c).cast("string") for c in JOURNAL]
-    return entries.select("entry_id", _line(*fields).alias("line"))
+    """entry_id and line: a header, whose entry_id is null, and each entry as CSV; days are in UTC, tags are divided by semicolons."""
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    fields = [
+        iso_day("created_at"), F.col("symbol"), F.col("interval"), F.col("action"), F.floor(F.col("signal_score") + 0.5).cast("string"), F.col("signal_tier"), number("entry_price"), number("exit_price"),
+        F.round(F.col("pnl").cast("decimal(20,8)"), 2).cast("string"), F.col("setup_type"), F.col("market_condition"), F.array_join("tags", "; "), F.col("notes"), F.when(F.col("reviewed_at").isNotNull(), "Yes").otherwise("No"),
+    ]
+    head = entries.sparkSession.range(1).select(F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(JOURNAL_HEADER).alias("line"))
+    return head.unionByName(entries.select("entry_id", _line(*fields).alias("line")))

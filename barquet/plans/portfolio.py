@@ -49,7 +49,12 @@ add("journal_enum_guard", lambda s, d: journal.one_of(t.journal(s, d), "action",
 add("journal_between", lambda s, d: journal.since(t.journal(s, d), 800_000_000_000, 860_000_000_000).select("entry_id"), f"SELECT entry_id FROM {J} WHERE created_at BETWEEN 800000000000 AND 860000000000")
 add("notes_search", lambda s, d: journal.titled(t.read(s, d, "part"), "p_name", "ReD").select("p_partkey"), "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red')")
 add("journal_outcome", lambda s, d: t.journal(s, d).select("entry_id", journal.outcome(F.col("action"), F.col("entry_price"), F.col("entry_price") + 10).alias("outcome")), f"SELECT entry_id, CASE WHEN action = 'sell' THEN -((entry_price + 10 - entry_price) / entry_price * 100) ELSE (entry_price + 10 - entry_price) / entry_price * 100 END AS outcome FROM {J}")
-add("journal_csv", lambda s, d: export.journal_csv(t.journal(s, d)))
+NOTED = {"symbol": "concat('S', user_id)", "interval": "'1h'", "signal_score": "pnl * 4", "notes": "CASE WHEN entry_id % 3 = 0 THEN concat('said \"', action, '\", once') WHEN entry_id % 3 = 1 THEN 'plain' END"}
+CSV_FIELD = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') OR contains({0}, chr(10)) THEN concat('\"', replace({0}, '\"', '\"\"'), '\"') ELSE coalesce({0}, '') END"
+JOURNAL_FIELDS = ["strftime(make_timestamp(created_at * 1000), '%Y-%m-%d')", "symbol", "interval", "action", "CAST(CAST(floor(signal_score + 0.5) AS BIGINT) AS VARCHAR)", "signal_tier", *[f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')" for c in ("entry_price", "exit_price")], "CAST(round(CAST(pnl AS DECIMAL(20,8)), 2) AS VARCHAR)", "setup_type", "market_condition", "array_to_string(tags, '; ')", "notes", "CASE WHEN reviewed_at IS NULL THEN 'No' ELSE 'Yes' END"]
+JOURNAL_CSV = f"""SELECT CAST(NULL AS BIGINT) AS entry_id, '{export.JOURNAL_HEADER}' AS line UNION ALL
+SELECT entry_id, concat({", ',', ".join(CSV_FIELD.format(f) for f in JOURNAL_FIELDS)}) AS line FROM (SELECT *, {", ".join(f"{e} AS {c}" for c, e in NOTED.items())} FROM {J})"""
+add("journal_csv", lambda s, d: export.journal_csv(t.journal(s, d).withColumns({c: F.expr(e) for c, e in NOTED.items()})), JOURNAL_CSV)
 
 
 def _patterns(s, d):

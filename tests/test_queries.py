@@ -14,7 +14,7 @@ def test_sql(name, same_as_sql):
 
 @pytest.mark.parametrize("name", [n for n in plans.queries() if n not in plans.oracle_sql()])
 def test_rows(name, spark):
-    assert plans.queries()[name](spark, SMALL).columns
+    assert plans.queries()[name](spark, SMALL).count() > 0
 
 
 def test_entry(spark):
