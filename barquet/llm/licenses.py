@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A line that starts with one of these, after comment marks, names a holder and is left out.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$"
+#: Lines that name a holder, by a sign, a year or a place for one after the word, or that reserve all rights; they are left out.
+#: A line of the text itself that happens to begin with "copyright" has none of these.
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|[<\[{]))|\(c\)[ \t]|©|all rights reserved[. \t]*$)[^\n]*$"
+
+#: Fixed value: a title in front of the text, a line of few words that ends with "license".
+TITLE_LINE = r"^[ \t\r\n*#/;-]*(the )?([a-z0-9.+'\"-]+ ){1,5}licen[sc]e([ ]*\([a-z0-9 .+-]+\))?[ \t:]*\r?\n"
 
 #: Equivalent spellings, from the public guidelines for matching licence texts.
 EQUIVALENT = {
@@ -74,13 +78,15 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, in one spelling, words divided by one space; null is empty."""
+    """Lower case, without a title, copyright lines and punctuation, in one spelling, words divided by one space; null is empty."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    out = F.regexp_replace(out, TITLE_LINE, "")
+    # Two spaces between words, and one at the ends: each word has its own, so that spellings are replaced as whole words.
+    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit(" "))
     for spelling, one in EQUIVALENT.items():
-        out = F.replace(out, F.lit(spelling), F.lit(one))
-    return out
+        out = F.replace(out, F.lit(f" {spelling} ".replace(" ", "  ")[1:-1]), F.lit(f" {one} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.regexp_replace(out, " +", " "))
 
 
 def digest(text: Column) -> Column:

@@ -12,7 +12,7 @@ from barquet.llm import bpe
 from barquet.llm.common import table
 from barquet.llm.decontaminate import contamination
 from barquet.llm.jaccard import near_duplicates
-from barquet.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, known_licenses, scan_licenses
+from barquet.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, TITLE_LINE, known_licenses, scan_licenses
 from barquet.llm.lm import stupid_backoff
 from barquet.llm.quality import fit, score_documents
 from barquet.llm.sharding import shard_rows
@@ -157,10 +157,13 @@ def _sql5() -> str:
     from barquet.llm.licenses import LICENSES
 
     def canonical(text: str) -> str:
-        out = f"trim(regexp_replace(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT_LINE}', '', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+        quoted = [x.replace("'", "''") for x in (COPYRIGHT_LINE, TITLE_LINE)]
+        out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        out = f"regexp_replace(regexp_replace({out}, '{quoted[0]}', '', 'g'), '{quoted[1]}', '')"
+        out = f"concat(' ', regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), ' ')"
         for spelling, one in EQUIVALENT.items():
-            out = f"replace({out}, '{spelling}', '{one}')"
-        return out
+            out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
     known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in LICENSES.items())
     return f"""

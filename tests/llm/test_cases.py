@@ -217,6 +217,24 @@ def test_licenses(spark, docs, none):
     assert scan_licenses(none, known_licenses(spark)).count() == 0
 
 
+def test_licenses_as_files(spark):
+    """Titled, wrapped at any width, in either spelling; a body line that begins with "copyright" stays."""
+    import textwrap
+
+    notice = "Copyright (c) 2019-2021 Some One <x@y.z>\nAll rights reserved.\n\n"
+    rows, want = [], []
+    for name, title in (("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("MIT", "The MIT License (MIT)"), ("0BSD", "BSD Zero Clause License")):
+        for width in (40, 60, 72, 79, 100):
+            body = "\n\n".join(textwrap.fill(x, width) for x in LICENSES[name].split("\n\n"))
+            rows += [(len(rows), f"{title}\n\n{notice}{body}\n"), (len(rows) + 1, notice + body), (len(rows) + 2, body.replace("software", "programme", 1))]
+            want += [name, name, None]
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known_licenses(spark)).collect()}
+    assert [got[i] for i, _ in rows] == want
+    known = spark.createDataFrame([("A", "you fulfil the licence; fulfil, whilst wilful")], "license_id string, text string")
+    texts = spark.createDataFrame([(1, "You fulfill the license; fulfill while willful."), (2, "You fulfilled the license; fulfill while willful.")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license_id"]) for r in scan_licenses(texts, known).collect()) == [(1, "A"), (2, None)]
+
+
 # 6
 
 
