@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which the cluster shares; only where that is unset, as in tests, a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barquet-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barquet-"))
     return sc.getCheckpointDir()
 
 
