@@ -14,7 +14,8 @@ def test_sql(name, same_as_sql):
 
 @pytest.mark.parametrize("name", [n for n in plans.queries() if n not in plans.oracle_sql()])
 def test_rows(name, spark):
-    assert plans.queries()[name](spark, SMALL).count() > 0
+    folder = SMALL.replace("0.001", "0.01") if name == "walk_forward" else SMALL  # the smallest table has too few bars for a window
+    assert plans.queries()[name](spark, folder).count() > 0
 
 
 def test_entry(spark):
