@@ -204,17 +204,11 @@ def _page_pairs(rows: DataFrame, points: DataFrame, percent: int, page_shingles:
     return pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
 
 
-_VISIT = ["box", "page_a", "page_b"]
-
-
-def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``f`` of the rows of each visit to a pair of pages; a task holds one visit at a time."""
-
-    def each(batches):
-        for rows in runs(batches, _VISIT):
-            yield f(rows)
-
-    return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
+def _once(rows: DataFrame) -> DataFrame:
+    """Of visits with the same points in the same pages, the rows of one: they have the same links."""
+    both = {c: F.bit_xor(F.xxhash64("id", "page", F.lit(i))).alias(c) for i, c in enumerate("xy")}
+    visits = rows.groupBy(*_VISIT).agg(F.count("*").alias("n"), *both.values())
+    return durable(rows.join(visits.groupBy("n", "x", "y").agg(F.min(F.struct(*_VISIT)).alias("visit")).select("visit.*"), _VISIT))
 
 
 def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
@@ -239,7 +233,7 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
         found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    left = durable(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long"))
+    left = _once(durable(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long")))
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
