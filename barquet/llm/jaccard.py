@@ -301,26 +301,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             hashes = WordHashes()
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t, words, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        """The sets of points: id, shingles."""
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """A text of each point: id, text. It is about half as large as the set."""
         asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
         slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
         near = docs.join(F.broadcast(asked.select(slot("best_version")).distinct()), slot("version") == F.col("slot"), "left_semi")
-        texts = near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"])
-        return durable(texts.mapInArrow(as_sets, "id long, shingles binary"))
+        return durable(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """The sets of points: id, shingles."""
+        return durable(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"))
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
     pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
     pairs = durable(pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
-    leaves = fetch(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
+    leaves = texts_of(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
 
     def verify(batches):
+        last, b = None, None  # many points meet the same first one, in rows that follow each other
         for batch in slices(batches):
-            sets = ([np.frombuffer(x, np.uint64) for x in batch[c].to_pylist()] for c in ("shingles_a", "shingles_b"))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
+            hashes, linked = WordHashes(), []
+            for text_a, text_b, id_b in zip(*(batch[c].to_pylist() for c in ("text_a", "text_b", "b")), strict=True):
+                if id_b != last:
+                    last, b = id_b, shingles(text_b, words, hashes)
+                linked.append(_linked(shingles(text_a, words, hashes), b, percent))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(_side(leaves, "a"), "id_a").join(_side(leaves, "b"), "id_b")
-    parts = durable(components(both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "shingles_a", "shingles_b").mapInArrow(verify, "a long, b long")))
+    parts = durable(components(both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b").mapInArrow(verify, "a long, b long")))
 
     # Boxes that still hold points of several parts, besides the first, which was compared with all.
     others = live.where("id <> first").select("box", "id").join(parts, F.col("id") == F.col("node"), "left").select("box", "id", F.coalesce("component", "id").alias("part"))
