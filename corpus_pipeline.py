@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barquet.llm import bpe
 from barquet.llm.common import durable, shared_folder, table
 from barquet.llm.decontaminate import contamination
-from barquet.llm.jaccard import near_duplicates
+from barquet.llm.jaccard import SLOTS, near_duplicates
 from barquet.llm.quality import fit, keep_good
 from barquet.llm.substrings import drop_repeats
 
@@ -43,10 +43,17 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     others = named(in_groups.where(~F.col("row").eqNullSafe(F.col("best")))).distinct()
     repeated = durable(named(in_groups.where(F.col("row").eqNullSafe(F.col("best"))).groupBy("row").count().where("count > 1")))
 
-    def same(df: DataFrame):
-        return docs.doc_id.eqNullSafe(df.other_id) & (F.xxhash64(docs.text.cast("string")) == df.other_version)
+    version = F.xxhash64(docs.text.cast("string"))
 
-    kept = docs.join(others, same(others), "left_anti").select(docs.columns)
+    def same(df: DataFrame):
+        return docs.doc_id.eqNullSafe(df.other_id) & (version == df.other_version)
+
+    # Texts whose class of hashes none of the others has stay where they are; only the rest is shuffled.
+    others = durable(others)
+    classes = F.broadcast(others.select(F.pmod("other_version", F.lit(SLOTS)).alias("slot")).distinct())
+    asked = F.pmod(version, F.lit(SLOTS)) == classes["slot"]
+    kept = docs.join(classes, asked, "left_semi").join(others, same(others), "left_anti").select(docs.columns)
+    kept = docs.join(classes, asked, "left_anti").select(docs.columns).unionByName(kept)
     if repeated.isEmpty():
         return kept
     once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
