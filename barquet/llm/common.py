@@ -50,6 +50,13 @@ def tidy() -> None:
         _libc().malloc_trim(0)
 
 
+def tidily(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the work on one has freed goes back to the system before the next."""
+    for batch in batches:
+        yield batch
+        tidy()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in parts of few rows: Python holds the texts of a part at a time."""
     for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, durable, rolling, runs, slices
+from barquet.llm.common import WordHashes, durable, rolling, runs, slices, tidily
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
@@ -181,7 +181,7 @@ def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: st
     """``f`` of the rows of each visit to a pair of pages; a task holds one visit at a time."""
 
     def each(batches):
-        for rows in runs(batches, _VISIT):
+        for rows in runs(tidily(batches), _VISIT):
             yield f(rows)
 
     return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
@@ -321,10 +321,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
         last, b = None, None  # many points meet the same first one, in rows that follow each other
         for batch in slices(batches):
             hashes, linked = WordHashes(), []
-            for text_a, text_b, id_b in zip(*(batch[c].to_pylist() for c in ("text_a", "text_b", "b")), strict=True):
+            for i, id_b in enumerate(batch["b"].to_pylist()):  # texts one by one: a slice may repeat a long one
                 if id_b != last:
-                    last, b = id_b, shingles(text_b, words, hashes)
-                linked.append(_linked(shingles(text_a, words, hashes), b, percent))
+                    last, b = id_b, shingles(batch["text_b"][i].as_py(), words, hashes)
+                linked.append(_linked(shingles(batch["text_a"][i].as_py(), words, hashes), b, percent))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(_side(leaves, "a"), "id_a").join(_side(leaves, "b"), "id_b")
