@@ -79,10 +79,21 @@ def top(results: DataFrame, n: int, metric: str = "sharpe_ratio", tie: str = "ru
     return results.orderBy(F.desc_nulls_last(metric), tie).limit(n)
 
 
-def ensemble(results: DataFrame, n: int = 5, metric: str = "sharpe_ratio") -> DataFrame:
-    """Mean weights and figures of the n best results: one row. Means are taken over decimals of fourteen places."""
+def _means() -> list[Column]:
+    """Mean weights and figures. Means are taken over decimals of fourteen places."""
     mean = lambda c: (F.sum(F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(32,14)")).cast("double") / F.count("*")).alias(c)
-    return top(results, n, metric).agg(F.count("*").alias("contributors"), *[mean(c) for c in (*CATEGORIES, "sharpe_ratio", "win_rate", "sortino_ratio")])
+    return [F.count("*").alias("contributors"), *[mean(c) for c in (*CATEGORIES, "sharpe_ratio", "win_rate", "sortino_ratio")]]
+
+
+def ensemble(results: DataFrame, n: int = 5, metric: str = "sharpe_ratio") -> DataFrame:
+    """Mean weights and figures of the n best results: one row."""
+    return top(results, n, metric).agg(*_means())
+
+
+def ensembles(results: DataFrame, by: list[str], n: int = 5, metric: str = "sharpe_ratio", tie: str = "window") -> DataFrame:
+    """A row per key: mean weights and figures of its n best results, as at the end of a walk-forward search the n windows that tested best."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(metric), tie))
+    return results.withColumn("_r", rank).where(F.col("_r") <= n).groupBy(*by).agg(*_means())
 
 
 def activation(proposed: DataFrame, active: DataFrame, min_backtests: int = 5, min_gain: float = 10.0) -> DataFrame:

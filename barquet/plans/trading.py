@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barquet.config import CATEGORIES, DEFAULT_WEIGHTS, STYLES, Backtest, Indicators
@@ -325,6 +326,8 @@ def _walk_forward(s, d):
 
 
 add("walk_forward", _walk_forward)
+add("walk_forward_ensemble", lambda s, d: optimize.ensembles(_walk_forward(s, d), ["symbol", "interval"]))
+add("ensembles", lambda s, d: optimize.ensembles(_results(s, d).withColumn("grp", F.col("trades") % 4), ["grp"], tie="run_id").drop("sortino_ratio"), f"WITH {RES}, t AS (SELECT *, trades % 4 AS grp FROM r QUALIFY row_number() OVER (PARTITION BY trades % 4 ORDER BY sharpe_ratio DESC NULLS LAST, run_id) <= 5) SELECT grp, count(*) AS contributors, {', '.join(f'CAST(sum(CAST(CAST(coalesce({c}, 0) AS VARCHAR) AS DECIMAL(32,14))) AS DOUBLE) / count(*) AS {c}' for c in (*CATEGORIES, 'sharpe_ratio', 'win_rate'))} FROM t GROUP BY grp")
 
 # Streams, run over what is there and compared with the batch.
 
@@ -378,6 +381,16 @@ add("stream_once_per_day", _stream_once, "SELECT DISTINCT event_type AS symbol,
 add("stream_parse", lambda s, d: jobs.parse_tickers(t.read(s, d, "events").select(F.when(F.col("event_id") % 10 == 0, "not json").otherwise(F.to_json(F.struct(F.col("event_type").alias("s"), F.col("value").cast("string").alias("c"), F.col("event_id").alias("E")))).alias("value"))).select("symbol", F.unix_millis("ts").alias("ms"), "price"), "SELECT event_type AS symbol, event_id AS ms, value AS price FROM events WHERE event_id % 10 <> 0")
 
 
+def _kline_messages(s, d):
+    """A message a bar; the last bar of each series is open."""
+    c = t.candles(s, d).withColumn("x", F.lead("ts").over(W.partitionBy("symbol").orderBy("ts")).isNotNull())
+    text = [F.col(c).cast("string").alias(k) for k, c in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)]
+    return c.select(F.to_json(F.struct(F.struct(F.col("symbol").alias("s"), F.col("interval").alias("i"), F.col("ts").alias("t"), *text, "x").alias("k"))).alias("value"))
+
+
+add("kline_messages", lambda s, d: jobs.parse_klines(_kline_messages(s, d)), f"SELECT *, ts < max(ts) OVER (PARTITION BY symbol) AS closed FROM ({t.candles_sql()})")
+
+
 def _stream_limiter(s, d):
     folder = _folder(s)
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULT_WEIGHTS, Backtest
@@ -214,3 +215,58 @@ def test_closed_bars_come_once(spark, tmp_path):
 def test_malformed_messages(spark):
     rows = spark.createDataFrame([('{"s": "A", "c": "1.5", "E": 5}',), ("{",), ('{"s": "B", "c": "x"}',), (None,)], "value string")
     assert [(r["symbol"], r["price"]) for r in jobs.parse_tickers(rows).collect()] == [("A", 1.5)]
+
+
+def test_once_per_day_state_ends(spark, tmp_path):
+    day = 86_400
+    rows = lambda *at: spark.createDataFrame([("a", x) for x in at], "symbol string, s long").select("symbol", F.timestamp_seconds("s").alias("ts"))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("symbol string, ts timestamp").parquet(str(tmp_path / "in"))
+    held = []
+    for i in range(4):
+        rows(10 * i * day, 10 * i * day + 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = jobs.once_per_day(stream, ["symbol"]).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        q.awaitTermination()
+        held.append(q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert held[-1] <= 1
+    assert sorted(r.day.toordinal() for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [719163 + 10 * i for i in range(4)]
+
+
+def test_upsert_to_last_wins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = jobs.upsert_to(path, ["k"], "seq")
+    for i, rows in enumerate([[(1, 2, "b"), (1, 1, "a"), (2, 1, "x")], [(1, 4, "d"), (1, 3, "c")], [(3, 5, "z")]]):
+        for _ in range(2):  # a repeated batch changes nothing
+            write(spark.createDataFrame(rows, "k int, seq int, v string"), i)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=1", "v=2"]
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/v=2").collect())) == [(1, 4, "d"), (2, 1, "x"), (3, 5, "z")]
+
+
+def test_restarting(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    waits, failing = [], [2]
+
+    def each(batch, i):
+        if failing[0]:
+            failing[0] -= 1
+            raise ValueError("lost")
+
+    def start():
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+
+    assert jobs.restarting(start, sleep=waits.append) == 2 and waits == [3.0, 6.0]
+    failing[0] = 9
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        jobs.restarting(start, most=1, sleep=waits.append)
+    assert waits == [3.0, 6.0, 3.0]
+
+
+def test_single_flight(spark, tmp_path):
+    marker = str(tmp_path / "running")
+    inner = lambda: jobs.single_flight(spark, marker, lambda: 1)
+    assert jobs.single_flight(spark, marker, lambda: (inner(), 2)) == (None, 2)
+    with pytest.raises(ZeroDivisionError):
+        jobs.single_flight(spark, marker, lambda: 1 / 0)
+    assert inner() == 1
