@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquet.llm import bpe
-from barquet.llm.common import table
+from barquet.llm.common import shared_folder, table
 from barquet.llm.decontaminate import contamination
+from barquet.llm.filters import failure_cells, interactions
 from barquet.llm.jaccard import near_duplicates
 from barquet.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, TITLE_LINE, known_licenses, scan_licenses
 from barquet.llm.lm import stupid_backoff
 from barquet.llm.quality import fit, score_documents
 from barquet.llm.sharding import shard_rows
 from barquet.llm.substrings import drop_repeats
+from barquet.llm.token_files import encode_ordered, read_tokens, with_checksum, write_tokens
 from barquet.llm.topk import top_k
 from barquet.llm.urls import judge_urls
 
@@ -92,8 +95,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return interactions(failure_cells(docs, table(spark, sf_dir, "labels"), docs["source"]))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(encode_ordered(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2), folder)
+    return with_checksum(read_tokens(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_topk, op3_lm_scores, op4_substring_dedup, op5_licenses, op6_quality, op7_urls, op8_bpe, op9_jaccard, op10_sharding]
+    own = [op1_decontamination, op2_topk, op3_lm_scores, op4_substring_dedup, op5_licenses, op6_quality, op7_urls, op8_bpe, op9_jaccard, op10_sharding, op12_filter_audit, op13_token_files]
     return {f.__name__: f for f in own}
 
 
@@ -197,6 +211,27 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc
 """
 
 
+_SQL12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM d JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+fil AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(l, b)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM fil a JOIN fil b ON b.b <> a.b JOIN fil c ON c.b NOT IN (a.b, b.b) JOIN fil d ON d.b NOT IN (a.b, b.b, c.b) JOIN fil e ON e.b NOT IN (a.b, b.b, c.b, d.b)),
+steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, bs[k] AS own, CAST(coalesce(list_sum(bs[1 : k - 1]), 0) AS INTEGER) AS before FROM orders, generate_series(1, 5) g(k)),
+x AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | before) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the same rows. None for op6 (a fitted model), op8 (a tokenizer) and op10 (a placement that hashes decide)."""
-    return {"op1_decontamination": _SQL1, "op2_topk": _SQL2, "op3_lm_scores": _SQL3, "op4_substring_dedup": _SQL4, "op5_licenses": _sql5(), "op7_urls": _SQL7, "op9_jaccard": _SQL9}
+    """SQL for the same rows. None for op6 (a fitted model), op8 and op13 (tokenizers) and op10 (a placement that hashes decide)."""
+    return {"op1_decontamination": _SQL1, "op2_topk": _SQL2, "op3_lm_scores": _SQL3, "op4_substring_dedup": _SQL4, "op5_licenses": _sql5(), "op7_urls": _SQL7, "op9_jaccard": _SQL9, "op12_filter_audit": _SQL12}
