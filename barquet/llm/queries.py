@@ -21,6 +21,7 @@ from barquet.llm.sharding import shard_rows
 from barquet.llm.substrings import drop_repeats
 from barquet.llm.token_files import encode_ordered, read_tokens, with_checksum, write_tokens
 from barquet.llm.topk import top_k
+from barquet.llm.turns import repaired
 from barquet.llm.urls import judge_urls
 
 #: Rules of op7: host, path, verdict.
@@ -95,6 +96,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return interactions(failure_cells(docs, table(spark, sf_dir, "labels"), docs["source"]))
@@ -107,7 +112,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_topk, op3_lm_scores, op4_substring_dedup, op5_licenses, op6_quality, op7_urls, op8_bpe, op9_jaccard, op10_sharding, op12_filter_audit, op13_token_files]
+    own = [op1_decontamination, op2_topk, op3_lm_scores, op4_substring_dedup, op5_licenses, op6_quality, op7_urls, op8_bpe, op9_jaccard, op10_sharding, op11_conversations, op12_filter_audit, op13_token_files]
     return {f.__name__: f for f in own}
 
 
@@ -211,6 +216,37 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc
 """
 
 
+_SQL11 = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tbl FROM range(256) g(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+h AS (SELECT k.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS what FROM k, crc),
+w AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, generate_series(1, CASE WHEN what = 3 THEN 2 ELSE 1 END) WHERE what <> 0),
+f AS (SELECT conv_id AS c, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, trim(text, E' \t\n\x0B\f\r') = '' AS blank,
+  CASE WHEN right(rtrim(text, E' \t\n\x0B\f\r'), 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS late FROM w),
+g AS (SELECT *, blank OR dup AS gone FROM (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS dup FROM f)),
+pair AS (SELECT c, ini || lead(ini) OVER (PARTITION BY c ORDER BY i) AS p FROM f),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup AND NOT blank) AS duplicate, count(*) FILTER (late = 1 AND NOT gone) AS truncated FROM g GROUP BY c),
+ill AS (SELECT c, count(*) FILTER (p NOT IN ('su', 'ua', 'au')) AS illegal FROM pair GROUP BY c),
+back AS (SELECT c, n + 1 AS i, [0, 4, 2, 0] AS v FROM n
+  UNION ALL SELECT c, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])] FROM (
+    SELECT b.c, g.i, CASE WHEN gone THEN [3 + v[1], 3 + v[2], 3 + v[3], 3 + v[4]] ELSE [
+      least(3 + v[1], CASE ini WHEN 's' THEN late + least(v[2], 2 + v[3]) WHEN 'u' THEN late + v[3] ELSE 2 + late + v[3] END),
+      least(3 + v[2], late + v[3] + CASE WHEN ini = 'u' THEN 0 ELSE 2 END), least(3 + v[3], late + v[4] + CASE WHEN ini = 'a' THEN 0 ELSE 2 END), least(3 + v[4], late + v[3] + CASE WHEN ini = 'u' THEN 0 ELSE 2 END)] END AS w
+    FROM back b JOIN g ON g.c IS NOT DISTINCT FROM b.c AND g.i = b.i - 1)),
+walk AS (SELECT c, CAST(1 AS BIGINT) AS i, 0 AS s, '' AS audit, '' AS body, false AS begun FROM n
+  UNION ALL SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND ini = 's' THEN 1 WHEN s = 2 THEN 3 ELSE 2 END, audit || e,
+    CASE WHEN e = 'D' THEN body ELSE body || CASE WHEN begun THEN chr(10) ELSE '' END || CASE WHEN e = 'K' THEN role WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END, begun OR e <> 'D'
+  FROM (SELECT x.*, g.role, g.text, g.ini, CASE WHEN x.i = n + 1 THEN 'I' WHEN 3 + b1.v[s + 1] = b.v[s + 1] THEN 'D' WHEN 2 + b.v[CASE WHEN s = 2 THEN 4 ELSE 3 END] = b.v[s + 1] THEN 'I'
+      WHEN (CASE s WHEN 0 THEN ini IN ('s', 'u') WHEN 2 THEN ini = 'a' ELSE ini = 'u' END) AND late + b1.v[CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END] = b.v[s + 1] THEN 'K' ELSE 'R' END AS e
+    FROM walk x JOIN n ON n.c IS NOT DISTINCT FROM x.c JOIN back b ON b.c IS NOT DISTINCT FROM x.c AND b.i = x.i
+    LEFT JOIN g ON g.c IS NOT DISTINCT FROM x.c AND g.i = x.i LEFT JOIN back b1 ON b1.c IS NOT DISTINCT FROM x.c AND b1.i = x.i + 1 WHERE x.i <= n OR s IN (1, 2))),
+done AS (SELECT x.c, audit, sha256(body) AS sha FROM walk x JOIN n ON n.c IS NOT DISTINCT FROM x.c AND x.i = n + 1 AND s IN (0, 3))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.c IS NOT DISTINCT FROM o.conv_id LEFT JOIN ill ON ill.c IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back b ON b.c IS NOT DISTINCT FROM o.conv_id AND b.i = 1 LEFT JOIN done d ON d.c IS NOT DISTINCT FROM o.conv_id
+"""
+
 _SQL12 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
@@ -234,4 +270,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows. None for op6 (a fitted model), op8 and op13 (tokenizers) and op10 (a placement that hashes decide)."""
-    return {"op1_decontamination": _SQL1, "op2_topk": _SQL2, "op3_lm_scores": _SQL3, "op4_substring_dedup": _SQL4, "op5_licenses": _sql5(), "op7_urls": _SQL7, "op9_jaccard": _SQL9, "op12_filter_audit": _SQL12}
+    return {"op1_decontamination": _SQL1, "op2_topk": _SQL2, "op3_lm_scores": _SQL3, "op4_substring_dedup": _SQL4, "op5_licenses": _sql5(), "op7_urls": _SQL7, "op9_jaccard": _SQL9, "op11_conversations": _SQL11, "op12_filter_audit": _SQL12}
