@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from tokenizers import Tokenizer
 
+from barquet.llm.bpe import _packed, _unpacked
 from barquet.llm.common import slices, tidy
 
 MAGIC, MANIFEST = b"PFOR0001", "manifest.json"
@@ -173,6 +177,14 @@ class _File(InputPartition):
     start: int
 
 
+def _lists(ids: pa.Array) -> pa.Array:
+    """Lists of ids, whether they come packed or not."""
+    if not pa.types.is_binary(ids.type):
+        return ids
+    found = [_unpacked(x) if x is not None else np.zeros(0, np.uint32) for x in ids.to_pylist()]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint32), *found]).view(np.int32)))
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.block_ids, self.file_ids, self.share = options["path"], int(options.get("block_ids", BLOCK_IDS)), int(options.get("file_ids", FILE_IDS)), float(options.get("share", 0.9))
@@ -186,7 +198,7 @@ class _Writer(DataSourceArrowWriter):
             files.append({"part": part, "at": len(files), "name": name, "ids": writer.ids, "docs": writer.close()})
 
         for batch in slices(iterator):
-            lists = batch["ids"]
+            lists = _lists(batch["ids"])
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ids = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
             docs = batch["doc_id"].cast(pa.int64())
@@ -235,7 +247,7 @@ class _Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """Data source ``token_files``. Written: doc_id and ids array<int>, in the order of partitions and of their rows; read: start and n_tokens too."""
+    """Data source ``token_files``. Written: doc_id and ids (array<int>, or packed by ``encode_ordered``), in the order of partitions and of their rows; read: start and n_tokens too."""
 
     @classmethod
     def name(cls):
@@ -252,7 +264,7 @@ class TokenFiles(DataSource):
 
 
 def write_tokens(encoded: DataFrame, path: str, **options) -> None:
-    """Writes doc_id and ids array<int> to a new folder at ``path``, in the order of partitions and rows. Null ids are none, a null doc_id stays null.
+    """Writes doc_id and ids (array<int>, or packed by ``encode_ordered``) to a new folder at ``path``, in the order of partitions and rows. Null ids are none, a null doc_id stays null.
 
     options: block_ids, file_ids (a file takes no further document from so many ids on) and share (of ids that are packed).
     The folder has to be one that driver and executors share.
@@ -267,33 +279,124 @@ def read_tokens(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("token_files").options(path=path, **options).load()
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.empty(1024, dtype), 0
+
+    def extend(self, values) -> None:
+        n = self.n + len(values)
+        if n > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(n, self.data.dtype)])
+        self.data[self.n : n], self.n = values, n
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+#: Fixed value: the public pattern by which lower-case tokenizers of this kind split text. What it finds as letters is one word of the model, and so ends with one piece that carries the suffix.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose parts are sure: letters that normalising only makes lower, and at most one sign of SIGNS after them.
+SIGNS = ".,!?;:"
+_PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{SIGNS}]?)")
+
+
 class _Words(dict):
-    """Numbers of words; new ones wait to be encoded. The ids of all known words stand one after another."""
+    """Numbers of words; new ones wait to be encoded. Up to ``most`` words are kept, later ones only until ``forget``.
+
+    Letters are encoded once however a word is capitalised and whatever sign follows it, many in one call.
+    """
 
     END = b""
 
-    def __init__(self, tokenizer: Tokenizer, end: int | None):
+    def __init__(self, spec: str, end: int | None, most: int):
         super().__init__({self.END: 0})
-        self.tokenizer, self.waiting = tokenizer, []
-        first = [] if end is None else [end]
-        self.ids, self.starts, self.sizes = np.array(first, np.uint32), np.zeros(1, np.int64), np.array([len(first)])
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.most, self.waiting = most, []
+        self.ids, self.starts, self.sizes = _Column(np.uint32), _Column(np.int64), _Column(np.int64)
+        self._add(np.array([] if end is None else [end]), np.array([0 if end is None else 1]))
+        self.letters: dict[str, int] = {}
+        self.letter_ids, self.letter_starts, self.letter_sizes = _Column(np.uint32), _Column(np.int64), _Column(np.int64)
+        self.signs = [self._encode(x)[0] for x in SIGNS]
+        known = json.loads(spec)
+        suffix, splits = known["model"].get("end_of_word_suffix"), (known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix and splits[0].get("pattern") == {"Regex": PATTERN}:
+            self.ends[[i for x, i in known["model"]["vocab"].items() if x.endswith(suffix)]] = True
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.waiting.append(word)
         return n
 
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.ids.extend(ids)
+
+    def _known(self, letters: list[str]) -> np.ndarray:
+        """Numbers of letters, the new ones among them encoded."""
+        new = [x for x in dict.fromkeys(letters) if x not in self.letters]
+        for i in range(0, len(new), 1000):
+            ids = np.array(self._encode(" ".join(new[i : i + 1000])), np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            self.letter_starts.extend(self.letter_ids.n + np.concatenate([[0], ends[:-1]]))
+            self.letter_sizes.extend(np.diff(ends, prepend=0))
+            self.letter_ids.extend(ids)
+        self.letters.update(zip(new, range(len(self.letters), len(self.letters) + len(new)), strict=True))
+        return np.fromiter(map(self.letters.__getitem__, letters), np.int64, len(letters))
+
+    def _encoded(self) -> None:
+        words = [w.decode() for w in self.waiting]
+        found = [_PLAIN.fullmatch(w) for w in words] if self.ends.any() else [None] * len(words)
+        plain = np.array([m is not None for m in found], bool)
+        odd = [w for w, m in zip(words, found, strict=True) if m is None]
+        odd_ids = [e.ids for i in range(0, len(odd), 1000) for e in self.tokenizer.encode_batch(odd[i : i + 1000], add_special_tokens=False)]
+        number = self._known([m[1].lower() for m in found if m])
+        sign = np.array([SIGNS.index(m[2]) if m[2] else -1 for m in found if m], np.int64)
+        size = self.letter_sizes.data[number]
+        sizes = np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = size + (sign >= 0), np.fromiter(map(len, odd_ids), np.int64, len(odd_ids))
+        starts = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        ids[_runs(starts[plain], size)] = self.letter_ids.data[_runs(self.letter_starts.data[number], size)]
+        ids[(starts[plain] + size)[sign >= 0]] = np.array(self.signs, np.uint32)[sign[sign >= 0]]
+        ids[_runs(starts[~plain], sizes[~plain])] = np.array([i for x in odd_ids for i in x], np.uint32)
+        self._add(ids, sizes)
+        self.waiting = []
+
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbered words, and their number for each."""
         if self.waiting:
-            found = [e.ids for i in range(0, len(self.waiting), 1000) for e in self.tokenizer.encode_batch([w.decode() for w in self.waiting[i : i + 1000]], add_special_tokens=False)]
-            self.waiting = []
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        size = self.sizes[codes]
-        upto = np.cumsum(size)
-        return self.ids[np.repeat(self.starts[codes] - upto + size, size) + np.arange(int(size.sum()))], size
+            self._encoded()
+        size = self.sizes.data[codes]
+        return self.ids.data[_runs(self.starts.data[codes], size)], size
+
+    def forget(self) -> None:
+        """Leaves the first ``most`` words, among them those that are used most."""
+        if len(self) > self.most:
+            for w in list(islice(self, self.most, None)):
+                del self[w]
+            self.ids.n, self.starts.n, self.sizes.n = int(self.starts.data[self.most]), self.most, self.most
+        if len(self.letters) > self.most:
+            for x in list(islice(self.letters, self.most, None)):
+                del self.letters[x]
+            self.letter_ids.n, self.letter_starts.n, self.letter_sizes.n = int(self.letter_starts.data[self.most]), self.most, self.most
+
+
+@cache
+def _words(spec: str, end: int | None, most: int) -> _Words:
+    """One per worker: it lives from task to task."""
+    return _Words(spec, end, most)
 
 
 def read_spaceless(path: str) -> str:
@@ -308,13 +411,13 @@ def read_spaceless(path: str) -> str:
     return spec
 
 
-def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 20) -> DataFrame:
-    """doc_id and ids array<int> of every whole text, in ascending order of doc_id over partitions and rows, nulls first, then by ids.
+def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 19) -> DataFrame:
+    """doc_id and ids of every whole text, packed in a binary (``unpacked`` makes them array<int>), in ascending order of doc_id over partitions and rows, nulls first.
 
     docs: doc_id and text; other columns are left out. A null text is empty; ``end`` is appended to every document's ids. Special
     tokens are not added; their strings in a text are encoded as the tokenizer does. Repeated rows are encoded each.
-    path: a tokenizer file on the driver that drops white space. Tasks encode each of their distinct words once (up to
-    ``most_words`` at a time are remembered) and shuffle ids, not texts. Parts are cut at quantiles of doc_id; an id that
+    path: a tokenizer file on the driver that drops white space. A worker encodes each distinct word once (as long as it
+    knows fewer than ``most_words``) and sends packed ids, not texts. Parts are cut at quantiles of doc_id; an id that
     spans several is dealt over all of them by text, and equal rows in turn, so no id has to fit one task.
     """
     spark = docs.sparkSession
@@ -327,13 +430,8 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
 
     def encoded(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_str(spec.value)
-        t.no_truncation()
-        t.no_padding()
-        words, seen = _Words(t, end), {}
+        words, seen = _words(spec.value, end, most_words), {}
         for batch in slices(batches):
-            if len(words) > most_words:
-                words = _Words(t, end)
             texts = batch["text"].cast(pa.binary()).to_pylist()
             codes, upto = [], [0]
             for text in texts:
@@ -342,7 +440,8 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
                 codes.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
                 upto.append(upto[-1] + len(split))
             ids, size = words.of(np.concatenate([np.zeros(0, np.int64), *codes]))
-            ends = np.concatenate([[0], np.cumsum(size)])[upto]
+            ends = np.concatenate([[0], np.cumsum(size)])[upto].tolist()
+            words.forget()
             docs_in = batch["doc_id"].fill_null(0).to_numpy()
             null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             left, right = (np.searchsorted(bounds, docs_in, side) + first for side in ("left", "right"))
@@ -352,12 +451,23 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
                 key = (None if null[i] else int(docs_in[i]), zlib.crc32(texts[i]))
                 seen[key] = turn = seen.get(key, -1) + 1
                 part[i] = left[i] + (key[1] + turn) % (right[i] - left[i] + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))], names=["part", "doc_id", "ids"])
+            data = pa.array([_packed(ids[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch["doc_id"], data], names=["part", "doc_id", "ids"])
 
-    out = docs.mapInArrow(encoded, "part int, doc_id long, ids array<int>")
+    out = docs.mapInArrow(encoded, "part int, doc_id long, ids binary")
     return out.repartitionById(n + first, F.col("part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").drop("part")
 
 
+def unpacked(encoded: DataFrame) -> DataFrame:
+    """doc_id and ids array<int> of rows from ``encode_ordered``, in their order."""
+
+    def lists(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(batch["ids"])], names=["doc_id", "ids"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(lists, "doc_id long, ids array<int>")
+
+
 def with_checksum(tokens: DataFrame) -> DataFrame:
     """``tokens`` (with ids array<int>) with ids_crc32, the crc32 of the ids as little-endian unsigned 32-bit integers, in place of ids; null ids are none."""
     names = [c for c in tokens.columns if c not in ("ids", "ids_crc32")]

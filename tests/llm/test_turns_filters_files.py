@@ -188,12 +188,16 @@ def test_token_files(spark, tmp_path):
     assert encoded.where("doc_id = 50").select(F.spark_partition_id()).distinct().count() > 1
     path = str(tmp_path / "tokens")
     token_files.write_tokens(encoded, path, block_ids=64, file_ids=1000)
+    plain = token_files.unpacked(encoded)
+    token_files.write_tokens(plain, path + "-plain")
+    assert token_files.read_tokens(spark, path + "-plain").select("ids").count() == len(docs)
     rows = sorted(token_files.read_tokens(spark, path, read_ids=100).collect(), key=lambda r: r["start"])
     assert len({f.name for f in (tmp_path / "tokens").glob("*.pfor")}) > 5
     ids = [r["doc_id"] for r in rows]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     ends = [0, *itertools.accumulate(r["n_tokens"] for r in rows)]
     assert [r["start"] for r in rows] == ends[:-1] and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert [tuple(r) for r in plain.collect()] == [(r["doc_id"], r["ids"]) for r in rows]
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
     want = sorted(((i, t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x in docs), key=key)
     assert sorted(((r["doc_id"], r["ids"]) for r in rows), key=key) == want
