@@ -19,7 +19,7 @@ from barquet.llm.lm import stupid_backoff
 from barquet.llm.quality import fit, score_documents
 from barquet.llm.sharding import shard_rows
 from barquet.llm.substrings import drop_repeats
-from barquet.llm.token_files import encode_ordered, read_tokens, with_checksum, write_tokens
+from barquet.llm.token_files import encode_ordered, read_tokens, write_tokens
 from barquet.llm.topk import top_k
 from barquet.llm.turns import repaired
 from barquet.llm.urls import judge_urls
@@ -108,7 +108,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(encode_ordered(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2), folder)
-    return with_checksum(read_tokens(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(spark, folder, raw=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -151,18 +151,19 @@ class FileReader:
         found = [unpack_block(data[i - base : j - base]) for i, j in zip(self.index[a:b].tolist(), self.index[a + 1 : b + 1].tolist(), strict=True)]
         return np.concatenate(found)[first - a * self.block_ids : end - a * self.block_ids]
 
-    def batches(self, start: int, most: int = READ_IDS) -> Iterator[pa.RecordBatch]:
-        """doc_id, start, n_tokens, ids of all documents, about ``most`` ids at a time; ``start`` ids come before the file."""
+    def batches(self, start: int, most: int = READ_IDS, raw: bool = False) -> Iterator[pa.RecordBatch]:
+        """doc_id, start, n_tokens, ids of all documents, about ``most`` ids at a time; ``start`` ids come before the file. raw: ids as their bytes."""
         ends = np.cumsum(self.lengths)
         i = done = 0
         while i < len(ends):
             j = max(i + 1, int(np.searchsorted(ends, done + most, "right")))
             ids = self.range(done, int(ends[j - 1]))
             offsets = np.concatenate([[0], ends[i:j] - done])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(self.doc_ids[i:j], pa.int64(), mask=self.nulls[i:j]), pa.array(start + done + offsets[:-1]), pa.array(self.lengths[i:j]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
+            if raw:
+                lists = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(self.doc_ids[i:j], pa.int64(), mask=self.nulls[i:j]), pa.array(start + done + offsets[:-1]), pa.array(self.lengths[i:j]), lists], names=["doc_id", "start", "n_tokens", "ids"])
             i, done = j, int(ends[j - 1])
 
 
@@ -177,6 +178,10 @@ class _File(InputPartition):
     start: int
 
 
+def _raw(options) -> bool:
+    return str(options.get("raw", False)).lower() == "true"
+
+
 def _lists(ids: pa.Array) -> pa.Array:
     """Lists of ids, whether they come packed or not."""
     if not pa.types.is_binary(ids.type):
@@ -231,7 +236,7 @@ class _Writer(DataSourceArrowWriter):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.most = options["path"], int(options.get("read_ids", READ_IDS))
+        self.path, self.most, self.raw = options["path"], int(options.get("read_ids", READ_IDS)), _raw(options)
 
     def partitions(self):
         store, folder = _store(self.path)
@@ -243,7 +248,7 @@ class _Reader(DataSourceReader):
         if partition.path:
             store, folder = _store(self.path)
             with store.open_input_file(f"{folder}/{partition.path}") as f:
-                yield from FileReader(f).batches(partition.start, self.most)
+                yield from FileReader(f).batches(partition.start, self.most, self.raw)
 
 
 class TokenFiles(DataSource):
@@ -254,7 +259,7 @@ class TokenFiles(DataSource):
         return "token_files"
 
     def schema(self):
-        return "doc_id long, start long, n_tokens long, ids array<int>"
+        return f"doc_id long, start long, n_tokens long, ids {'binary' if _raw(self.options) else 'array<int>'}"
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)
@@ -274,7 +279,10 @@ def write_tokens(encoded: DataFrame, path: str, **options) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str, **options) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids of a folder that ``write_tokens`` has filled; a task per file."""
+    """doc_id, start (ids of all documents before), n_tokens, ids of a folder that ``write_tokens`` has filled; a task per file.
+
+    options: raw gives ids as a binary of little-endian unsigned 32-bit integers, read_ids how many a batch has.
+    """
     spark.dataSource.register(TokenFiles)
     return spark.read.format("token_files").options(path=path, **options).load()
 
@@ -411,7 +419,7 @@ def read_spaceless(path: str) -> str:
     return spec
 
 
-def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 19) -> DataFrame:
+def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 18) -> DataFrame:
     """doc_id and ids of every whole text, packed in a binary (``unpacked`` makes them array<int>), in ascending order of doc_id over partitions and rows, nulls first.
 
     docs: doc_id and text; other columns are left out. A null text is empty; ``end`` is appended to every document's ids. Special
@@ -466,18 +474,3 @@ def unpacked(encoded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(batch["ids"])], names=["doc_id", "ids"])
 
     return encoded.select("doc_id", "ids").mapInArrow(lists, "doc_id long, ids array<int>")
-
-
-def with_checksum(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (with ids array<int>) with ids_crc32, the crc32 of the ids as little-endian unsigned 32-bit integers, in place of ids; null ids are none."""
-    names = [c for c in tokens.columns if c not in ("ids", "ids_crc32")]
-
-    def summed(batches):
-        for batch in batches:
-            lists = batch["ids"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False).data.cast("B")
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            crc = [zlib.crc32(flat[4 * i : 4 * j]) for i, j in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
-
-    return tokens.select(*names, "ids").mapInArrow(summed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*names).schema) + ", ids_crc32 long")
