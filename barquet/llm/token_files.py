@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -314,7 +313,7 @@ _PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{SIGNS}]?)")
 
 
 class _Words(dict):
-    """Numbers of words; new ones wait to be encoded. Up to ``most`` words are kept, later ones only until ``forget``.
+    """Numbers of words; new ones wait to be encoded. Up to ``most`` words are kept, and letters of half as many more; later ones only until ``forget``.
 
     Letters are encoded once however a word is capitalised and whatever sign follows it, many in one call.
     """
@@ -330,6 +329,7 @@ class _Words(dict):
         self.ids, self.starts, self.sizes = _Column(np.uint32), _Column(np.int64), _Column(np.int64)
         self._add(np.array([] if end is None else [end]), np.array([0 if end is None else 1]))
         self.letters: dict[str, int] = {}
+        self.recent, self.recent_letters = [], []
         self.letter_ids, self.letter_starts, self.letter_sizes = _Column(np.uint32), _Column(np.int64), _Column(np.int64)
         self.signs = [self._encode(x)[0] for x in SIGNS]
         known = json.loads(spec)
@@ -360,6 +360,7 @@ class _Words(dict):
             self.letter_starts.extend(self.letter_ids.n + np.concatenate([[0], ends[:-1]]))
             self.letter_sizes.extend(np.diff(ends, prepend=0))
             self.letter_ids.extend(ids)
+        self.recent_letters = new
         self.letters.update(zip(new, range(len(self.letters), len(self.letters) + len(new)), strict=True))
         return np.fromiter(map(self.letters.__getitem__, letters), np.int64, len(letters))
 
@@ -368,7 +369,7 @@ class _Words(dict):
         found = [_PLAIN.fullmatch(w) for w in words] if self.ends.any() else [None] * len(words)
         plain = np.array([m is not None for m in found], bool)
         odd = [w for w, m in zip(words, found, strict=True) if m is None]
-        odd_ids = [e.ids for i in range(0, len(odd), 1000) for e in self.tokenizer.encode_batch(odd[i : i + 1000], add_special_tokens=False)]
+        odd_ids = [e.ids for i in range(0, len(odd), 1000) for e in self.tokenizer.encode_batch_fast(odd[i : i + 1000], add_special_tokens=False)]
         number = self._known([m[1].lower() for m in found if m])
         sign = np.array([SIGNS.index(m[2]) if m[2] else -1 for m in found if m], np.int64)
         size = self.letter_sizes.data[number]
@@ -380,7 +381,7 @@ class _Words(dict):
         ids[(starts[plain] + size)[sign >= 0]] = np.array(self.signs, np.uint32)[sign[sign >= 0]]
         ids[_runs(starts[~plain], sizes[~plain])] = np.array([i for x in odd_ids for i in x], np.uint32)
         self._add(ids, sizes)
-        self.waiting = []
+        self.recent, self.waiting = self.waiting, []
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbered words, and their number for each."""
@@ -392,13 +393,14 @@ class _Words(dict):
     def forget(self) -> None:
         """Leaves the first ``most`` words, among them those that are used most."""
         if len(self) > self.most:
-            for w in list(islice(self, self.most, None)):
+            for w in self.recent[self.most - len(self) :]:
                 del self[w]
             self.ids.n, self.starts.n, self.sizes.n = int(self.starts.data[self.most]), self.most, self.most
-        if len(self.letters) > self.most:
-            for x in list(islice(self.letters, self.most, None)):
+        most = self.most * 3 // 2
+        if len(self.letters) > most:
+            for x in self.recent_letters[most - len(self.letters) :]:
                 del self.letters[x]
-            self.letter_ids.n, self.letter_starts.n, self.letter_sizes.n = int(self.letter_starts.data[self.most]), self.most, self.most
+            self.letter_ids.n, self.letter_starts.n, self.letter_sizes.n = int(self.letter_starts.data[most]), most, most
 
 
 @cache
@@ -419,7 +421,7 @@ def read_spaceless(path: str) -> str:
     return spec
 
 
-def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 18) -> DataFrame:
+def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_bytes: int = 32 << 20, most_words: int = 1 << 19) -> DataFrame:
     """doc_id and ids of every whole text, packed in a binary (``unpacked`` makes them array<int>), in ascending order of doc_id over partitions and rows, nulls first.
 
     docs: doc_id and text; other columns are left out. A null text is empty; ``end`` is appended to every document's ids. Special
