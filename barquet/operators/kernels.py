@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barquet.config import Indicators
+from barquet.operators import ranges
+from barquet.operators.checkpoints import kept
 from barquet.operators.scan import ordered_scan
 
 KEYS = ["symbol", "interval"]
@@ -231,6 +233,49 @@ def recursive(bars: DataFrame, cfg: Indicators = Indicators(), clustered: bool =
     return ordered_scan(bars, KEYS, ["ts"], own, lambda *_: _Recursive(cfg, own), out, clustered)
 
 
+def _ema_map(p: int, x: Column, n: Column) -> tuple[Column, Column]:
+    """The step of ``Ema`` as a map y -> a y + b: a sum of the first p values, their mean, then a share of each."""
+    k = 2 / (p + 1)
+    return F.when(n < p, 1.0).when(n == p, 1 / p).otherwise(1 - k), F.when(n < p, x).when(n == p, x / p).otherwise(x * k)
+
+
+def _wilder_map(p: int, x: Column, n: Column) -> tuple[Column, Column]:
+    return F.when(n < p, 1.0).when(n == p, 1 / p).otherwise((p - 1) / p), F.when(n < p, x).otherwise(x / p)
+
+
+def long_means(bars: DataFrame, cfg: Indicators = Indicators(), rows_a_range: int = ranges.ROWS) -> DataFrame:
+    """``bars``, n, ema_fast, ema_slow, rsi, macd, macd_signal, macd_histogram and atr, for series of any length.
+
+    The same figures as ``recursive``'s but for the last digits (1e-9 of the value): a series is cut into ranges that run side by side, where
+    ``recursive`` needs a task for the whole series. Bars with a null price are left out; ts has to tell a series' bars apart.
+    """
+    keys, order, n = KEYS, ["ts"], F.col("n")
+    rows = ranges.ranged(bars.where("close is not null and high is not null and low is not null"), keys, order, rows_a_range)
+    rows = ranges.numbered(rows, keys, order, {"_before": "close"})
+    close, before = F.col("close"), F.col("_before")
+    change = close - before
+    spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    some = before.isNotNull()  # the first bar has no change
+    wilder = lambda p, x: tuple(F.when(some, c) for c in _wilder_map(p, x, n - 1))
+    maps = {"ema_fast": _ema_map(cfg.ema[0], close, n), "ema_slow": _ema_map(cfg.ema[1], close, n), "_fast": _ema_map(cfg.macd[0], close, n), "_slow": _ema_map(cfg.macd[1], close, n)}
+    maps |= {"_gain": wilder(cfg.rsi, F.greatest(change, F.lit(0.0))), "_loss": wilder(cfg.rsi, F.greatest(-change, F.lit(0.0))), "atr": wilder(cfg.atr, spread)}
+    out = ranges.affine(rows, keys, order, maps)
+    first = max(cfg.macd[:2])
+    out = kept(out.withColumn("macd", F.when(n >= first, F.col("_fast") - F.col("_slow"))))
+    m = n - first + 1
+    signal = tuple(F.when(m >= 1, c) for c in _ema_map(cfg.macd[2], F.col("macd"), m))
+    out = ranges.affine(out, keys, order, {"macd_signal": signal})
+    ready = m >= cfg.macd[2]
+    strength = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_gain", "_loss")))
+    out = out.withColumns(
+        {
+            "ema_fast": _full(F.col("ema_fast"), cfg.ema[0]), "ema_slow": _full(F.col("ema_slow"), cfg.ema[1]), "rsi": _full(strength, cfg.rsi + 1), "atr": _full(F.col("atr"), cfg.atr + 1),
+            "macd_histogram": F.when(m >= 1, F.when(ready, F.col("macd") - F.col("macd_signal")).otherwise(0.0)), "macd_signal": F.when(m >= 1, F.when(ready, F.col("macd_signal")).otherwise(0.0)),
+        }
+    )
+    return out.drop("part", *[c for c in out.columns if c.startswith("_")])
+
+
 def suite(bars: DataFrame, cfg: Indicators = Indicators(), enough: bool = True) -> DataFrame:
     """All indicators of each bar; of series with cfg.min_candles bars at least, if ``enough``."""
     if enough:

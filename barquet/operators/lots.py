@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barquet.operators import ranges
 from barquet.operators.scan import ordered_scan
 
 YEAR_MS = 365 * 86_400_000
@@ -25,32 +26,42 @@ def term(bought: Column, sold: Column) -> Column:
     return F.when(sold - bought > YEAR_MS, "long-term").otherwise("short-term")
 
 
-def _numbered(transactions: DataFrame, order: list[str]) -> DataFrame:
+def _numbered(transactions: DataFrame, order: list[str], rows_a_range: int = ranges.ROWS) -> DataFrame:
     """Positive transactions with cumulative quantities bought and matched, by symbol.
 
     With B and S bought and sold so far, of S the part max(0, max of S - B so far) was never held; the rest was matched.
+    Sums and that maximum are taken within ranges of a symbol's rows first, so a symbol may fill many tasks.
     """
-    w = W.partitionBy("symbol").orderBy(*order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    q = F.col("quantity").cast(QUANTITY)
-    zero = F.lit(0).cast(QUANTITY)
-    out = transactions.where("quantity > 0").withColumns(
-        {"seq": F.row_number().over(w), "b": F.sum(F.when(F.col("type") == "buy", q).otherwise(zero)).over(upto), "s": F.sum(F.when(F.col("type") != "buy", q).otherwise(zero)).over(upto)}
-    )
-    whole = W.partitionBy("symbol")
-    out = out.withColumn("m", F.col("s") - F.greatest(zero, F.max(F.col("s") - F.col("b")).over(upto)))
-    mean = F.try_divide(F.max("b").over(whole).cast("double"), F.count_if(F.col("type") == "buy").over(whole).cast("double"))
-    return out.withColumns({"m0": F.coalesce(F.lag("m").over(w), zero), "mean_lot": mean})
-
-
-def fifo_gains(transactions: DataFrame, order: list[str]) -> DataFrame:
+    keys, zero = ["symbol"], F.lit(0).cast(QUANTITY)
+    exact = lambda c: c.cast(QUANTITY)  # noqa: E731  sums would widen, and differences of wide sums lose places
+    is_buy, q = F.col("type") == "buy", F.col("quantity").cast(QUANTITY)
+    rows = ranges.ranged(transactions.where("quantity > 0"), keys, order, rows_a_range)
+    upto = ranges.within(keys, order)
+    rows = rows.withColumns({"_bought": F.when(is_buy, q).otherwise(zero), "_sold": F.when(is_buy, zero).otherwise(q)})
+    rows = rows.withColumns({"seq": F.row_number().over(W.partitionBy("symbol", "part").orderBy(*order)), "b": exact(F.sum("_bought").over(upto)), "s": exact(F.sum("_sold").over(upto))})
+    rows = rows.withColumn("_short", F.col("s") - F.col("b"))
+    rows = rows.withColumns({"_most": F.max("_short").over(upto), "_most0": F.max("_short").over(W.partitionBy("symbol", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))})
+    sums = rows.groupBy("symbol", "part").agg(F.count("*").alias("_n"), exact(F.sum("_bought")).alias("_b"), exact(F.sum("_sold")).alias("_s"), F.max("_short").alias("_m"), F.count_if(is_buy).alias("_buys"))
+    before, whole = ranges.earlier(keys), W.partitionBy("symbol")
+    sums = sums.withColumns({"_n0": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_b0": F.coalesce(exact(F.sum("_b").over(before)), zero), "_s0": F.coalesce(exact(F.sum("_s").over(before)), zero)})
+    sums = sums.withColumn("_m", exact(F.col("_m") + F.col("_s0") - F.col("_b0")))
+    mean = F.try_divide(F.sum("_b").over(whole).cast("double"), F.sum("_buys").over(whole).cast("double"))
+    sums = sums.select("symbol", "part", "_n0", "_b0", "_s0", F.greatest(zero, F.max("_m").over(before)).alias("_m0"), mean.alias("mean_lot"))
+    out = ranges.rejoined(rows, sums, keys)
+    b0, s0, never = F.col("_b0"), F.col("_s0"), lambda c: F.greatest(F.col("_m0"), F.col(c) + F.col("_s0") - F.col("_b0"))
+    out = out.withColumns({"seq": (F.col("seq") + F.col("_n0")).cast("int"), "m": exact(s0 + F.col("s") - never("_most")), "m0": exact(s0 + F.col("s") - F.col("_sold") - never("_most0"))})
+    out = out.withColumns({"b": exact(b0 + F.col("b")), "s": exact(s0 + F.col("s"))})
+    return out.drop("part", *[c for c in out.columns if c.startswith("_")])
+
+
+def fifo_gains(transactions: DataFrame, order: list[str], rows_a_range: int = ranges.ROWS) -> DataFrame:
     """Matches of sales and lots, first in first out, as a join of intervals of cumulative quantity.
 
     Intervals are cut at whole multiples of a symbol's mean lot size, and joined by the pieces they share: a sale
     meets the lots it uses up and few others. Returns symbol, buy_seq, sell_seq, buy_date, sell_date, quantity,
     proceeds (less the fee's share), cost_basis (with the fee), gain, holding_period.
     """
-    rows = _numbered(transactions, order)
+    rows = _numbered(transactions, order, rows_a_range)
     fee = F.coalesce("fee", F.lit(0.0))
     piece = lambda q: F.floor(F.col(q).cast("double") / F.col("mean_lot"))
     pieces = lambda lo, hi: F.explode(F.sequence(piece(lo), piece(hi)))
@@ -66,9 +77,9 @@ def fifo_gains(transactions: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumns({"gain": F.col("proceeds") - F.col("cost_basis"), "holding_period": term(F.col("buy_date"), F.col("sell_date"))})
 
 
-def fifo_open(transactions: DataFrame, order: list[str]) -> DataFrame:
+def fifo_open(transactions: DataFrame, order: list[str], rows_a_range: int = ranges.ROWS) -> DataFrame:
     """Lots with a rest, first in first out: symbol, buy_seq, buy_date, quantity, unit_cost, remaining."""
-    rows = _numbered(transactions, order)
+    rows = _numbered(transactions, order, rows_a_range)
     lots = rows.where("type = 'buy'")
     matched = rows.groupBy("symbol").agg(F.max("m").alias("all_matched"))
     left = F.least(F.col("quantity").cast(QUANTITY), F.col("b") - F.col("all_matched"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barquet.config import RISK
+from barquet.operators import ranges
 from barquet.operators.scan import ordered_scan
 
 EXACT = "decimal(28,8)"
@@ -75,6 +76,27 @@ def holding_state(transactions: DataFrame, order: list[str]) -> DataFrame:
     return ordered_scan(transactions, ["symbol"], order, ["type", "quantity", "price", "fee"], _Held, out)
 
 
+def long_holding_state(transactions: DataFrame, order: list[str], rows_a_range: int = ranges.ROWS) -> DataFrame:
+    """What ``holding_state`` gives, but for the last digits, with each symbol's rows spread over as many tasks as they need.
+
+    The quantity held is a sum; given that, a purchase makes of the average cost a share of it and a share of its own price.
+    """
+    keys = ["symbol"]
+    rows = ranges.ranged(transactions.where("quantity is not null"), keys, order, rows_a_range)
+    own = F.when(F.col("type") == "buy", F.col("quantity")).otherwise(-F.col("quantity")).cast("decimal(28,8)")
+    rows = rows.withColumn("_own", own).withColumn("_held", F.sum("_own").over(ranges.within(keys, order)))
+    sums = rows.groupBy("symbol", "part").agg(F.sum("_own").alias("_sum"))
+    sums = sums.select("symbol", "part", F.coalesce(F.sum("_sum").over(ranges.earlier(keys)), F.lit(0)).alias("_start"))
+    rows = ranges.rejoined(rows, sums, keys).withColumn("_held", (F.col("_start") + F.col("_held")).cast("double"))
+    buy, q, held = F.col("type") == "buy", F.col("quantity"), F.col("_held")
+    paid = q * F.col("price") + F.coalesce("fee", F.lit(0.0))
+    share = lambda x: F.when(buy, F.when(held > 0, F.try_divide(x, held)).otherwise(0.0))
+    last = ranges.affine_end(rows, keys, order, {"avg_price": (share(held - q), share(paid))})
+    quantity = rows.groupBy("symbol").agg(F.sum("_own").cast("double").alias("quantity")).withColumnRenamed("symbol", "_symbol")
+    out = last.join(quantity, F.col("symbol").eqNullSafe(F.col("_symbol")))
+    return out.select("symbol", F.greatest("quantity", F.lit(0.0)).alias("quantity"), F.when(F.col("quantity") > 0, F.col("avg_price")).otherwise(0.0).alias("avg_price"))
+
+
 def returns(values: DataFrame) -> DataFrame:
     """Values (portfolio, day, total_value) with ret, the return since the day before; null after a zero and on the first day."""
     w = W.partitionBy("portfolio").orderBy("day")

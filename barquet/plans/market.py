@@ -198,6 +198,14 @@ def _style_scores(spark, d):
     return out
 
 
+_MEANS = ["ema_fast", "ema_slow", "rsi", "macd", "macd_signal", "macd_histogram", "atr"]
+
+
+@query("means_by_ranges", f"{with_suite(DAY, interval='15m')} SELECT symbol, interval, ts, {', '.join(f'round({c}, 6) AS {c}' for c in _MEANS)} FROM suite")
+def _means_by_ranges(spark, d):
+    return kernels.long_means(candles(spark, d, "15m"), DAY).select(*BAR, *[F.round(c, 6).alias(c) for c in _MEANS])
+
+
 @query("tiers", f"{with_suite(DAY)},\n{score_cte(DEFAULT_WEIGHTS)} SELECT symbol, tier, count(*) AS bars FROM scored GROUP BY 1, 2")
 def _tiers(spark, d):
     return _scored(spark, d).groupBy("symbol", "tier").agg(F.count("*").alias("bars"))

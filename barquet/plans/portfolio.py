@@ -114,14 +114,21 @@ UNION ALL SELECT r.symbol, tx.seq, CASE WHEN tx.type = 'buy' THEN r.q + tx.quant
   CASE WHEN tx.type = 'buy' THEN CASE WHEN r.q + tx.quantity > 0 THEN (r.q * r.a + tx.quantity * tx.price + tx.fee) / (r.q + tx.quantity) ELSE 0 END ELSE r.a END FROM r JOIN tx ON tx.symbol = r.symbol AND tx.seq = r.seq + 1)
 SELECT symbol, greatest(0, arg_max(q, seq)) AS quantity, CASE WHEN arg_max(q, seq) > 0 THEN arg_max(a, seq) ELSE 0 END AS avg_price FROM r GROUP BY symbol""",
 )
+add(
+    "holding_state_by_ranges",
+    lambda s, d: portfolio.long_holding_state(t.transactions(s, d), ORDER).withColumn("avg_price", F.round("avg_price", 6)),
+    SQL["holding_state"].replace("SELECT symbol, greatest(0, arg_max(q, seq)) AS quantity, CASE WHEN arg_max(q, seq) > 0 THEN arg_max(a, seq) ELSE 0 END AS avg_price", "SELECT symbol, greatest(0, arg_max(q, seq)) AS quantity, round(CASE WHEN arg_max(q, seq) > 0 THEN arg_max(a, seq) ELSE 0 END, 6) AS avg_price"),
+)
+#: Symbols stand side by side on one axis of quantity, so that lots and sales meet by their intervals alone.
 FIFO = f"""WITH {TX}, c AS (SELECT *, sum(CASE WHEN type = 'buy' THEN quantity ELSE 0 END) OVER w AS b, sum(CASE WHEN type = 'buy' THEN 0 ELSE quantity END) OVER w AS s FROM tx WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
 e AS (SELECT *, s - greatest(0, max(s - b) OVER (PARTITION BY symbol ORDER BY seq)) AS m FROM c), f AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY symbol ORDER BY seq), 0) AS m0 FROM e),
-lot AS (SELECT symbol, CAST(seq AS INTEGER) AS buy_seq, date AS buy_date, b - quantity AS lo, b AS hi, price + fee / quantity AS unit_cost, quantity FROM f WHERE type = 'buy'),
-sale AS (SELECT symbol, CAST(seq AS INTEGER) AS sell_seq, date AS sell_date, m0, m, price, quantity AS sold, fee FROM f WHERE type = 'sell' AND m > m0),
+axis AS (SELECT symbol, sum(t) OVER (ORDER BY symbol) - t AS z FROM (SELECT symbol, max(b) + 1 AS t FROM f GROUP BY symbol)),
+lot AS (SELECT f.symbol, CAST(seq AS INTEGER) AS buy_seq, date AS buy_date, z + b - quantity AS lo, z + b AS hi, price + fee / quantity AS unit_cost, quantity, z FROM f JOIN axis USING (symbol) WHERE type = 'buy'),
+sale AS (SELECT f.symbol AS sold_symbol, CAST(seq AS INTEGER) AS sell_seq, date AS sell_date, z + m0 AS m0, z + m AS m, price, quantity AS sold, fee FROM f JOIN axis USING (symbol) WHERE type = 'sell' AND m > m0),
 g AS (SELECT symbol, buy_seq, sell_seq, buy_date, sell_date, least(hi, m) - greatest(lo, m0) AS quantity, (least(hi, m) - greatest(lo, m0)) * price - (least(hi, m) - greatest(lo, m0)) / sold * fee AS proceeds, (least(hi, m) - greatest(lo, m0)) * unit_cost AS cost_basis
-  FROM lot JOIN sale USING (symbol) WHERE lo < m AND m0 < hi),
+  FROM lot JOIN sale ON lo < m AND m0 < hi),
 gains AS (SELECT *, proceeds - cost_basis AS gain, CASE WHEN sell_date - buy_date > 31536000000 THEN 'long-term' ELSE 'short-term' END AS holding_period FROM g),
-opens AS (SELECT symbol, buy_seq, buy_date, quantity, unit_cost, least(quantity, hi - mm) AS remaining FROM lot JOIN (SELECT symbol, max(m) AS mm FROM f GROUP BY symbol) USING (symbol) WHERE least(quantity, hi - mm) > 0)"""
+opens AS (SELECT symbol, buy_seq, buy_date, quantity, unit_cost, least(quantity, hi - z - mm) AS remaining FROM lot JOIN (SELECT symbol, max(m) AS mm FROM f GROUP BY symbol) USING (symbol) WHERE least(quantity, hi - z - mm) > 0)"""
 GAIN = ["symbol", "buy_seq", "sell_seq", "buy_date", "sell_date", "quantity", "proceeds", "cost_basis", "gain", "holding_period"]
 add("gains_fifo", lambda s, d: lots.fifo_gains(t.transactions(s, d), ORDER), f"{FIFO} SELECT * FROM gains")
 add("lots_fifo", lambda s, d: lots.fifo_open(t.transactions(s, d), ORDER), f"{FIFO} SELECT * FROM opens")
