@@ -32,11 +32,16 @@ def weighted(bars: DataFrame, runs: DataFrame) -> DataFrame:
     Futures and sentiment have no signals in a backtest; their weights are shared out.
     """
     own = CATEGORIES[:4]
-    j = bars.select("symbol", "interval", "n", "ts", "open", "high", "low", "close", *[f"score_{c}" for c in own]).join(F.broadcast(runs.select("run_id", *own)))  # runs: candidates x styles
+    return scored(bars.select("symbol", "interval", "n", "ts", "open", "high", "low", "close", *[f"score_{c}" for c in own]).join(F.broadcast(runs.select("run_id", *own))))  # runs: candidates x styles
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Rows with score_* and weights, which are replaced by score and tier."""
+    own = CATEGORIES[:4]
     available = sum((F.col(c) for c in own), F.lit(0.0))
     total = sum((F.col(f"score_{c}") * F.try_divide(F.col(c), available) for c in own), F.lit(0.0))
-    j = j.withColumn("score", clamp(F.coalesce(total, F.lit(0.0)), -100, 100))
-    return j.withColumn("tier", score.tier(F.col("score"))).drop(*own, *[f"score_{c}" for c in own])
+    rows = rows.withColumn("score", clamp(F.coalesce(total, F.lit(0.0)), -100, 100))
+    return rows.withColumn("tier", score.tier(F.col("score"))).drop(*own, *[f"score_{c}" for c in own])
 
 
 def fixed_fractional(equity: float, risk: float, entry: float, stop: float) -> float:

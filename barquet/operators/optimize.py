@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barquet.config import CATEGORIES, ROBUST, WALK_FORWARD, Backtest
-from barquet.operators import backtest
+from barquet.operators import backtest, search
+from barquet.operators.scan import ordered_scan
 
 T = TypeVar("T")
 RESULT_KEYS = ["run_id", "symbol", "interval"]
@@ -135,46 +136,68 @@ def progress(jobs: DataFrame, now: int) -> DataFrame:
     return jobs.withColumns({"percent": percent, "eta_ms": eta})
 
 
+def _placed(bars: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """Bars with _at, their place in the series from 0, and _windows, the number of its windows; of series without one no bar."""
+    w = W.partitionBy("symbol", "interval")
+    out = bars.withColumns({"_at": F.row_number().over(w.orderBy("n")) - 1, "_windows": F.floor((F.count("*").over(w) - test - train) / F.lit(step)) + 1})
+    return out.where("_windows > 0")
+
+
+def training(bars: DataFrame, base: dict[str, float], rules: Backtest = Backtest(), count: int = WALK_FORWARD["candidates"], train: int = WALK_FORWARD["train"], test: int = WALK_FORWARD["test"], step: int = WALK_FORWARD["step"], constraint: float = WALK_FORWARD["constraint"], windows_a_task: int = 20) -> DataFrame:
+    """Figures of every candidate on the training bars of every window: symbol, interval, window, place, weights, FIGURES of ``search``.
+
+    bars and windows as in ``walk_forward``. A bar is repeated for each group of ``windows_a_task`` windows that it is in, not for
+    candidates: each group is one pass over its bars with arrays over windows and candidates.
+    """
+    keys = ["symbol", "interval"]
+    draw = lambda window: candidates(base, count, constraint, 42 + window)
+    groups = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_windows") - 1) / F.lit(windows_a_task)))
+    rows = _placed(bars, train, test, step).withColumn("_group", F.explode(groups))
+    last = F.least((F.col("_group") + 1) * windows_a_task, F.col("_windows")) - 1
+    rows = rows.where(F.col("_at") <= F.lit(train - 1) + last * step)
+    columns = ["_at", "_windows", "high", "low", "close", *[f"score_{c}" for c in CATEGORIES[:4]]]
+    return ordered_scan(rows, [*keys, "_group"], ["_at"], columns, lambda s, i, g: search.Training(g, windows_a_task, draw, rules, train, step), search.OUT).drop("_group")
+
+
 def walk_forward(bars: DataFrame, base: dict[str, float], rules: Backtest = Backtest(), count: int = WALK_FORWARD["candidates"], train: int = WALK_FORWARD["train"], test: int = WALK_FORWARD["test"], step: int = WALK_FORWARD["step"], limits: dict = ROBUST, constraint: float = WALK_FORWARD["constraint"]) -> DataFrame:
     """The best robust candidate of each series and window, and its figures on the bars that follow.
 
     bars: scored bars (symbol, interval, n from 1, prices, score_*) after their warm-up, so that indicators know the whole past
-    and a test window needs no warm-up of its own. Windows count the bars given. Each window has its own candidates. All windows and
-    candidates run in one job; ties go to the first candidate. Windows without a robust candidate are left out.
+    and a test window needs no warm-up of its own. Windows count the bars given; their training begins with the series. Each window has its own candidates;
+    ties go to the first candidate. Windows without a robust candidate are left out.
     Returns window, symbol, interval, candidate, weights, train_sharpe, test_sharpe_ratio and others.
     """
-    spark = bars.sparkSession
     keys = ["symbol", "interval"]
-    numbered = bars.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy("n")) - 1)
-    spans = windows(numbered.groupBy(*keys).agg(F.count("*").alias("bars")), train, test, step).drop("bars")
-    most = spans.agg(F.max("window")).first()[0]
-    runs = None
-    for w in range(0 if most is None else most + 1):  # a row per candidate and window
-        own = as_runs(spark, candidates(base, count, constraint, 42 + w)).withColumn("window", F.lit(w).cast("long"))
-        runs = own if runs is None else runs.unionByName(own)
-    if runs is None:
-        runs = as_runs(spark, candidates(base, 1)).withColumn("window", F.lit(-1).cast("long"))
-
-    def measured(plan: DataFrame, first: str, last: str) -> DataFrame:
-        rows = numbered.join(F.broadcast(plan), keys).where(F.col("_at").between(F.col(first), F.col(last)))
-        own = CATEGORIES[:4]
-        available, total = F.lit(0.0), F.lit(0.0)
-        for c in own:
-            available = available + F.col(c)
-        for c in own:
-            total = total + F.col(f"score_{c}") * F.try_divide(F.col(c), available)
-        rows = rows.withColumn("score", F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.coalesce(total, F.lit(0.0)))))
-        rows = rows.select("run_id", *keys, "n", "ts", "high", "low", "close", "score", backtest.score.tier(F.col("score")).alias("tier"))
-        events = backtest.run(rows, rules)
-        return backtest.metrics(backtest.trades(events), backtest.equity(events), rules.start_equity)
-
-    plan = spans.join(runs, "window").withColumn("run_id", F.concat_ws(":", "window", "place"))
-    found = plan.join(measured(plan, "train_start", "train_end"), RESULT_KEYS)
+    found = training(bars, base, rules, count, train, test, step, constraint)
     ok = robust(F.col("sharpe_ratio"), F.col("win_rate"), F.col("max_drawdown_percent") / 100, F.col("total_trades"), limits)
     best = found.where(ok).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "window").orderBy(F.desc("sharpe_ratio"), "place"))).where("_r = 1")
-    best = best.select("run_id", *keys, "window", "place", "test_start", "test_end", *CATEGORIES, F.col("sharpe_ratio").alias("train_sharpe"))
-    tested = measured(best, "test_start", "test_end").select(*RESULT_KEYS, "sharpe_ratio", "sortino_ratio", "win_rate", "total_trades", "total_pnl")
-    return best.join(tested, RESULT_KEYS).drop("test_start", "test_end").withColumnRenamed("place", "candidate")
+    best = best.select(F.concat_ws(":", "window", "place").alias("run_id"), *keys, "window", "place", *CATEGORIES, F.col("sharpe_ratio").alias("train_sharpe"))
+    # A bar knows which windows test on it, so that bars and winners meet by window.
+    into = F.col("_at") - train
+    low, high = F.greatest(F.lit(0).cast("long"), F.ceil((into - test + 1) / F.lit(step))), F.least(F.floor(into / F.lit(step)), F.col("_windows") - 1)
+    rows = _placed(bars, train, test, step).where(low <= high).withColumn("window", F.explode(F.sequence(low, high)))
+    rows = rows.join(best.select("run_id", *keys, "window", *CATEGORIES[:4]), [*keys, "window"])
+    rows = backtest.scored(rows)
+    events = backtest.run(rows, rules)
+    tested = backtest.metrics(backtest.trades(events), backtest.equity(events), rules.start_equity).select(*RESULT_KEYS, "sharpe_ratio", "sortino_ratio", "win_rate", "total_trades", "total_pnl")
+    return best.join(tested, RESULT_KEYS).withColumnRenamed("place", "candidate")
+
+
+def same_weights(left: DataFrame, right: DataFrame, keys: list[str] | None = None, places: int = 12) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` (renamed with _right) that have the same keys and weights, which is how results find their candidate where they carry no id.
+
+    Weights are equal if they are when rounded to ``places``; so 0.1 + 0.2 is 0.3, and -0.0 is 0.0. NaN and null equal
+    themselves only. Two rows with the same weights each meet each partner: keys tell them apart, such as a window.
+    """
+    keys = keys or []
+    named = right.withColumnsRenamed({c: f"{c}_right" for c in right.columns})
+
+    def normal(side: str) -> Column:
+        weight = lambda c: F.when(F.isnan(F.col(c + side)), F.lit(float("nan"))).otherwise(F.round(F.col(c + side), places) + 0.0)
+        return F.struct(*[weight(c).alias(c) for c in CATEGORIES])
+
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in keys]
+    return left.withColumn("_w", normal("")).join(named.withColumn("_w_right", normal("_right")), [*on, F.col("_w").eqNullSafe(F.col("_w_right"))]).drop("_w", "_w_right")
 
 
 def round_robin(styles: list[str], symbols: DataFrame) -> DataFrame:

@@ -120,9 +120,9 @@ def vals(cfg: Indicators) -> str:
   coalesce(bb_pb, 0.5) AS pb, ichimoku_conversion AS ic, ichimoku_base AS ib, ichimoku_span_a AS sa, ichimoku_span_b AS sb, supertrend_up AS up FROM suite QUALIFY count(*) OVER (PARTITION BY symbol, interval) >= {cfg.min_candles})"""
 
 
-def score_cte(weights: dict[str, float], live: bool = False, cfg: Indicators = Indicators()) -> str:
+def score_cte(weights: dict[str, float], live: bool = False, cfg: Indicators = Indicators(), skip_ichimoku: bool = False) -> str:
     """CTEs from ``suite`` to ``scored``: category scores, score, tier, without futures and sentiment."""
-    sig = signals_sql(live)
+    sig = signals_sql(live) | ({"ichimoku": "CAST(NULL AS DOUBLE)"} if skip_ichimoku else {})
     w = [weights[c] for c in CATEGORIES[:4]]
     total = "0"
     for x in w:

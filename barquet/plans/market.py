@@ -152,8 +152,8 @@ def _min_candles(spark, d):
     return candles(spark, d).groupBy("symbol").agg(n.alias("bars"), *[(n >= s.indicators.min_candles).alias(name) for name, s in STYLES.items()])
 
 
-def _scored(spark, d, pooled=False, live=False, weights=None, cfg=DAY):
-    return score.composite(kernels.suite(candles(spark, d, "1h", pooled), cfg), weights or DEFAULT_WEIGHTS, live)
+def _scored(spark, d, pooled=False, live=False, weights=None, cfg=DAY, skip_ichimoku=False):
+    return score.composite(kernels.suite(candles(spark, d, "1h", pooled), cfg), weights or DEFAULT_WEIGHTS, live, skip_ichimoku=skip_ichimoku)
 
 
 _SIGNALS = {"trend": ["ema_cross", "sma_trend", "ichimoku", "supertrend"], "momentum": ["rsi", "macd", "stoch", "williams"], "volume": ["obv", "mfi", "volume"], "volatility": ["bollinger", "atr"]}
@@ -187,13 +187,11 @@ def composite_score(spark, d):
     return score.latest(_scored(spark, d, pooled=True, live=True).select(*cols))
 
 
-@query("style_scores", " UNION ALL ".join(f"SELECT * FROM ({with_suite(s.indicators)},\n{score_cte(s.weights, live=True, cfg=s.indicators)} SELECT symbol, interval, ts, '{name}' AS style, score, tier, confidence FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)" for name, s in STYLES.items() if not s.skip_ichimoku))
+@query("style_scores", " UNION ALL ".join(f"SELECT * FROM ({with_suite(s.indicators)},\n{score_cte(s.weights, live=True, cfg=s.indicators, skip_ichimoku=s.skip_ichimoku)} SELECT symbol, interval, ts, '{name}' AS style, score, tier, confidence FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)" for name, s in STYLES.items()))
 def _style_scores(spark, d):
     out = None
     for name, s in STYLES.items():
-        if s.skip_ichimoku:
-            continue
-        one = score.latest(_scored(spark, d, live=True, weights=s.weights, cfg=s.indicators).select(*BAR, F.lit(name).alias("style"), "score", "tier", "confidence"))
+        one = score.latest(_scored(spark, d, live=True, weights=s.weights, cfg=s.indicators, skip_ichimoku=s.skip_ichimoku).select(*BAR, F.lit(name).alias("style"), "score", "tier", "confidence"))
         out = one if out is None else out.unionByName(one)
     return out
 
