@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,9 +13,73 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def fixed(x: Column | str, decimals: int) -> Column:
-    """Text with a fixed number of decimals."""
-    return F.format_string(f"%.{decimals}f", _c(x).cast("double"))
+    """Text with up to eight decimals, rounded by the exact binary value, halves away from zero: 1.005 is 1.00, as it is a little less than that.
+
+    A negative number keeps its sign even where only zeros are left. From 1e21 on it is ``number_text``.
+    """
+    ten = 10**decimals
+
+    def halves(part: Column) -> Column:
+        """A part below one, times a power of ten, as an exact sum."""
+        spread = part * F.lit(134217729.0)
+        high = spread - (spread - part)
+        return F.struct((high * float(ten)).alias("up"), ((part - high) * float(ten)).alias("down"))
+
+    def rounded(sum_: Column) -> Column:
+        up, down = sum_["up"], sum_["down"]
+        more = F.when(F.abs(down) < 0.25, F.lit(0.0)).otherwise(F.floor(down).cast("double"))
+        rest = up - F.floor(up).cast("double")
+        over = down - more
+        return F.floor(up) + more.cast("long") + (over >= 0.5 - rest).cast("long") + (over >= 1.5 - rest).cast("long")
+
+    def small(size: Column) -> Column:
+        tail = lambda n: F.concat(F.lit("."), F.lpad((n % ten).cast("string"), decimals, "0")) if decimals else F.lit("")
+        n = _let(halves(size - F.floor(size).cast("double")), rounded)
+        return _let(n, lambda n: F.concat((F.floor(size) + F.when(n >= ten, 1).otherwise(0)).cast("string"), tail(n)))
+
+    def large(size: Column) -> Column:
+        """From 2**53 on numbers are whole; two parts hold them exactly."""
+        thousands = F.floor(size / 4294967296.0)
+        whole = thousands.cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + (size - thousands.cast("double") * 4294967296.0).cast("decimal(20,0)")
+        return F.concat(whole.cast("string"), F.lit("." + "0" * decimals if decimals else ""))
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        plain = F.concat(F.when(x < 0, "-").otherwise(""), F.when(size < 2.0**53, _let(size, small)).otherwise(_let(size, large)))
+        return F.when(x.isNull(), F.lit(None)).when(F.isnan(x) | (size >= 1e21), number_text(x)).otherwise(plain)
+
+    return _let(_c(x).cast("double"), text)
+
+
+def number_text(x: Column | str) -> Column:
+    """The shortest text that is this number (below 1e-300 perhaps a digit more): plain from 0.000001 to below 1e21, else with an exponent."""
+    trimmed = lambda c: F.regexp_replace(c, r"\.?0+$", "")  # noqa: E731  of texts that hold a point
+
+    def shortest(size: Column) -> Column:
+        out = size.cast("string")
+        for digits in (17, 16):
+            candidate = F.format_string(f"%.{digits - 1}e", size)
+            out = F.when(candidate.try_cast("double") == size, candidate).otherwise(out)
+        return out
+
+    def scientific(short: Column) -> Column:
+        exponent = F.regexp_extract(short, r"[eE]([+-]?\d+)$", 1).try_cast("int")
+        return F.concat(trimmed(F.regexp_extract(short, r"^[\d.]+", 0)), F.lit("e"), F.when(exponent > 0, "+").otherwise(""), exponent.cast("string"))
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        places = lambda short: F.when(size >= 1, short.try_cast("decimal(38,16)").cast("string")).otherwise(short.try_cast("decimal(38,24)").cast("string"))
+        written = _let(shortest(size), lambda short: F.when((size >= 1e-6) & (size < 1e21), trimmed(places(short))).otherwise(scientific(short)))
+        number = F.concat(F.when(x < 0, "-").otherwise(""), F.when(size == 0, "0").otherwise(written))
+        return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(number)
+
+    return _let(_c(x).cast("double"), text)
 
 
 def quantity_text(x: Column | str) -> Column:

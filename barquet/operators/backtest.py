@@ -59,6 +59,20 @@ def kelly(equity: float, win_rate: float, mean_win: float, mean_loss: float, ent
     return equity * min(1.0, max(0.0, (win_rate * odds - (1 - win_rate)) / odds * fraction)) / entry
 
 
+def fractional_size(equity: Column, risk: Column, entry: Column, stop: Column) -> Column:
+    """``fixed_fractional`` of columns."""
+    usable = (entry > 0) & (stop > 0) & (entry != stop)
+    return F.when(usable, F.try_divide(equity * risk, F.abs(entry - stop))).otherwise(0.0)
+
+
+def kelly_size(equity: Column, win_rate: Column, mean_win: Column, mean_loss: Column, entry: Column, fraction: Column) -> Column:
+    """``kelly`` of columns."""
+    odds = F.try_divide(mean_win, F.abs(mean_loss))
+    share = F.try_divide(win_rate * odds - (1 - win_rate), odds) * fraction
+    usable = (entry > 0) & (mean_loss != 0) & (mean_win != 0)
+    return F.when(usable, F.try_divide(equity * F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), entry)).otherwise(0.0)
+
+
 class _Run:
     """Equity, the open position and what Kelly's sizes need of past trades."""
 

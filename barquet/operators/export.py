@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.functions.scalars import csv_escape, fixed, iso_day, quantity_text, strip_quote, utc, utc_time
+from barquet.functions.scalars import csv_escape, fixed, iso_day, number_text, quantity_text, strip_quote, utc, utc_time
 
 #: Header lines of the dialects.
 HEADERS = {
@@ -63,10 +63,9 @@ JOURNAL_HEADER = "Date,Symbol,Interval,Action,Signal Score,Signal Tier,Entry Pri
 
 def journal_csv(entries: DataFrame) -> DataFrame:
     """entry_id and line: a header, whose entry_id is null, and each entry as CSV; days are in UTC, tags are divided by semicolons."""
-    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
     fields = [
-        iso_day("created_at"), F.col("symbol"), F.col("interval"), F.col("action"), F.floor(F.col("signal_score") + 0.5).cast("string"), F.col("signal_tier"), number("entry_price"), number("exit_price"),
-        F.round(F.col("pnl").cast("decimal(20,8)"), 2).cast("string"), F.col("setup_type"), F.col("market_condition"), F.array_join("tags", "; "), F.col("notes"), F.when(F.col("reviewed_at").isNotNull(), "Yes").otherwise("No"),
+        iso_day("created_at"), F.col("symbol"), F.col("interval"), F.col("action"), F.floor(F.col("signal_score") + 0.5).cast("string"), F.col("signal_tier"), number_text("entry_price"), number_text("exit_price"),
+        fixed("pnl", 2), F.col("setup_type"), F.col("market_condition"), F.array_join("tags", "; "), F.col("notes"), F.when(F.col("reviewed_at").isNotNull(), "Yes").otherwise("No"),
     ]
     head = entries.sparkSession.range(1).select(F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(JOURNAL_HEADER).alias("line"))
     return head.unionByName(entries.select("entry_id", _line(*fields).alias("line")))

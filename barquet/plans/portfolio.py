@@ -51,12 +51,29 @@ add("notes_search", lambda s, d: journal.titled(t.read(s, d, "part"), "p_name",
 add("journal_outcome", lambda s, d: t.journal(s, d).select("entry_id", journal.outcome(F.col("action"), F.col("entry_price"), F.col("entry_price") + 10).alias("outcome")), f"SELECT entry_id, CASE WHEN action = 'sell' THEN -((entry_price + 10 - entry_price) / entry_price * 100) ELSE (entry_price + 10 - entry_price) / entry_price * 100 END AS outcome FROM {J}")
 NOTED = {"symbol": "concat('S', user_id)", "interval": "'1h'", "signal_score": "pnl * 4", "notes": "CASE WHEN entry_id % 3 = 0 THEN concat('said \"', action, '\", once') WHEN entry_id % 3 = 1 THEN 'plain' END"}
 CSV_FIELD = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') OR contains({0}, chr(10)) THEN concat('\"', replace({0}, '\"', '\"\"'), '\"') ELSE coalesce({0}, '') END"
-JOURNAL_FIELDS = ["strftime(make_timestamp(created_at * 1000), '%Y-%m-%d')", "symbol", "interval", "action", "CAST(CAST(floor(signal_score + 0.5) AS BIGINT) AS VARCHAR)", "signal_tier", *[f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')" for c in ("entry_price", "exit_price")], "CAST(round(CAST(pnl AS DECIMAL(20,8)), 2) AS VARCHAR)", "setup_type", "market_condition", "array_to_string(tags, '; ')", "notes", "CASE WHEN reviewed_at IS NULL THEN 'No' ELSE 'Yes' END"]
+
+
+def fixed(x: str, n: int) -> str:
+    """printf rounds the exact value, halves to even; halves are moved away from zero first."""
+    return f"printf('%.{n}f', CASE WHEN abs({x}) * {2 ** (n + 1)} = floor(abs({x}) * {2 ** (n + 1)}) AND floor(abs({x}) * {2 ** (n + 1)}) % 2 = 1 THEN ({x}) + sign({x}) * 1e-{n + 1} ELSE ({x}) END)"
+
+
+def plain(x: str) -> str:
+    return f"rtrim(rtrim(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,24)) AS VARCHAR), '0'), '.')"
+
+
+JOURNAL_FIELDS = ["strftime(make_timestamp(created_at * 1000), '%Y-%m-%d')", "symbol", "interval", "action", "CAST(CAST(floor(signal_score + 0.5) AS BIGINT) AS VARCHAR)", "signal_tier", plain("entry_price"), plain("exit_price"), fixed("pnl", 2), "setup_type", "market_condition", "array_to_string(tags, '; ')", "notes", "CASE WHEN reviewed_at IS NULL THEN 'No' ELSE 'Yes' END"]
 JOURNAL_CSV = f"""SELECT CAST(NULL AS BIGINT) AS entry_id, '{export.JOURNAL_HEADER}' AS line UNION ALL
 SELECT entry_id, concat({", ',', ".join(CSV_FIELD.format(f) for f in JOURNAL_FIELDS)}) AS line FROM (SELECT *, {", ".join(f"{e} AS {c}" for c, e in NOTED.items())} FROM {J})"""
 add("journal_csv", lambda s, d: export.journal_csv(t.journal(s, d).withColumns({c: F.expr(e) for c, e in NOTED.items()})), JOURNAL_CSV)
 
 
+#: Prices of coins, from tiny to huge, and gains that are halves of a cent in decimal or in binary.
+EXTREME = NOTED | {"entry_price": "entry_price / (CASE WHEN entry_id % 2 = 0 THEN 1e10 ELSE 1e-2 END)", "exit_price": "CASE WHEN entry_id % 3 <> 0 THEN entry_price * 64 END", "pnl": "CASE WHEN entry_id % 4 = 0 THEN entry_id % 997 + 0.005 WHEN entry_id % 4 = 1 THEN (entry_id % 997) / 8 WHEN entry_id % 4 = 2 THEN -(entry_id % 997) / 1000 END"}
+EXTREME |= {k: f"CAST({EXTREME[k]} AS DOUBLE)" for k in ("entry_price", "exit_price", "pnl")}
+add("journal_csv_extremes", lambda s, d: export.journal_csv(t.journal(s, d).select("*", F.struct(*[F.expr(e).alias(c) for c, e in EXTREME.items()]).alias("x")).withColumns({c: F.col("x")[c] for c in EXTREME})), JOURNAL_CSV.split("FROM (SELECT *")[0] + f"FROM (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in EXTREME.items() if c not in NOTED)}), {', '.join(f'{e} AS {c}' for c, e in NOTED.items())} FROM {J})")
+
+
 def _patterns(s, d):
     j = t.journal(s, d)
     months = j.where("pnl is not null").groupBy("user_id", F.date_format(scalars.utc("created_at"), "yyyy-MM").alias("month")).agg(F.sum(F.col("pnl").cast(t.EXACT)).cast("double").alias("pnl"), F.count("*").alias("trades"))
@@ -170,8 +187,27 @@ add(
     f"""{FIFO} SELECT date, 'buy' AS type, symbol, quantity, price, fee, CAST(NULL AS DOUBLE) AS proceeds, CAST(NULL AS DOUBLE) AS cost_basis, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS VARCHAR) AS holding_period FROM tx WHERE type = 'buy' AND year(make_timestamp(date * 1000)) = 1996
 UNION ALL SELECT sell_date, 'sell', symbol, quantity, proceeds / quantity, 0, proceeds, cost_basis, gain, holding_period FROM gains WHERE year(make_timestamp(sell_date * 1000)) = 1996""",
 )
-for _dialect in ("generic", "koinly", "cointracker"):
-    add(f"tax_csv_{_dialect}", lambda s, d, x=_dialect: export.tax_csv(export.tax_rows(t.transactions(s, d), lots.fifo_gains(t.transactions(s, d), ORDER)), x))
+
+def _line(*fields: str) -> str:
+    return "concat(" + ", ',', ".join(CSV_FIELD.format(f"({f})") for f in fields) + ")"
+
+
+QTY = f"CASE WHEN quantity < 1 THEN {fixed('quantity', 8)} ELSE {fixed('quantity', 4)} END"
+DAY_TEXT, TIME_TEXT, ASSET = "strftime(make_timestamp(date * 1000), '%Y-%m-%d')", "strftime(make_timestamp(date * 1000), '%Y-%m-%d %H:%M:%S UTC')", "regexp_replace(symbol, 'USDT$', '')"
+FEE, UNIT, GOT = f"CASE WHEN fee > 0 THEN {fixed('fee', 2)} END", "CASE WHEN fee > 0 THEN 'USD' END", fixed("coalesce(proceeds, quantity * price)", 2)
+LINES = {
+    "generic": _line(DAY_TEXT, "CASE WHEN type = 'buy' THEN 'Buy' ELSE 'Sell' END", ASSET, QTY, *[fixed(c, 2) for c in ("price", "fee", "proceeds", "cost_basis", "gain")], "CASE holding_period WHEN 'long-term' THEN 'Long-term' WHEN 'short-term' THEN 'Short-term' END"),
+    "koinly": f"CASE WHEN type = 'buy' THEN {_line(TIME_TEXT, fixed('quantity * price + fee', 2), chr(39) + 'USD' + chr(39), QTY, ASSET, FEE, UNIT, chr(39) * 2)} ELSE {_line(TIME_TEXT, QTY, ASSET, GOT, chr(39) + 'USD' + chr(39), FEE, UNIT, chr(39) * 2)} END",
+    "cointracker": f"CASE WHEN type = 'buy' THEN {_line(DAY_TEXT, chr(39) + 'Buy' + chr(39), QTY, ASSET, fixed('quantity * price', 2), chr(39) + 'USD' + chr(39), FEE, UNIT)} ELSE {_line(DAY_TEXT, chr(39) + 'Sell' + chr(39), GOT, chr(39) + 'USD' + chr(39), QTY, ASSET, FEE, UNIT)} END",
+}
+for _dialect in LINES:
+    add(
+        f"tax_csv_{_dialect}",
+        lambda s, d, x=_dialect: export.tax_csv(export.tax_rows(t.transactions(s, d), lots.fifo_gains(t.transactions(s, d), ORDER)), x).select("date", "symbol", "line"),
+        f"""{FIFO}, ro AS (SELECT date, 'buy' AS type, symbol, quantity, price, fee, CAST(NULL AS DOUBLE) AS proceeds, CAST(NULL AS DOUBLE) AS cost_basis, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS VARCHAR) AS holding_period FROM tx WHERE type = 'buy'
+UNION ALL SELECT sell_date, 'sell', symbol, quantity, proceeds / quantity, 0, proceeds, cost_basis, gain, holding_period FROM gains)
+SELECT CAST(NULL AS BIGINT) AS date, CAST(NULL AS VARCHAR) AS symbol, '{export.HEADERS[_dialect]}' AS line UNION ALL SELECT date, symbol, {LINES[_dialect]} FROM ro""",
+    )
 
 SN = f"v AS ({t.SNAPSHOTS_SQL})"
 RET = f"{SN}, r AS (SELECT *, lag(total_value) OVER (PARTITION BY portfolio ORDER BY day) AS before FROM v), x AS (SELECT portfolio, day, total_value, CASE WHEN before <> 0 THEN (total_value - before) / before END AS ret FROM r)"
@@ -219,3 +255,14 @@ add(
 )
 add("scalar_bands", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.fear_greed_band(F.col("p_size") * 2).alias("band"), scalars.days_between(F.lit(0), F.col("p_partkey") * 43_200_000).alias("days")), "SELECT p_partkey, CASE WHEN p_size * 2 <= 20 THEN 'extreme_fear' WHEN p_size * 2 <= 40 THEN 'fear' WHEN p_size * 2 <= 60 THEN 'neutral' WHEN p_size * 2 <= 80 THEN 'greed' ELSE 'extreme_greed' END AS band, p_partkey / 2 AS days FROM part")
 add("scalar_sparkline", lambda s, d: scalars.sparkline(t.snapshots(s, d), "portfolio", "total_value"), f"WITH {SN} SELECT *, (total_value - least(-10, min(total_value) OVER (PARTITION BY portfolio))) / (greatest(10, max(total_value) OVER (PARTITION BY portfolio)) - least(-10, min(total_value) OVER (PARTITION BY portfolio))) AS scaled FROM v")
+#: Numbers of all sizes: whole eighths and 512ths, which are ties in binary, thousandths that end in 5, tiny and huge ones.
+NUMBERS = "CAST(CASE p_partkey % 6 WHEN 0 THEN p_partkey / 8e0 WHEN 1 THEN p_partkey / 512e0 WHEN 2 THEN p_partkey / 1000e0 + 0.005e0 WHEN 3 THEN -p_partkey / 1e7 WHEN 4 THEN p_partkey * 1.7e9 ELSE p_retailprice END AS DOUBLE)"
+add(
+    "scalar_numbers",
+    lambda s, d: t.read(s, d, "part").withColumn("x", F.expr(NUMBERS)).select("p_partkey", *[scalars.fixed("x", n).alias(f"fixed_{n}") for n in (0, 2, 4, 6, 8)], scalars.quantity_text("x").alias("quantity"), scalars.price_text("x").alias("price"), scalars.ratio_text("x").alias("ratio"), scalars.magnitude_text("x").alias("magnitude"), scalars.number_text("x").alias("number")),
+    f"""WITH v AS (SELECT p_partkey, {NUMBERS} AS x FROM part), y AS (SELECT *, CASE WHEN x >= 1e9 THEN x / 1e9 WHEN x >= 1e6 THEN x / 1e6 WHEN x >= 1e3 THEN x / 1e3 ELSE x END AS z FROM v)
+SELECT p_partkey, {", ".join(f"{fixed('x', n)} AS fixed_{n}" for n in (0, 2, 4, 6, 8))}, CASE WHEN x < 1 THEN {fixed("x", 8)} ELSE {fixed("x", 4)} END AS quantity, CASE WHEN x >= 1000 THEN {fixed("x", 2)} WHEN x >= 1 THEN {fixed("x", 4)} ELSE {fixed("x", 6)} END AS price, {fixed("x", 2)} AS ratio,
+  concat({fixed("z", 2)}, CASE WHEN x >= 1e9 THEN 'B' WHEN x >= 1e6 THEN 'M' WHEN x >= 1e3 THEN 'K' ELSE '' END) AS magnitude, CASE WHEN abs(x) < 1e-6 AND x <> 0 THEN regexp_replace(CAST(x AS VARCHAR), 'e-0', 'e-') ELSE {plain("x")} END AS number FROM y""",
+)
+add("scalar_days", lambda s, d: t.read(s, d, "events").select("event_id", scalars.midnight(t.epoch_ms("ts")).alias("day"), scalars.midnight(t.epoch_ms("ts"), 30).alias("month_before")), "SELECT event_id, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day, (epoch_us(ts) // 1000) // 86400000 * 86400000 - 2592000000 AS month_before FROM events")
+add("scalar_futures_bands", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.funding_band((F.col("p_size") - 25) / 1e4).alias("funding"), scalars.long_short_band(F.col("p_size") / 25).alias("long_short")), "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'positive' WHEN p_size < 25 THEN 'negative' ELSE 'flat' END AS funding, CASE WHEN p_size > 25 THEN 'long' WHEN p_size < 25 THEN 'short' ELSE 'even' END AS long_short FROM part")

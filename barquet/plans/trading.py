@@ -281,9 +281,18 @@ add("position_sizing", lambda s, d: _sizing(s, d), "SELECT p_partkey, CASE WHEN
 
 
 def _sizing(s, d):
-    p = t.read(s, d, "part")
-    stop = F.col("p_retailprice") * (1 - (F.col("p_size") - 25) / 100)
-    return p.select("p_partkey", F.coalesce(F.try_divide(F.lit(10_000 * 0.01), F.nullif(F.abs(F.col("p_retailprice") - stop), F.lit(0.0))), F.lit(0.0)).alias("quantity"))
+    entry = F.col("p_retailprice")
+    stop = entry * (1 - (F.col("p_size") - 25) / 100)
+    return t.read(s, d, "part").select("p_partkey", backtest.fractional_size(F.lit(10_000.0), F.lit(0.01), entry, stop).alias("quantity"))
+
+
+_KELLY = {"rate": "(p_partkey % 11) / 10.0", "win": "(p_partkey % 7) * 25.0", "loss": "(p_partkey % 5) * -20.0"}
+add(
+    "kelly_sizing",
+    lambda s, d: t.read(s, d, "part").select("p_partkey", F.round(backtest.kelly_size(F.lit(10_000.0), *[F.expr(e).cast("double") for e in _KELLY.values()], F.col("p_retailprice"), F.lit(0.5)), 9).alias("quantity")),
+    f"""SELECT p_partkey, round(CASE WHEN win = 0 OR loss = 0 THEN 0 ELSE 10000 * least(1, greatest(0, (rate * odds - (1 - rate)) / odds * 0.5e0)) / p_retailprice END, 9) AS quantity
+FROM (SELECT *, win / abs(nullif(loss, 0)) AS odds FROM (SELECT p_partkey, p_retailprice, {", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in _KELLY.items())} FROM part))""",
+)
 
 
 # Optimisation.
@@ -419,6 +428,8 @@ def _stream_limiter(s, d):
 
 
 add("stream_rate_limiter", _stream_limiter, SQL["rate_limiter"])
+_STYLE = f"element_at(array({', '.join(chr(39) + x + chr(39) for x in [*STYLES, 'other'])}), CAST(p_partkey % 5 + 1 AS INT))"
+add("scalar_styles", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.style_interval(F.expr(_STYLE)).alias("interval")), f"SELECT p_partkey, ['5m', '1h', '4h', '1d', '1h'][CAST(p_partkey % 5 + 1 AS INTEGER)] AS interval FROM part")
 add("scalar_ages", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.age_text(F.col("p_partkey") * 7000, 14_000_000).alias("age"), scalars.style_interval(F.col("p_brand")).alias("interval")), "SELECT p_partkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' END AS age, '1h' AS interval FROM (SELECT p_partkey, CAST(floor((14000000 - p_partkey * 7000) / 1000) AS BIGINT) AS s FROM part)")
 
 
