@@ -59,7 +59,7 @@ def fixed(x: str, n: int) -> str:
 
 
 def plain(x: str) -> str:
-    return f"rtrim(rtrim(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,24)) AS VARCHAR), '0'), '.')"
+    return f"CASE WHEN abs({x}) < 1e-6 AND {x} <> 0 THEN regexp_replace(CAST({x} AS VARCHAR), 'e-0', 'e-') ELSE rtrim(rtrim(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,24)) AS VARCHAR), '0'), '.') END"
 
 
 JOURNAL_FIELDS = ["strftime(make_timestamp(created_at * 1000), '%Y-%m-%d')", "symbol", "interval", "action", "CAST(CAST(floor(signal_score + 0.5) AS BIGINT) AS VARCHAR)", "signal_tier", plain("entry_price"), plain("exit_price"), fixed("pnl", 2), "setup_type", "market_condition", "array_to_string(tags, '; ')", "notes", "CASE WHEN reviewed_at IS NULL THEN 'No' ELSE 'Yes' END"]
@@ -262,7 +262,7 @@ add(
     lambda s, d: t.read(s, d, "part").withColumn("x", F.expr(NUMBERS)).select("p_partkey", *[scalars.fixed("x", n).alias(f"fixed_{n}") for n in (0, 2, 4, 6, 8)], scalars.quantity_text("x").alias("quantity"), scalars.price_text("x").alias("price"), scalars.ratio_text("x").alias("ratio"), scalars.magnitude_text("x").alias("magnitude"), scalars.number_text("x").alias("number")),
     f"""WITH v AS (SELECT p_partkey, {NUMBERS} AS x FROM part), y AS (SELECT *, CASE WHEN x >= 1e9 THEN x / 1e9 WHEN x >= 1e6 THEN x / 1e6 WHEN x >= 1e3 THEN x / 1e3 ELSE x END AS z FROM v)
 SELECT p_partkey, {", ".join(f"{fixed('x', n)} AS fixed_{n}" for n in (0, 2, 4, 6, 8))}, CASE WHEN x < 1 THEN {fixed("x", 8)} ELSE {fixed("x", 4)} END AS quantity, CASE WHEN x >= 1000 THEN {fixed("x", 2)} WHEN x >= 1 THEN {fixed("x", 4)} ELSE {fixed("x", 6)} END AS price, {fixed("x", 2)} AS ratio,
-  concat({fixed("z", 2)}, CASE WHEN x >= 1e9 THEN 'B' WHEN x >= 1e6 THEN 'M' WHEN x >= 1e3 THEN 'K' ELSE '' END) AS magnitude, CASE WHEN abs(x) < 1e-6 AND x <> 0 THEN regexp_replace(CAST(x AS VARCHAR), 'e-0', 'e-') ELSE {plain("x")} END AS number FROM y""",
+  concat({fixed("z", 2)}, CASE WHEN x >= 1e9 THEN 'B' WHEN x >= 1e6 THEN 'M' WHEN x >= 1e3 THEN 'K' ELSE '' END) AS magnitude, {plain("x")} AS number FROM y""",
 )
 add("scalar_days", lambda s, d: t.read(s, d, "events").select("event_id", scalars.midnight(t.epoch_ms("ts")).alias("day"), scalars.midnight(t.epoch_ms("ts"), 30).alias("month_before")), "SELECT event_id, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day, (epoch_us(ts) // 1000) // 86400000 * 86400000 - 2592000000 AS month_before FROM events")
 add("scalar_futures_bands", lambda s, d: t.read(s, d, "part").select("p_partkey", scalars.funding_band((F.col("p_size") - 25) / 1e4).alias("funding"), scalars.long_short_band(F.col("p_size") / 25).alias("long_short")), "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'positive' WHEN p_size < 25 THEN 'negative' ELSE 'flat' END AS funding, CASE WHEN p_size > 25 THEN 'long' WHEN p_size < 25 THEN 'short' ELSE 'even' END AS long_short FROM part")
