@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULT_WEIGHTS, STYLES, Indicators
 from barquet.functions import interpret, score
 from barquet.operators import bars, kernels, overlays
+from barquet.operators.checkpoints import shared_folder
 from barquet.plans.kernel_sql import W, _ema, _wilder, frame, rolling_cte, score_cte, signals_sql, total, vals, with_suite
+from barquet.sources import pages
 from barquet.sources.tables import candles, candles_sql
 
 DAY = Indicators()
@@ -44,6 +48,19 @@ START, END = 1_704_412_800_000, 1_705_276_800_000
 QUERIES["candles_range"] = lambda spark, d: bars.scan(candles(spark, d), START, END, limit=150)
 SQL["candles_range"] = f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS r FROM ({candles_sql()}) WHERE ts BETWEEN {START} AND {END}) WHERE r <= 150"
 
+
+
+def _paged(spark, d):
+    """The candles once more, as pages of an endpoint: a folder in which they lie."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    candles(spark, d).write.parquet(folder)
+    series = [(r["symbol"], "1h") for r in candles(spark, d).select("symbol").distinct().collect()]  # a request names its series
+    return pages.read(spark, pages.FolderPages(folder), series, START, END, page=100, span=7 * 86_400_000)
+
+
+QUERIES["candles_paged"] = _paged
+SQL["candles_paged"] = f"SELECT * FROM ({candles_sql()}) WHERE ts BETWEEN {START} AND {END}"
+
 QUERIES["candles_extent"] = lambda spark, d: bars.extent(candles(spark, d))
 SQL["candles_extent"] = f"SELECT symbol, interval, min(ts) AS oldest, max(ts) AS newest, count(*) AS bars FROM ({candles_sql()}) GROUP BY 1, 2"
 
