@@ -237,7 +237,7 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 20, by_doc_id: bool = True) -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more, directly or by a chain.
 
     docs: doc_id and text; other columns are left out. Words are what ASCII white space divides,
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     (size of the set), component_id, the smallest doc_id reachable by links, itself included, and part, a
     number that rows share if they are reachable. Texts that are null or have no words have an
     empty set, no part, and link with nothing; texts of fewer words than a shingle are one shingle. Rows with words
-    that share a doc_id are reachable from each other. Rows with a null doc_id link like others, but have a null
+    that share a doc_id are reachable from each other, if ``by_doc_id``; else links alone count. Rows with a null doc_id link like others, but have a null
     component_id. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -338,10 +338,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
         found = _search(others.join(open_boxes, "box"), points, fetch, percent, page_shingles)
         parts = _joined(parts, components(found))
     rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
+    if not by_doc_id:
+        return _named(rows)
     shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
     if not shared.isEmpty():
         same = components(rows.join(shared.select("doc_id", "low"), "doc_id").where("part is not null").select(F.col("part").alias("a"), F.col("low").alias("b")))
         rows = rows.join(same, F.col("part") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "part").alias("part"))
+    return _named(rows)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with part, and component_id, the smallest doc_id of the part."""
     lowest = durable(rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
     return rows.join(lowest, "part", "left").select("doc_id", "version", "n_shingles", component, "part")

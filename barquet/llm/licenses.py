@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Lines that name a holder, by a sign, a year or a place for one after the word, or that reserve all rights; they are left out.
-#: A line of the text itself that happens to begin with "copyright" has none of these.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|[<\[{]))|\(c\)[ \t]|©|all rights reserved[. \t]*$)[^\n]*$"
+#: A line of the text itself that happens to begin with "copyright", or an item "(c)" of a list, has none of these.
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|[<\[{]))|\(c\)[ \t]*([0-9]{4}|[<\[{©])|©|all rights reserved[. \t]*$)[^\n]*$"
 
-#: Fixed value: a title in front of the text, a line of few words that ends with "license".
-TITLE_LINE = r"^[ \t\r\n*#/;-]*(the )?([a-z0-9.+'\"-]+ ){1,5}licen[sc]e([ ]*\([a-z0-9 .+-]+\))?[ \t:]*\r?\n"
+#: Fixed value: a title in front of the text, a paragraph of one line and few words that ends with "license".
+TITLE_LINE = r"^[ \t\r\n*#/;-]*(the )?([a-z0-9.+'\"-]+ ){1,5}licen[sc]e([ ]*\([a-z0-9 .+-]+\))?[ \t:]*\r?\n[ \t]*\r?\n"
 
 #: Equivalent spellings, from the public guidelines for matching licence texts.
 EQUIVALENT = {

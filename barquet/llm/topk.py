@@ -69,7 +69,10 @@ class _Search:
         blocks = list(zip(np.split(ids, cuts), np.split(rows, cuts), strict=True))
         most, least = (np.array([f(m, axis=0) for _, m in blocks]) for f in (np.max, np.min))
         up, down = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
-        bounds = _sum(_dot(up, most), _dot(down, least))
+        halves = _dot(up, most), _dot(down, least)
+        # A half at an end of the range may be any amount beyond it, which the other half doesn't make up for: no bound is known.
+        beyond = np.any([(h >= HIGHEST) | (h <= LOWEST) for h in halves], axis=0)
+        bounds = np.where(beyond, HIGHEST, _sum(*halves))
         order = np.argsort(-bounds, axis=1, kind="stable")
         for step in range(len(blocks)):
             block = order[:, step]
@@ -96,7 +99,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     vec_id is no candidate. Vectors that are null, or hold null or non-finite components, take no
     part, on either side. Of vectors of unlike lengths the shorter is filled up with zeros, the longer cut to the
     longest query; an empty one scores 0. Ties go to smaller vec_ids; repeated rows rank each. Fewer than k
-    candidates give all. Rows that repeat a query count once. Returns query_id, rank (from 1), vec_id, score; a score
+    candidates give all. Rows that repeat a query count once; of unlike vectors under one query's vec_id each has a ranking, and
+    the best k of these together are returned. Returns query_id, rank (from 1), vec_id, score; a score
     beyond the range of a long counts as the end of it.
 
     Every pair is scored or excluded by its bound. query_chunk bounds what is broadcast; a larger query set takes more passes.

@@ -153,6 +153,18 @@ def test_top_k_of_large_components(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("block_rows", [1, 2, 256])
+def test_top_k_beyond_a_long(spark, block_rows):
+    """Halves of a bound beyond a long exclude nothing, however blocks are cut."""
+    big = 2.0**24
+    rows = [(0, [big, -big]), (1, [big, 2**23.5]), (2, [big, big]), (3, [1.0, -(2.0**17)]), (4, [-big, -big]), (5, [big, -1.0]), (6, [0.0, -(2.0**23)])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in top_k(v, v.where("vec_id = 0"), 6, block_rows=block_rows, window_blocks=3).collect()]
+    whole, top = [[int(c * 256 // 1) for c in x] for _, x in rows], (1 << 63) - 1
+    scores = sorted((-max(1 - top, min(top, sum(a * b for a, b in zip(whole[0], whole[i], strict=True)))), i) for i in range(1, 7))
+    assert sorted(got) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
 # 3
 
 
@@ -235,6 +247,23 @@ def test_licenses_as_files(spark):
     assert sorted((r["doc_id"], r["license_id"]) for r in scan_licenses(texts, known).collect()) == [(1, "A"), (2, None)]
 
 
+def test_licence_items(spark):
+    """Items "(c)" and a first line that ends with "license" are text of a licence, at any width; a notice with a year is none."""
+    import textwrap
+
+    terms = "By using this work you accept all terms of this simple license and agree to:\n\n(a) keep this notice in place, and\n\n(c) You must retain, in the source form, all notices of origin."
+    other = terms.replace("(c) You must retain, in the source form, all notices of origin.", "(c) You may do anything at all.")
+    known = spark.createDataFrame([("T", terms)], "license_id string, text string")
+    rows, want = [], []
+    for width in (30, 50, 64, 100):
+        wrap = lambda x: "\n\n".join(textwrap.fill(p, width) for p in x.split("\n\n"))  # noqa: E731, B023
+        for text, found in ((wrap(terms), "T"), ("Simple Terms License\n(c) 2020 Some One\n\n" + wrap(terms), "T"), (wrap(other), None)):
+            rows.append((len(rows), text))
+            want.append(found)
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
 # 6
 
 

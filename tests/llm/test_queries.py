@@ -93,6 +93,11 @@ def test_pipeline_cases(spark):
         assert out and all(r["kept_text"] == "clash" for r in out if "kept_text" in r)
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, SMALL).collect()]
     assert sorted(kept, key=str) == [1, 3, 4, None]  # one row of a group, repeated or not
+    other = "quite other words " * 40
+    rows = [(7, text, "fr", "s", 1), (7, text, "de", "z", 2), (7, other, "en", "s", 3), (8, text + " end", "en", "s", 4), (None, other + "x", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate(spark, docs, SMALL).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)  # unlike texts under one doc_id stay
 
 
 def test_pipeline_leaks_by_text(spark):
