@@ -33,10 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8): that with the smallest doc_id, null last.
 
-    Texts without words have no group and stay. Of rows that repeat both doc_id and text one stays, of texts that
-    share a doc_id, which are one group, the one with the smallest hash.
+    Groups are made by links between texts alone; unlike texts under one doc_id stay, and of a group's texts under its smallest doc_id the one
+    with the smallest hash. Texts without words have no group and stay. Of rows that repeat both doc_id and text the one stays whose
+    other columns come first.
     """
-    found = durable(near_duplicates(docs, words=5, percent=80).where("part is not null").select("part", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version").alias("row")))
+    found = durable(near_duplicates(docs, words=5, percent=80, by_doc_id=False).where("part is not null").select("part", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version").alias("row")))
     best = durable(found.groupBy("part").agg(F.min("row").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"))
     named = lambda df: df.select(F.col("row.doc_id").alias("other_id"), F.col("row.version").alias("other_version"))
     in_groups = found.join(best, "part")
@@ -56,7 +57,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     kept = docs.join(classes, asked, "left_anti").select(docs.columns).unionByName(kept)
     if repeated.isEmpty():
         return kept
-    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *rest)).alias("row"))
+    once = once.select("doc_id", "text", *[F.col("row")[c].alias(c) for c in rest])
     return kept.join(repeated, same(repeated), "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
