@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -318,7 +319,7 @@ class _Words(dict):
     Letters are encoded once however a word is capitalised and whatever sign follows it, many in one call.
     """
 
-    END = b""
+    END = "end"  # no bytes, as words are
 
     def __init__(self, spec: str, end: int | None, most: int):
         super().__init__({self.END: 0})
@@ -442,14 +443,15 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, seen = _words(spec.value, end, most_words), {}
         for batch in slices(batches):
-            texts = batch["text"].cast(pa.binary()).to_pylist()
-            codes, upto = [], [0]
-            for text in texts:
-                split = text.split()
-                split.append(words.END)
-                codes.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
-                upto.append(upto[-1] + len(split))
-            ids, size = words.of(np.concatenate([np.zeros(0, np.int64), *codes]))
+            # Each word of a slice is looked up once; equal ones share its number.
+            lists = pc.ascii_split_whitespace(batch["text"])
+            found = lists.flatten().dictionary_encode()
+            distinct = found.dictionary.cast(pa.binary()).to_pylist()
+            number = np.fromiter(map(words.__getitem__, distinct), np.int64, len(distinct))
+            counts = lists.value_lengths().to_numpy()
+            codes = np.insert(number[found.indices.to_numpy()], np.cumsum(counts), words[words.END])
+            upto = np.concatenate([[0], np.cumsum(counts + 1)])
+            ids, size = words.of(codes)
             ends = np.concatenate([[0], np.cumsum(size)])[upto].tolist()
             words.forget()
             docs_in = batch["doc_id"].fill_null(0).to_numpy()
@@ -458,7 +460,7 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
             left[null], right[null] = 0, max(first - 1, 0)
             part = left.copy()
             for i in np.flatnonzero(left < right).tolist():
-                key = (None if null[i] else int(docs_in[i]), zlib.crc32(texts[i]))
+                key = (None if null[i] else int(docs_in[i]), zlib.crc32(batch["text"][i].as_py().encode()))
                 seen[key] = turn = seen.get(key, -1) + 1
                 part[i] = left[i] + (key[1] + turn) % (right[i] - left[i] + 1)
             data = pa.array([_packed(ids[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
