@@ -38,6 +38,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Makes tables durable and, when no unwritten table needs them any more, deletes what they wrote."""
+
+    def __init__(self) -> None:
+        self.kept: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.kept.append(durable(df))
+        return self.kept[-1]
+
+    def release(self, *frames: DataFrame) -> None:
+        """Deletes the files of ``frames``, or of all tables made so far."""
+        for df in frames or tuple(self.kept):
+            self.kept = [k for k in self.kept if k is not df]
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                sc = df.sparkSession.sparkContext
+                path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @cache
 def _libc():
     return ctypes.CDLL(None)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import durable
+from barquet.llm.common import Scratch, durable
 
 
-def _ordered(edges: DataFrame) -> DataFrame:
-    return durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def _ordered(edges: DataFrame, keep: Scratch) -> DataFrame:
+    return keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,25 +20,30 @@ def components(edges: DataFrame) -> DataFrame:
     none is left. By hashes pointer paths are short whatever the ids, so the rounds grow with the logarithm
     of the number of nodes. First neighbours are aggregated before they are shuffled, and all joins
     are of written tables, so that Spark can split a node with many edges; every round is
-    written to the shared checkpoint folder. No edges give no rows.
+    written to the shared checkpoint folder, and deleted when the next one is. No edges give no rows.
     """
-    edges = _ordered(edges)
-    nobody, moves = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0), []
+    keep, rounds = Scratch(), Scratch()
+    edges = _ordered(edges, rounds)
+    moves = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         nearest = both.select("a", F.least(place("a"), place("b")).alias("p")).groupBy("a").agg(F.min_by("p.n", "p.h").alias("to"))
-        parents = durable(nearest.select(F.col("a").alias("node"), "to"))
-        moved = durable(parents.join(parents.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select(F.col("node").alias("to"), "end"))
+        parents = rounds(nearest.select(F.col("a").alias("node"), "to"))
+        moved = keep(parents.join(parents.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select(F.col("node").alias("to"), "end"))
         moves.append(moved)
         for c in ("a", "b"):
             edges = edges.join(moved.withColumnRenamed("to", c), c).drop(c).withColumnRenamed("end", c)
-        edges = _ordered(edges)
+        old = tuple(rounds.kept)
+        edges = _ordered(edges, rounds)
+        rounds.release(*old)
     if not moves:
-        return nobody
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = moves[0].toDF("node", "to")
     for moved in moves[1:]:
         found = found.join(moved, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
     found = durable(found)
+    keep.release()
+    rounds.release()
     lowest = durable(found.groupBy("to").agg(F.min("node").alias("component")))
     return found.join(lowest, "to").select("node", "component")

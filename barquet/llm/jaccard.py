@@ -12,10 +12,13 @@ and for each point as many as tell unrelated texts of its size apart.
    so no link is lost; and what a third of all documents hold has a large mass and is hardly ever taken.
 2. Each point of a child is compared with the child's first point: sizes and coordinates first, then
    shingles. That joins copies into parts with a number of comparisons in proportion to the entries.
-3. Children of which the other points still lie in more than one part are searched on: their points
-   fill pages, of alike size, pages fill nodes, and both have boxes of lowest and highest size and
-   highest coordinates. Pairs of nodes, then of pages, are left out by sizes and summed minima, as are
-   pages in one part; in a pair of pages, pairs of points are, and what survives is verified on the shingles.
+   The first point's text is sent once for some hundred others, whatever number a child has.
+3. Children of which the other points still lie in more than one part are searched on. Their points fall into
+   classes of alike size, in these a part that would fill pages into a branch of its own, and in branches
+   points are halved at the means of the coordinates of the largest spread, until a page is left. So pages hold alike points. Classes,
+   branches, every fourth halving and pages have boxes of lowest and highest size and highest coordinates: from
+   the top down, pairs are left out by sizes and summed minima, and if all their points are in one part.
+   In a pair of pages, pairs of points are, and what survives is verified on the shingles.
 
 Children with the same points are searched once. Equal sets are one point. All steps are exact but for
 hashes: shingles and sets are told apart by 64 bits. The result doesn't depend on the size of pages.
@@ -31,13 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, durable, rolling, runs, slices, tidily
+from barquet.llm.common import Scratch, WordHashes, durable, rolling, runs, slices, tidily
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
 GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
 #: Classes of text hashes: texts whose class nobody asks for are not shuffled. So many rows are broadcast at most.
 SLOTS = 1 << 17
+#: Points of a page at most on average, halvings of a branch at most (more pages than that are dealt by hash), and
+#: halvings from one level of boxes to the next.
+PAGE_POINTS, MOST_BITS, STEP_BITS = 512, 24, 4
+#: Points that are compared with one copy of the first text of their group.
+RUN = 256
 _DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, fine binary, masses array<long>"
 _LEAST = np.uint64(64 - FINE_BITS)
 
@@ -167,11 +175,10 @@ def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
     return df.select(*same, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in same])
 
 
-def _boxes(points: DataFrame, *keys: str) -> DataFrame:
-    """The box of each node: sizes, highest coordinates, and the parts between which its points lie."""
-    shape = [F.min("size").alias("low"), F.max("size").alias("high"), F.min("part").alias("part_low"), F.max("part").alias("part_high")]
-    shape += [F.max(F.col("point")[g]).alias(f"g{g}") for g in range(GROUPS)]
-    return points.groupBy(*keys).agg(*shape).withColumn("most", F.array(*[f"g{g}" for g in range(GROUPS)])).drop(*[f"g{g}" for g in range(GROUPS)])
+def _hull(*more: Column) -> list[Column]:
+    """The box of boxes: sizes, the parts between which points lie, highest coordinates."""
+    shape = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("part_low").alias("part_low"), F.max("part_high").alias("part_high")]
+    return [*shape, F.array(*[F.max(F.col("most")[g]) for g in range(GROUPS)]).alias("most"), *more]
 
 
 _VISIT = ["box", "page_a", "page_b"]
@@ -187,34 +194,59 @@ def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: st
     return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
 
 
-def _page_pairs(rows: DataFrame, points: DataFrame, percent: int, page_shingles: int) -> DataFrame:
-    """The rows (box, id, size, part) of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
-    rows = rows.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
-    pages = rows.groupBy("box", "class").agg(F.ceil(F.sum("size") / page_shingles).alias("pages"))
-    slot = F.pmod(F.xxhash64("id"), "pages")
-    paged = rows.join(pages, ["box", "class"]).withColumn("node", F.xxhash64("class", F.floor(slot / 16))).withColumn("page", F.xxhash64("class", slot))
-    paged = durable(paged.drop("class", "pages"))
+def _paged(rows: DataFrame, points: DataFrame, page_shingles: int) -> DataFrame:
+    """Rows with the class, branch, halvings (code, of so many bits) and page that they lie in, and their points."""
+    rows = rows.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("long"))
+    heavy = rows.groupBy("box", "class", "part").agg(F.sum("weight").alias("mass")).where(F.col("mass") > page_shingles).select("box", "class", "part", F.col("part").alias("heavy"))
+    rows = rows.join(heavy, ["box", "class", "part"], "left").withColumn("branch", F.xxhash64("class", "heavy")).drop("heavy")
+    rows = rows.join(points.select("id", "point"), "id")
+    g = [F.col("point")[g].cast("long") for g in range(GROUPS)]
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(g)] + [F.sum(c * c).alias(f"q{i}") for i, c in enumerate(g)]
+    branches = rows.groupBy("box", "branch").agg(F.count("*").alias("n"), F.sum("weight").alias("mass"), *sums)
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(GROUPS)]
+    spread = F.array(*[F.struct((F.col(f"q{i}") / F.col("n") - m * m).alias("spread"), F.lit(i).alias("g"), m.alias("mean")) for i, m in enumerate(mean)])
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mass") / page_shingles)))).cast("int")
+    branches = branches.select("box", "branch", bits.alias("bits"), F.slice(F.sort_array(spread, asc=False), F.lit(1), bits).alias("cuts"))
+    code = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, cut: 2 * acc + F.when(F.col("point")[cut["g"]] > cut["mean"], 1).otherwise(0))
+    rows = rows.join(branches, ["box", "branch"]).withColumn("code", code).drop("cuts")
+    cells = rows.groupBy("box", "branch", "code").agg(F.ceil(F.sum("weight") / page_shingles).alias("pages"))
+    rows = rows.join(cells, ["box", "branch", "code"])
+    return rows.withColumn("page", F.xxhash64("branch", "code", F.pmod(F.xxhash64("id"), "pages"))).drop("pages")
+
+
+def _page_pairs(rows: DataFrame, points: DataFrame, percent: int, page_shingles: int, keep: Scratch) -> DataFrame:
+    """The rows (box, id, size, part, weight) of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
+    paged = keep(_paged(rows, points, page_shingles))
+    own = [F.col("size").alias("low"), F.col("size").alias("high"), F.col("part").alias("part_low"), F.col("part").alias("part_high"), F.col("point").alias("most")]
+    leaf = paged.select("box", "class", "branch", "code", "bits", "page", *own).groupBy("box", "page")
+    leaf = keep(leaf.agg(*_hull(*[F.first(c).alias(c) for c in ("class", "branch", "code", "bits")])))
+    deepest = leaf.agg(F.max("bits")).first()[0] or 0
+    levels = [F.xxhash64("class"), F.col("branch")]
+    levels += [F.xxhash64("branch", F.expr(f"shiftright(code, greatest(bits - {b}, 0))"), F.lit(b)) for b in range(STEP_BITS, deepest, STEP_BITS)]
     apart = F.least("part_low_a", "part_low_b") < F.greatest("part_high_a", "part_high_b")
-    leaf = durable(_boxes(paged.join(points.select("id", "point"), "id"), "box", "node", "page"))
-    shape = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("part_low").alias("part_low"), F.max("part_high").alias("part_high")]
-    nodes = leaf.groupBy("box", "node").agg(*shape, F.array(*[F.max(F.col("most")[g]) for g in range(GROUPS)]).alias("most"))
-    nodes = _side(nodes, "a", "box").join(_side(nodes, "b", "box"), "box").where(F.col("node_a") <= F.col("node_b")).where(apart).where(_may_link(percent)).select("box", "node_a", "node_b")
-    pairs = nodes.join(_side(leaf, "a", "box"), ["box", "node_a"]).join(_side(leaf, "b", "box"), ["box", "node_b"])
-    pairs = pairs.where((F.col("node_a") < F.col("node_b")) | (F.col("page_a") <= F.col("page_b"))).where(apart).where(_may_link(percent))
-    return pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.drop("node"), ["box", "page"])
-
-
-def _once(rows: DataFrame) -> DataFrame:
+    pairs, parent = leaf.select("box").distinct().select("box", F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b")), F.lit(0).cast("long")
+    for level in [*levels, F.col("page")]:
+        nodes = leaf.select("box", parent.alias("parent"), level.alias("node"), "low", "high", "part_low", "part_high", "most")
+        nodes = nodes.groupBy("box", "parent", "node").agg(*_hull())
+        below = lambda side: _side(nodes.withColumnRenamed("node", "child"), side, "box").withColumnRenamed(f"parent_{side}", f"node_{side}")  # noqa: B023, E731
+        pairs = pairs.join(below("a"), ["box", "node_a"]).join(below("b"), ["box", "node_b"])
+        pairs = pairs.where((F.col("node_a") != F.col("node_b")) | (F.col("child_a") <= F.col("child_b"))).where(apart).where(_may_link(percent))
+        pairs, parent = pairs.select("box", F.col("child_a").alias("node_a"), F.col("child_b").alias("node_b")), level
+    pairs = pairs.toDF(*_VISIT)
+    return pairs.select(*_VISIT, F.explode(F.array_distinct(F.array("page_a", "page_b"))).alias("page")).join(paged.select("box", "page", "id", "size", "part"), ["box", "page"])
+
+
+def _once(rows: DataFrame, keep: Scratch) -> DataFrame:
     """Of visits with the same points in the same pages, the rows of one: they have the same links."""
     both = {c: F.bit_xor(F.xxhash64("id", "page", F.lit(i))).alias(c) for i, c in enumerate("xy")}
     visits = rows.groupBy(*_VISIT).agg(F.count("*").alias("n"), *both.values())
-    return durable(rows.join(visits.groupBy("n", "x", "y").agg(F.min(F.struct(*_VISIT)).alias("visit")).select("visit.*"), _VISIT))
+    return keep(rows.join(visits.groupBy("n", "x", "y").agg(F.min(F.struct(*_VISIT)).alias("visit")).select("visit.*"), _VISIT))
 
 
-def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int) -> DataFrame:
-    """Links (a, b) between parts: of rows (box, id, part), those of each box against each other, by nodes, pages and points."""
-    rows = durable(rows.join(points.select("id", "size"), "id"))
-    in_box = durable(rows.groupBy("box").agg(F.sum("size").alias("in_box")))  # aggregated before it is shuffled
+def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, page_shingles: int, keep: Scratch) -> DataFrame:
+    """Links (a, b) between parts: of rows (box, id, part), those of each box against each other, by classes, branches, pages and points."""
+    rows = keep(rows.join(points.select("id", "size"), "id").withColumn("weight", F.greatest("size", F.lit(page_shingles // PAGE_POINTS))))
+    in_box = keep(rows.groupBy("box").agg(F.sum("weight").alias("in_box")))  # aggregated before it is shuffled
     large = in_box.where(F.col("in_box") > page_shingles).select("box")
     columns = [*_VISIT, "page", "id", "size", "part"]
     none = {c: F.lit(0).cast("long") for c in ("page_a", "page_b", "page")}
@@ -222,7 +254,7 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
         visited = rows.withColumns(none).select(columns)
     else:
         visited = rows.join(large, "box", "left_anti").withColumns(none).select(columns)
-        visited = visited.unionByName(_page_pairs(rows.join(large, "box"), points, percent, page_shingles).select(columns))
+        visited = visited.unionByName(_page_pairs(rows.join(large, "box"), points, percent, page_shingles, keep).select(columns))
     visited = visited.join(points.select("id", "fine"), "id")
 
     def survive(rows: pa.Table) -> pa.RecordBatch:
@@ -233,11 +265,11 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
         found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    left = _once(durable(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long")))
+    left = _once(keep(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long")), keep)
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 20, by_doc_id: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shingles: int = 1 << 18, by_doc_id: bool = True) -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more, directly or by a chain.
 
     docs: doc_id and text; other columns are left out. Words are what ASCII white space divides,
@@ -248,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     that share a doc_id are reachable from each other, if ``by_doc_id``; else links alone count. Rows with a null doc_id link like others, but have a null
     component_id. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
     def describe(batches):
@@ -264,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
 
-    described = durable(docs.mapInArrow(describe, _DESCRIBED))
+    described = keep(docs.mapInArrow(describe, _DESCRIBED))
     rows = described.where("masses is null").select("doc_id", "version", "n_shingles", "id")
     counted = described.where("masses is not null").select(F.posexplode("masses")).groupBy("pos").agg(F.sum("col").alias("mass"))
     masses = np.zeros(MASSES, np.int64)
@@ -287,14 +319,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(children, pa.list_(pa.int64()))], names=["id", "boxes"])
 
-    entries = docs.select("text").mapInArrow(enter, "id long, boxes array<long>").select("id", F.explode("boxes").alias("box")).repartition("box")
+    # Written, as both the first points and the join need it; Spark aggregates before it shuffles, and splits a box that many points share.
+    entered = keep(docs.select("text").mapInArrow(enter, "id long, boxes array<long>"))
+    entries = entered.select("id", F.explode("boxes").alias("box"))
     first = entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    live = durable(entries.join(first, "box").select("box", "id", "first").distinct())
+    live = keep(entries.join(first, "box").select("box", "id", "first").distinct())
+    keep.release(entered)
 
     # Of each point that shares a box: a row with its text, its size and its coordinates.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
     points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"), F.first("fine").alias("fine"))
-    points = durable(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "fine"))
+    points = keep(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "fine"))
 
     def as_sets(batches):
         for batch in slices(batches):
@@ -306,38 +341,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
         asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
         slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
         near = docs.join(F.broadcast(asked.select(slot("best_version")).distinct()), slot("version") == F.col("slot"), "left_semi")
-        return durable(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]))
+        return keep(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]))
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of points: id, shingles."""
-        return durable(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"))
+        return keep(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"))
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
     pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
-    pairs = durable(pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
+    pairs = keep(pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
     leaves = texts_of(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
 
     def verify(batches):
-        last, b = None, None  # many points meet the same first one, in rows that follow each other
+        b = None  # the set of the run's first text, in a row without id_a before the others
         for batch in slices(batches):
             hashes, linked = WordHashes(), []
-            for i, id_b in enumerate(batch["b"].to_pylist()):  # texts one by one: a slice may repeat a long one
-                if id_b != last:
-                    last, b = id_b, shingles(batch["text_b"][i].as_py(), words, hashes)
-                linked.append(_linked(shingles(batch["text_a"][i].as_py(), words, hashes), b, percent))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    both = pairs.join(_side(leaves, "a"), "id_a").join(_side(leaves, "b"), "id_b")
-    parts = durable(components(both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b").mapInArrow(verify, "a long, b long")))
+            for i, id_a in enumerate(batch["id_a"].to_pylist()):  # texts one by one: a slice may hold long ones
+                s = shingles(batch["text"][i].as_py(), words, hashes)
+                if id_a is None:
+                    b = s
+                linked.append(id_a is not None and _linked(s, b, percent))
+            yield pa.RecordBatch.from_arrays([batch["id_a"], batch["id_b"]], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    several = keep(pairs.groupBy("id_b").agg(F.ceil(F.count("*") / RUN).alias("runs")))
+    compared = pairs.join(several, "id_b").select("id_a", "id_b", F.pmod(F.xxhash64("id_a"), "runs").alias("run"))
+    compared = compared.join(leaves.withColumnRenamed("id", "id_a"), "id_a").select("id_a", "id_b", "run", "text")
+    firsts = leaves.withColumnRenamed("id", "id_b").join(several, "id_b").select(F.lit(None).cast("long").alias("id_a"), "id_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), "text")
+    met = firsts.unionByName(compared).repartition("id_b", "run").sortWithinPartitions("id_b", "run", "id_a")
+    parts = keep(components(met.select("id_a", "id_b", "text").mapInArrow(verify, "a long, b long")))
+    keep.release(pairs, leaves, several)
 
     # Boxes that still hold points of several parts, besides the first, which was compared with all.
     others = live.where("id <> first").select("box", "id").join(parts, F.col("id") == F.col("node"), "left").select("box", "id", F.coalesce("component", "id").alias("part"))
     open_boxes = others.groupBy("box").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    open_boxes = durable(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
+    open_boxes = keep(open_boxes.where("low < high").groupBy("n", "x", "y").agg(F.min("box").alias("box")).select("box"))
     if not open_boxes.isEmpty():
-        found = _search(others.join(open_boxes, "box"), points, fetch, percent, page_shingles)
-        parts = _joined(parts, components(found))
-    rows = rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))
+        found = _search(others.join(open_boxes, "box"), points, fetch, percent, page_shingles, keep)
+        parts = _joined(parts, components(found), keep)
+    rows = durable(rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part")))
+    keep.release()
     if not by_doc_id:
         return _named(rows)
     shared = durable(rows.where("doc_id is not null and part is not null").groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
@@ -354,8 +396,8 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.join(lowest, "part", "left").select("doc_id", "version", "n_shingles", component, "part")
 
 
-def _joined(parts: DataFrame, joined: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame, joined: DataFrame, keep: Scratch) -> DataFrame:
     """(node, component) after the components ``joined`` (node, component) have been merged; what only ``joined`` has is added."""
     to = joined.select(F.col("node").alias("component"), F.col("component").alias("end"))
     moved = parts.join(to, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
-    return durable(moved.unionByName(joined.join(parts, "node", "left_anti")))
+    return keep(moved.unionByName(joined.join(parts, "node", "left_anti")))
