@@ -38,6 +38,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write one."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Scratch:
     """Makes tables durable and, when no unwritten table needs them any more, deletes what they wrote."""
 
@@ -54,9 +61,7 @@ class Scratch:
             self.kept = [k for k in self.kept if k is not df]
             file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
             if file.isDefined():
-                sc = df.sparkSession.sparkContext
-                path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                delete(df.sparkSession, file.get())
 
 
 @cache
