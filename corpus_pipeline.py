@@ -2,7 +2,7 @@
 
 Each stage takes all that its predecessor kept, as rows with the columns of documents; ``run``
 writes every stage's rows to the folder that the cluster shares and reads them again, so that a
-lost executor costs at most one stage.
+lost executor costs at most one stage. A stage's rows are deleted once the next one's are written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquet.llm import bpe
-from barquet.llm.common import durable, shared_folder, table
+from barquet.llm.common import delete, durable, shared_folder, table
 from barquet.llm.decontaminate import contamination
 from barquet.llm.jaccard import SLOTS, near_duplicates
 from barquet.llm.quality import fit, keep_good
@@ -110,7 +110,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, of all documents."""
     folder, docs = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    last = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
