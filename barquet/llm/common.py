@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Odd multipliers of the rolling polynomials and of the finalizer; any odd values do.
 BASE_A, BASE_B, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 MASK = (1 << 64) - 1
+#: Files of a written table of keys, a core: each file starts processes that set its rights, where there is no native library for that.
+FILES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, of rows without texts, in as few partitions as keep all cores busy: those of a shuffle are worked off one after another, none is made larger."""
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever Spark can write one."""
     sc = spark.sparkContext
@@ -51,8 +58,9 @@ class Scratch:
     def __init__(self) -> None:
         self.kept: list[DataFrame] = []
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.kept.append(durable(df))
+    def __call__(self, df: DataFrame, texts: bool = False) -> DataFrame:
+        """``df``, written; in few files unless it is made of whole texts or has them."""
+        self.kept.append(durable(df if texts else few(df)))
         return self.kept[-1]
 
     def release(self, *frames: DataFrame) -> None:

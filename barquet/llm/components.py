@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import Scratch, durable
+from barquet.llm.common import Scratch, durable, few
 
 
 def _ordered(edges: DataFrame, keep: Scratch) -> DataFrame:
@@ -42,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     found = moves[0].toDF("node", "to")
     for moved in moves[1:]:
         found = found.join(moved, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    found = durable(found)
+    found = durable(few(found))
     keep.release()
     rounds.release()
-    lowest = durable(found.groupBy("to").agg(F.min("node").alias("component")))
+    lowest = durable(few(found.groupBy("to").agg(F.min("node").alias("component"))))
     return found.join(lowest, "to").select("node", "component")

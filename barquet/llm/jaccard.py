@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import Scratch, WordHashes, durable, rolling, runs, slices, tidily
+from barquet.llm.common import Scratch, WordHashes, durable, few, rolling, runs, slices, tidily
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
 
-    described = keep(docs.mapInArrow(describe, _DESCRIBED))
+    described = keep(docs.mapInArrow(describe, _DESCRIBED), texts=True)
     rows = described.where("masses is null").select("doc_id", "version", "n_shingles", "id")
     counted = described.where("masses is not null").select(F.posexplode("masses")).groupBy("pos").agg(F.sum("col").alias("mass"))
     masses = np.zeros(MASSES, np.int64)
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(children, pa.list_(pa.int64()))], names=["id", "boxes"])
 
     # Written, as both the first points and the join need it; Spark aggregates before it shuffles, and splits a box that many points share.
-    entered = keep(docs.select("text").mapInArrow(enter, "id long, boxes array<long>"))
+    entered = keep(docs.select("text").mapInArrow(enter, "id long, boxes array<long>"), texts=True)
     entries = entered.select("id", F.explode("boxes").alias("box"))
     first = entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     live = keep(entries.join(first, "box").select("box", "id", "first").distinct())
@@ -341,11 +341,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
         asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
         slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
         near = docs.join(F.broadcast(asked.select(slot("best_version")).distinct()), slot("version") == F.col("slot"), "left_semi")
-        return keep(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]))
+        return keep(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]), texts=True)
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of points: id, shingles."""
-        return keep(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"))
+        return keep(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"), texts=True)
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
     pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     if not open_boxes.isEmpty():
         found = _search(others.join(open_boxes, "box"), points, fetch, percent, page_shingles, keep)
         parts = _joined(parts, components(found), keep)
-    rows = durable(rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part")))
+    rows = durable(few(rows.join(parts, F.col("id") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "id").alias("part"))))
     keep.release()
     if not by_doc_id:
         return _named(rows)
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
 
 def _named(rows: DataFrame) -> DataFrame:
     """Rows with part, and component_id, the smallest doc_id of the part."""
-    lowest = durable(rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    lowest = durable(few(rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
     return rows.join(lowest, "part", "left").select("doc_id", "version", "n_shingles", component, "part")
 
