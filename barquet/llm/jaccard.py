@@ -194,10 +194,13 @@ def _visits(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: st
     return rows.repartition(*_VISIT).sortWithinPartitions(*_VISIT).mapInArrow(each, schema)
 
 
-def _paged(rows: DataFrame, points: DataFrame, page_shingles: int) -> DataFrame:
-    """Rows with the class, branch, halvings (code, of so many bits) and page that they lie in, and their points."""
+def _paged(rows: DataFrame, points: DataFrame, page_shingles: int, keep: Scratch) -> DataFrame:
+    """Rows with the class, branch, halvings (code, of so many bits) and page that they lie in, and their points.
+
+    What is aggregated of them is written before it is joined back: only then does Spark split a box that is large.
+    """
     rows = rows.withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("long"))
-    heavy = rows.groupBy("box", "class", "part").agg(F.sum("weight").alias("mass")).where(F.col("mass") > page_shingles).select("box", "class", "part", F.col("part").alias("heavy"))
+    heavy = keep(rows.groupBy("box", "class", "part").agg(F.sum("weight").alias("mass")).where(F.col("mass") > page_shingles).select("box", "class", "part", F.col("part").alias("heavy")))
     rows = rows.join(heavy, ["box", "class", "part"], "left").withColumn("branch", F.xxhash64("class", "heavy")).drop("heavy")
     rows = rows.join(points.select("id", "point"), "id")
     g = [F.col("point")[g].cast("long") for g in range(GROUPS)]
@@ -206,17 +209,17 @@ def _paged(rows: DataFrame, points: DataFrame, page_shingles: int) -> DataFrame:
     mean = [F.col(f"s{i}") / F.col("n") for i in range(GROUPS)]
     spread = F.array(*[F.struct((F.col(f"q{i}") / F.col("n") - m * m).alias("spread"), F.lit(i).alias("g"), m.alias("mean")) for i, m in enumerate(mean)])
     bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mass") / page_shingles)))).cast("int")
-    branches = branches.select("box", "branch", bits.alias("bits"), F.slice(F.sort_array(spread, asc=False), F.lit(1), bits).alias("cuts"))
+    branches = keep(branches.select("box", "branch", bits.alias("bits"), F.slice(F.sort_array(spread, asc=False), F.lit(1), bits).alias("cuts")))
     code = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, cut: 2 * acc + F.when(F.col("point")[cut["g"]] > cut["mean"], 1).otherwise(0))
     rows = rows.join(branches, ["box", "branch"]).withColumn("code", code).drop("cuts")
-    cells = rows.groupBy("box", "branch", "code").agg(F.ceil(F.sum("weight") / page_shingles).alias("pages"))
+    cells = keep(rows.groupBy("box", "branch", "code").agg(F.ceil(F.sum("weight") / page_shingles).alias("pages")))
     rows = rows.join(cells, ["box", "branch", "code"])
     return rows.withColumn("page", F.xxhash64("branch", "code", F.pmod(F.xxhash64("id"), "pages"))).drop("pages")
 
 
 def _page_pairs(rows: DataFrame, points: DataFrame, percent: int, page_shingles: int, keep: Scratch) -> DataFrame:
     """The rows (box, id, size, part, weight) of boxes of more than a page, once for each pair of pages that may hold a link between parts."""
-    paged = keep(_paged(rows, points, page_shingles))
+    paged = keep(_paged(rows, points, page_shingles, keep))
     own = [F.col("size").alias("low"), F.col("size").alias("high"), F.col("part").alias("part_low"), F.col("part").alias("part_high"), F.col("point").alias("most")]
     leaf = paged.select("box", "class", "branch", "code", "bits", "page", *own).groupBy("box", "page")
     leaf = keep(leaf.agg(*_hull(*[F.first(c).alias(c) for c in ("class", "branch", "code", "bits")])))
@@ -319,12 +322,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(children, pa.list_(pa.int64()))], names=["id", "boxes"])
 
-    # Written, as both the first points and the join need it; Spark aggregates before it shuffles, and splits a box that many points share.
+    # Written, as both the first points and the join need it. Spark aggregates before it shuffles, and in the join of written tables splits a box that many points share.
     entered = keep(docs.select("text").mapInArrow(enter, "id long, boxes array<long>"), texts=True)
     entries = entered.select("id", F.explode("boxes").alias("box"))
-    first = entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = keep(entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     live = keep(entries.join(first, "box").select("box", "id", "first").distinct())
-    keep.release(entered)
+    keep.release(entered, first)
 
     # Of each point that shares a box: a row with its text, its size and its coordinates.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
