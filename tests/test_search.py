@@ -73,3 +73,16 @@ def test_same_weights(spark):
     assert pairs == {(i, i) for i in range(10)} | {(0, 1), (1, 0), (5, 6), (6, 5)}
     across = {(r["id"], r["id_right"]) for r in optimize.same_weights(df, df.where("window = 0")).where(F.col("id") > 4).collect()}
     assert across == {(5, 0), (5, 1), (6, 0), (6, 1), (7, 2), (8, 3), (9, 4)}
+
+
+def test_many_rows_with_the_same_weights_are_dealt(spark):
+    """Of two groups of equal weights no task makes all pairs; null keys, copies and rows without a partner are as in one piece."""
+    rows = [(i if i % 7 else None, i % 3, *[float(i % 2)] * len(CATEGORIES)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, window int, " + ", ".join(f"{c} double" for c in CATEGORIES))
+    some = df.where("window = 1")
+    joined = optimize.same_weights(df, some, pairs_a_task=1000).cache()
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert joined.count() == 600 * 100 and max(sizes) < 15_000 and len(sizes) > 20  # 30,000 pairs each in one piece
+    pairs = lambda d: sorted(((r["id"] or 0, r["id_right"] or 0) for r in d.collect()))
+    assert pairs(joined) == sorted((a[0] or 0, b[0] or 0) for a in rows for b in rows if b[1] == 1 and a[2] == b[2])
+    assert pairs(optimize.same_weights(df, some, ["window"], pairs_a_task=100)) == sorted((a[0] or 0, b[0] or 0) for a in rows for b in rows if a[1] == b[1] == 1 and a[2] == b[2])
