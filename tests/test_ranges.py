@@ -51,6 +51,29 @@ def test_average_cost_of_a_hot_symbol(spark):
         assert got[k]["quantity"] == pytest.approx(r["quantity"], abs=1e-6) and got[k]["avg_price"] == pytest.approx(r["avg_price"], rel=1e-7, abs=1e-7)
 
 
+def shuffles(df):
+    """Of the plan without what is written or reused."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_symbols_of_few_rows_are_shuffled_once(spark):
+    """Lots and average costs of symbols that a task can take whole: rows are clustered once, whatever follows."""
+    t = transactions(spark, rows=200)
+    assert shuffles(lots.fifo_gains(t, ["date"])) == shuffles(lots.fifo_open(t, ["date"])) == shuffles(portfolio.long_holding_state(t, ["date"])) == 1
+
+
+def test_lots_and_sales_that_end_together(spark):
+    """Equal ends, sales of nothing held, lots below the eighth place, and what is sold before it is bought."""
+    rows = [("s", "sell", 5.0), ("s", "buy", 1.0), ("s", "buy", 2.0), ("s", "sell", 1.0), ("s", "buy", 1e-9), ("s", "sell", 2.0), ("s", "sell", 4.0), ("s", "buy", 3.0), ("s", "buy", 1.0), ("s", "sell", 3.5)]
+    t = spark.createDataFrame([(s, k, q, 10.0 + i, 0.5, i) for i, (s, k, q) in enumerate(rows)], TX)
+    want = [(2, 4, 1.0), (3, 6, 2.0), (8, 10, 3.0), (9, 10, 0.5)]
+    for a_range in (3, 1000):
+        found = lots.fifo_gains(t, ["date"], rows_a_range=a_range).orderBy("buy_seq", "sell_seq").collect()
+        assert [(r["buy_seq"], r["sell_seq"], r["quantity"]) for r in found] == want
+        assert [(r["buy_seq"], r["remaining"]) for r in lots.fifo_open(t, ["date"], rows_a_range=a_range).collect()] == [(9, 0.5)]
+    assert found[0]["proceeds"] == 13.0 - 0.5 and found[1]["cost_basis"] == 2 * 12.0 + 0.5 and found[3]["proceeds"] == pytest.approx(0.5 * 19.0 - 0.5 / 3.5 * 0.5)
+
+
 def series(spark, n=4000):
     rng, price, rows = random.Random(2), 100.0, []
     for i in range(n):
