@@ -9,7 +9,7 @@ one that rejects as large a share of labelled documents as the labels do.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barquet.llm.common import slices
+from barquet.llm.common import Scratch, slices
 
 #: Kinds of characters that are counted, besides letters.
 KINDS = ("#$%&*@^~<>{}=+_\\", "|", "!?", ".,;:", "0123456789")
@@ -76,44 +76,132 @@ def _expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z], 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, pairs: int = 60_000, seed: int = 7) -> Ranker:
-    """Learns from labels (doc_id, label 0 or 1) of ``docs`` (doc_id, text).
-
-    At most most_rows labelled documents are taken, those with the lowest hash of doc_id; their texts stay on the
-    executors, only features come back. From them ``pairs`` preferences are drawn with a fixed seed. Rows with a
+def _sums(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows' x of what ``f`` gives for a matrix of them: ``size`` numbers, one row a task on the way."""
+
+    def part(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch["x"]
+                total += f(x.flatten().to_numpy().reshape(batch.num_rows, -1))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+
+    found = df.select("x").mapInArrow(part, "total array<double>").select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("total"))
+    out = np.zeros(size)
+    for pos, total in found.collect():  # ``size`` rows
+        out[pos] = total
+    return out
+
+
+def _ranked(scores: DataFrame, places: list[int], bins: int = 4096) -> list[float]:
+    """The scores at ``places`` in rising order, from 0, over all rows: bins are counted, and that of the place is cut on."""
+    out = []
+    for place in places:
+        low, high, rows = *scores.agg(F.min("score"), F.max("score")).first(), scores
+        while low < high:
+            at = F.least(F.floor((F.col("score") - low) / max((high - low) / bins, 5e-324)), F.lit(bins - 1))
+            counted = sorted(rows.groupBy(at.alias("bin")).agg(F.count("*"), F.min("score"), F.max("score")).collect())  # ``bins`` rows at most
+            for _, n, low, high in counted:
+                if place < n:
+                    break
+                place -= n
+            rows = rows.where(F.col("score").between(low, high))
+        out.append(float(low))
+    return out
+
+
+def _preferences(learned: DataFrame, good: int, bad: int, pairs: int, block: int, seed: int) -> DataFrame:
+    """x: differences of a good and a bad row's x, with each row of learned (hash, label, x) in one at least.
+
+    Rows are dealt to blocks by their hash. Those of the smaller class are repeated in as many blocks as give each some of them; within a
+    block each row of the larger class meets rows of the smaller one, as often as makes ``pairs`` in all, by a seed of the block's number.
+    """
+    rare, least, most = int(good < bad), min(good, bad), max(good, bad)
+    blocks = -(-(good + bad) // block)
+    copies, times = min(blocks, -(-64 * blocks // least)), max(1, pairs // most)
+    first = F.pmod("hash", F.lit(blocks))
+    repeated = F.when(F.col("label") == rare, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    dealt = learned.select("label", "x", first.alias("first"), F.explode(repeated).alias("copy")).select(F.pmod(F.col("first") + F.col("copy"), F.lit(blocks)).alias("block"), "label", "x")
+
+    def drawn(key, table):
+        x = table["x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        x, label = x[order := np.lexsort(x.T)], table["label"].to_numpy()[order]
+        few, many = x[label == rare], x[label != rare]
+        if not len(few) or not len(many):
+            return pa.table({"x": pa.array([], pa.list_(pa.float64()))})
+        rng = np.random.default_rng([seed, key[0].as_py()])
+        n = max(len(many) * times, len(few))
+        d = few[np.resize(rng.permutation(len(few)), n)] - many[np.resize(rng.permutation(len(many)), n)]
+        return pa.table({"x": pa.array(list(d if rare else -d), pa.list_(pa.float64()))})
+
+    return dealt.groupBy("block").applyInArrow(drawn, "x array<double>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, pairs: int = 60_000, seed: int = 7, block: int = 8192) -> Ranker:
+    """Learns from labels (doc_id, label 0 or 1) of ``docs`` (doc_id, text): from all of them.
+
+    Texts, features and preferences stay on the executors; sums of a fixed size come back. Each labelled row takes part in the scale, in a
+    preference at least, of which there are about ``pairs`` if rows are fewer, and in the cut. Rows with a
     null label, id or text take no part. Without both labels there is no preference: every score is 0.5.
     """
-    sample = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
 
     def measure(batches):
         for batch in slices(batches):
             x = pa.array([features(t) for t in batch["text"].to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch["label"], x], names=["label", "x"])
-
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    learned = texts.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(measure, "label int, x array<double>")
-    rows = np.array([[r[0], *r[1]] for r in learned.collect()], float)  # most_rows of them
-    if not len(rows) or len(set(rows[:, 0])) < 2:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], x], names=["doc_id", "x"])
+
+    keep = Scratch()
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    measured = texts.mapInArrow(measure, T.StructType([texts.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))  # before the join, so that it moves no texts
+    learned = keep(measured.join(known, "doc_id").select(F.xxhash64("doc_id", "x").alias("hash"), "label", "x"))
+    counts = dict(learned.groupBy("label").count().collect())
+    good, bad = counts.get(1, 0), counts.get(0, 0)
+    if not good or not bad:
+        keep.release()
         return Ranker(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(2 * N_FEATURES), 0.0, 1.0)
-    rows = rows[np.lexsort(rows.T)]
-    good, bad = rows[rows[:, 0] == 1, 1:], rows[rows[:, 0] == 0, 1:]
-    mean, scale = np.median(good, 0), np.maximum(good.std(0), 1e-3) * 2
-    rng = np.random.default_rng(seed)
-    g, b = _expanded(good, mean, scale), _expanded(bad, mean, scale)
-    d = g[rng.integers(0, len(g), pairs)] - b[rng.integers(0, len(b), pairs)]
-    w = np.zeros(d.shape[1])
+    # Sums are rounded, so that the order in which tasks add doesn't show.
+    moments = _sums(learned.where("label = 1"), lambda x: np.concatenate([x.sum(0), (x * x).sum(0)]), 2 * N_FEATURES) / good
+    mean = _rounded(moments[:N_FEATURES])
+    scale = _rounded(np.maximum(np.sqrt(np.maximum(moments[N_FEATURES:] - moments[:N_FEATURES] ** 2, 0)), 1e-3) * 2)
+
+    def expand(batches):
+        for batch in batches:
+            z = _expanded(batch["x"].flatten().to_numpy().reshape(batch.num_rows, N_FEATURES), mean, scale)
+            yield pa.RecordBatch.from_arrays([batch["hash"], batch["label"], pa.array(list(z), pa.list_(pa.float64()))], names=["hash", "label", "x"])
+
+    learned = keep(learned.mapInArrow(expand, "hash long, label int, x array<double>"))
+    preferences = keep(_preferences(learned, good, bad, pairs, block, seed))
+    n, size = preferences.count(), 2 * N_FEATURES
+    w = np.zeros(size)
     for _ in range(25):  # Newton steps on mean logistic loss with a small ridge
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        h = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, d.T @ p / len(d) - 1e-3 * w)
+
+        def slope(d, w=w):
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            return np.concatenate([((d * (p * (1 - p))[:, None]).T @ d).ravel(), d.T @ p])
+
+        sums = _sums(preferences, slope, size * size + size) / n
+        h = sums[: size * size].reshape(size, size) + 1e-3 * np.eye(size)
+        step = np.linalg.solve(h, sums[size * size :] - 1e-3 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    scores = np.sort(np.concatenate([g @ w, b @ w]))
-    at = len(b)  # the quantile at the share of bad labels
-    cut = (scores[at - 1] + scores[min(at, len(scores) - 1)]) / 2
-    return Ranker(mean, scale, w, float(cut), 1.0)
+    w = _rounded(w)
+
+    def score(batches):
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array((x * w).sum(1))], names=["score"])
+
+    scores = keep(learned.mapInArrow(score, "score double"))
+    cut = sum(_ranked(scores, [bad - 1, min(bad, good + bad - 1)])) / 2  # the quantile at the share of bad labels
+    keep.release()
+    return Ranker(mean, scale, w, cut, 1.0)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.array([float(f"{v:.9g}") for v in x])
 
 
 def score_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,7 +15,7 @@ from barquet.llm.decontaminate import contamination
 from barquet.llm.jaccard import near_duplicates
 from barquet.llm.licenses import LICENSES, known_licenses, scan_licenses
 from barquet.llm.lm import stupid_backoff
-from barquet.llm.quality import fit, keep_good, score_documents
+from barquet.llm.quality import _ranked, fit, keep_good, score_documents
 from barquet.llm.sharding import shard_rows
 from barquet.llm.substrings import drop_repeats
 from barquet.llm.topk import top_k
@@ -280,6 +281,23 @@ def test_quality(spark, docs, none):
     assert [r["score"] for r in score_documents(train.limit(2), empty).collect()] == [0.5, 0.5]
 
 
+def test_quality_learns_from_every_label(spark):
+    """The only bad rows are those with the highest hashes of 20,300, and blocks are smaller than the rows."""
+    rows = spark.range(20_300).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("place"))
+    rows = rows.select("doc_id", F.when(F.col("place") <= 20_100, F.concat(F.lit("Plain words number "), F.col("doc_id"))).otherwise(F.concat(F.lit("###|| @@ {} "), F.col("doc_id"))).alias("text"), (F.col("place") <= 20_100).cast("int").alias("label")).localCheckpoint()
+    ranker = fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"), block=1000)
+    found = score_documents(rows.select("doc_id", "text"), ranker).join(rows.select("doc_id", "label"), "doc_id").groupBy("label", "predicted").count().collect()
+    assert {(r["label"], r["predicted"]): r["count"] for r in found} == {(1, 1): 20_100, (0, 0): 200}
+
+
+def test_exact_places_of_scores(spark):
+    """Of many equal, few different, tiny and huge scores."""
+    values = [0.5] * 500 + [i / 7 for i in range(300)] + [1e-300, -1e300, 1e300, -0.25]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    places = [0, 1, 2, 3, 400, 503, 600, 802, 803]
+    assert _ranked(scores, places, bins=16) == [sorted(values)[i] for i in places]
+
+
 # 7
 
 
