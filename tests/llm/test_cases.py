@@ -387,6 +387,19 @@ def test_near_duplicates_of_texts_under_one_id(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(i, 0) for i in range(6)] + [(50, 0)] * 7 + [(60, 60)]
 
 
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    """A path, a star, loops and repeated edges: rounds down to no edge, and one task for the last ones, give the same."""
+    from barquet.llm import components as module
+
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (3, 2), (3, 2), (-5, 200), (200, 201)]
+    df, found = spark.createDataFrame(edges, "a long, b long"), []
+    for last in (0, 25, 1 << 18):
+        monkeypatch.setattr(module, "LAST", last)
+        found.append({r["node"]: r["component"] for r in components(df).collect()})
+    want = {i: 0 for i in range(31)} | {100 + i: 100 for i in range(20)} | {-5: -5, 200: -5, 201: -5}
+    assert found == [want] * 3
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(1000, 1060)] + [(1, x) for x in range(2, 80)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
