@@ -34,19 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import Scratch, WordHashes, durable, few, rolling, runs, slices, tidily
+from barquet.llm.common import Scratch, WordHashes, durable, few, rolling, runs, slices, small_batches, tidily
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
 GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
-#: Classes of text hashes: texts whose class nobody asks for are not shuffled. So many rows are broadcast at most.
-SLOTS = 1 << 17
+#: Classes of text hashes: texts whose class nobody asks for are not shuffled. A 64th of so many rows, words of bits, are broadcast at most.
+SLOTS = 1 << 24
 #: Points of a page at most on average, halvings of a branch at most (more pages than that are dealt by hash), and
 #: halvings from one level of boxes to the next.
 PAGE_POINTS, MOST_BITS, STEP_BITS = 512, 24, 4
 #: Points that are compared with one copy of the first text of their group.
 RUN = 256
-_DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, fine binary, masses array<long>"
+_DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<int>, coarse binary, fine binary, masses array<long>"
 _LEAST = np.uint64(64 - FINE_BITS)
 
 
@@ -161,6 +161,24 @@ def _links(sets: list[np.ndarray], page: np.ndarray, part: np.ndarray, percent:
     return out
 
 
+def _slot(version: str) -> tuple[Column, Column]:
+    """The word and the bit in it of the class of a text hash."""
+    slot = f"pmod({version}, {SLOTS}L)"
+    return F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")
+
+
+def slots(df: DataFrame, version: str) -> DataFrame:
+    """The classes of the text hashes in ``df``, in words of bits, to be broadcast and asked by ``in_slots``."""
+    word, bit = _slot(version)
+    return F.broadcast(df.select(word.alias("slot_word"), bit.alias("bit")).groupBy("slot_word").agg(F.bit_or("bit").alias("slot_bits")))
+
+
+def in_slots(version: str) -> Column:
+    """Whether a text hash is in a class of the ``slots`` that are joined."""
+    word, bit = _slot(version)
+    return (word == F.col("slot_word")) & (F.col("slot_bits").bitwiseAND(bit) != 0)
+
+
 def _summed_minima(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
@@ -255,17 +273,20 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
     else:
         visited = rows.join(large, "box", "left_anti").withColumns(none).select(columns)
         visited = visited.unionByName(_page_pairs(rows.join(large, "box"), points, percent, page_shingles, keep).select(columns))
-    visited = visited.join(points.select("id", "fine"), "id")
 
-    def survive(rows: pa.Table) -> pa.RecordBatch:
-        found = _survivors(rows["size"].to_numpy(), rows["fine"].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
-        return pa.RecordBatch.from_struct_array(rows.select([*_VISIT, "page", "id", "part"]).filter(pa.array(found)).to_struct_array().combine_chunks())
+    def survivors(rows: DataFrame, counts: str) -> DataFrame:
+        def survive(rows: pa.Table) -> pa.RecordBatch:
+            found = _survivors(rows["size"].to_numpy(), rows[counts].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
+            return pa.RecordBatch.from_struct_array(rows.select(columns).filter(pa.array(found)).to_struct_array().combine_chunks())
+
+        return keep(_visits(rows.join(points.select("id", counts), "id"), survive, ", ".join(f"{c} long" for c in columns)))
 
     def link(rows: pa.Table) -> pa.RecordBatch:
         found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    left = _once(keep(_visits(visited, survive, "box long, page_a long, page_b long, page long, id long, part long")), keep)
+    # Chance meetings grow faster than the input, and coordinates part most of them: only what those leave is sent with the fine counts.
+    left = _once(survivors(survivors(visited, "coarse"), "fine").drop("size"), keep)
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
@@ -280,19 +301,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     that share a doc_id are reachable from each other, if ``by_doc_id``; else links alone count. Rows with a null doc_id link like others, but have a null
     component_id. An empty table gives an empty one.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, page_shingles, by_doc_id)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: int, by_doc_id: bool) -> DataFrame:
     spark, keep = docs.sparkSession, Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
     def describe(batches):
         """A row per document, and at the end one with the masses of all groups."""
-        names, masses = ["doc_id", "version", "n_shingles", "id", "point", "fine", "masses"], np.zeros(MASSES, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
+        names, masses = ["doc_id", "version", "n_shingles", "id", "point", "coarse", "fine", "masses"], np.zeros(MASSES, np.int64)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for batch in slices(batches):
             hashes = WordHashes()
             sets = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
             masses += np.bincount(_mass_group(np.concatenate(sets)), minlength=MASSES)
-            points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(_points(sets).ravel()))
-            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [_coded(_fine_point(s)) for s in sets], [None] * len(sets)]
+            counts = _points(sets)
+            points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(counts.ravel()))
+            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [_coded(p) for p in counts], [_coded(_fine_point(s)) for s in sets], [None] * len(sets)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
 
@@ -328,8 +355,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
 
     # Of each point that shares a box: a row with its text, its size and its coordinates.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
-    points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"), F.first("fine").alias("fine"))
-    points = keep(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "fine"))
+    points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
+    points = keep(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "coarse", "fine"))
 
     def as_sets(batches):
         for batch in slices(batches):
@@ -339,9 +366,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, page_shi
     def texts_of(ids: DataFrame) -> DataFrame:
         """A text of each point: id, text. It is about half as large as the set."""
         asked = points.join(ids.select("id").distinct(), "id", "left_semi").select("id", "best_id", "best_version")
-        slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
-        near = docs.join(F.broadcast(asked.select(slot("best_version")).distinct()), slot("version") == F.col("slot"), "left_semi")
-        return keep(near.join(asked, near.doc_id.eqNullSafe(asked.best_id) & (near.version == asked.best_version)).select("id", "text").dropDuplicates(["id"]), texts=True)
+        near = docs.join(slots(asked, "best_version"), in_slots("version"), "left_semi")
+        # Keys without nulls: rows that repeat one are aggregated before texts are shuffled, and the join finds them where they then lie.
+        key = lambda c: [F.coalesce(c, F.lit(0)).alias("named"), F.col(c).isNull().alias("unnamed")]
+        near = near.groupBy(*key("doc_id"), "version").agg(F.first("text").alias("text"))
+        asked = asked.select(*key("best_id"), F.col("best_version").alias("version"), "id")
+        return keep(near.join(asked, ["named", "unnamed", "version"]).select("id", "text"), texts=True)
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of points: id, shingles."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barquet.llm import bpe
 from barquet.llm.common import delete, durable, shared_folder, table
 from barquet.llm.decontaminate import contamination
-from barquet.llm.jaccard import SLOTS, near_duplicates
+from barquet.llm.jaccard import in_slots, near_duplicates, slots
 from barquet.llm.quality import fit, keep_good
 from barquet.llm.substrings import drop_repeats
 
@@ -51,8 +51,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     # Texts whose class of hashes none of the others has stay where they are; only the rest is shuffled.
     others = durable(others)
-    classes = F.broadcast(others.select(F.pmod("other_version", F.lit(SLOTS)).alias("slot")).distinct())
-    asked = F.pmod(version, F.lit(SLOTS)) == classes["slot"]
+    classes, asked = slots(others, "other_version"), in_slots("xxhash64(cast(text as string))")
     kept = docs.join(classes, asked, "left_semi").join(others, same(others), "left_anti").select(docs.columns)
     kept = docs.join(classes, asked, "left_anti").select(docs.columns).unionByName(kept)
     if repeated.isEmpty():

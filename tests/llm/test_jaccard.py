@@ -68,3 +68,38 @@ def test_checkpoints_are_deleted(spark):
     found = jaccard.near_duplicates(rows)
     left = [d for d in os.listdir(folder) if d not in before]
     assert len(left) <= 4 and {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_chance_meetings_are_not_sent_with_fine_counts(spark, monkeypatch):
+    """Unlike texts that share rare passages meet in boxes; their few coordinates part them, and only the rest is sent with more."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [(6 * i + j, f"{passages[i]} {passages[6 + j]}") for i in range(6) for j in range(6)]
+    rows += [(500 + i, edited(rng, rows[i][1].split(), 1)) for i in range(6)]
+    sent, visits = {}, jaccard._visits
+
+    def counted(rows, f, schema):
+        for c in {"coarse", "fine", "shingles"} & set(rows.columns):
+            sent[c] = rows.count()
+        return visits(rows, f, schema)
+
+    monkeypatch.setattr(jaccard, "_visits", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == classes(rows, 5, 80)
+    assert sent["fine"] < 0.2 * sent["coarse"]
+
+
+def test_texts_that_nobody_asks_for_stay(spark):
+    asked = spark.range(20_000).select(F.xxhash64("id").alias("version"))
+    others = spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("v"))
+    classes_of = jaccard.slots(asked, "version")
+    assert others.join(classes_of, jaccard.in_slots("v"), "left_semi").count() < 200  # 2,800 with 2 ** 17 classes
+    assert asked.join(classes_of, jaccard.in_slots("version"), "left_semi").count() == 20_000
+
+
+def test_workers_get_small_batches_of_texts(spark, monkeypatch):
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], Scratch.__call__
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Scratch, "__call__", lambda keep, df, texts=False: (seen.append(int(spark.conf.get(name))), written(keep, df, texts))[1])
+    jaccard.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))
+    assert seen and max(seen) <= 1024 and spark.conf.get(name) == before
