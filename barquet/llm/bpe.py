@@ -12,6 +12,7 @@ the vocabulary's pieces, a table whose size the tokenizer fixes, and puts the pi
 from __future__ import annotations
 
 import json
+import os
 from functools import cache
 
 import numpy as np
@@ -74,13 +75,19 @@ def read_tokenizer(path: str) -> str:
     return json.dumps(spec)
 
 
+@cache
+def _zstd(_process: int) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each per worker: to make them costs more than to pack a document."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Small numbers as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return _zstd(os.getpid())[0].compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_zstd(os.getpid())[1].decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 

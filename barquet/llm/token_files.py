@@ -356,7 +356,8 @@ class _Words(dict):
         """Numbers of letters, the new ones among them encoded."""
         new = [x for x in dict.fromkeys(letters) if x not in self.letters]
         for i in range(0, len(new), 1000):
-            ids = np.array(self._encode(" ".join(new[i : i + 1000])), np.uint32)
+            [found] = self.tokenizer.encode_batch_fast([" ".join(new[i : i + 1000])], add_special_tokens=False)  # without offsets, which nobody asks for
+            ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             self.letter_starts.extend(self.letter_ids.n + np.concatenate([[0], ends[:-1]]))
             self.letter_sizes.extend(np.diff(ends, prepend=0))
@@ -442,7 +443,7 @@ def encode_ordered(docs: DataFrame, path: str, end: int | None = None, part_byte
     def encoded(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, seen = _words(spec.value, end, most_words), {}
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             # Each word of a slice is looked up once; equal ones share its number.
             lists = pc.ascii_split_whitespace(batch["text"])
             found = lists.flatten().dictionary_encode()

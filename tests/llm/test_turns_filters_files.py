@@ -241,3 +241,17 @@ def test_token_query(spark):
         want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, queries.op13_token_files(spark, SMALL).collect())) == want
+
+
+def test_packing_makes_no_compressor_a_document(monkeypatch):
+    import zstandard
+
+    from barquet.llm import bpe
+
+    made, make = [], zstandard.ZstdCompressor
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda *a, **k: (made.append(1), make(*a, **k))[1])
+    monkeypatch.setattr(zstandard, "compress", lambda data, level: zstandard.ZstdCompressor(level=level).compress(data))
+    for n in (0, 1, 700):
+        ids = np.arange(n, dtype=np.uint32) * 60
+        assert (bpe._unpacked(bpe._packed(ids)) == ids).all()
+    assert len(made) <= 1
