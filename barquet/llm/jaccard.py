@@ -20,7 +20,7 @@ and for each point as many as tell unrelated texts of its size apart.
    the top down, pairs are left out by sizes and summed minima, and if all their points are in one part.
    In a pair of pages, pairs of points are, and what survives is verified on the shingles.
 
-Children with the same points are searched once. Equal sets are one point. All steps are exact but for
+In visits, points are first parted by their coordinates, then by finer counts. Children with the same points are searched once. Equal sets are one point. All steps are exact but for
 hashes: shingles and sets are told apart by 64 bits. The result doesn't depend on the size of pages.
 """
 
