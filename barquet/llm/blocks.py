@@ -23,6 +23,8 @@ from barquet.llm.common import WordHashes, pack, tidy, unpack
 REQUEST = "bucket int, block int, kind int, n long, keys binary, extra binary"
 ANSWER = "block int, bucket int, kind int, answer binary"
 BLOCK_BYTES = 8 << 20
+#: Words whose hashes a block remembers at a time.
+CACHED = 1 << 15
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -48,9 +50,13 @@ class Block:
         self.rows = rows.take(order) if order else rows
         self.ids = np.array([-(1 << 63) if ids[i] is None else ids[i] for i in order], np.int64)
         self.ties = np.array([ties[i] for i in order], np.uint16)
-        cache = WordHashes()
-        hashes = [cache.of(split(texts[i] or "")) for i in order]
-        del texts
+        cache, hashes = WordHashes(), []
+        for i in order:
+            hashes.append(cache.of(split(texts[i] or "")))
+            texts[i] = None
+            if len(cache) > CACHED:
+                cache.clear()
+        del texts, cache
         self.lengths = np.array([len(h) for h in hashes], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])

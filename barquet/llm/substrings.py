@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barquet.llm.blocks import BLOCK_BYTES, REQUEST, Block, answers, in_blocks, request, resolve, sent, tidied
+from barquet.llm.blocks import REQUEST, Block, answers, in_blocks, request, resolve, sent, tidied
 from barquet.llm.common import BASE_B, mixed, rolling
 
+#: Text of a block, of which a worker holds one with several arrays as long as its words, and blocks whose keys a bucket gets on average.
+BLOCK_BYTES, BUCKET_BLOCKS = 4 << 20, 2
+
 
 def _split(text: str) -> list[bytes]:
     return text.encode().split()  # bytes.split() knows just the six ASCII white-space characters
@@ -32,6 +35,7 @@ def _anchor_keys(b: Block, k: int, bits: int) -> tuple[np.ndarray, ...]:
     """Keys are hashes cut to ``bits``: they only choose what is compared in full. Of a block's rolling windows of ``k`` words: their starts, sorted distinct keys with the (at most 2) anchors of each, and each window's key and whether it is an anchor."""
     at = np.flatnonzero(b.whole(k))
     keys, inverse = np.unique(rolling(b.hashes, k)[at] >> np.uint64(64 - bits) << np.uint64(64 - bits), return_inverse=True)
+    inverse = inverse.astype(np.int32)
     anchor = (at - b.starts[b.doc[at]]) % k == 0
     count = np.minimum(np.bincount(inverse, anchor, len(keys)), 2).astype(np.uint8)
     return at, keys, count, inverse, anchor
@@ -94,15 +98,16 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
     dealt, n = in_blocks(docs, block_bytes)
+    buckets = -(-n // BUCKET_BLOCKS)
     slim, schema = dealt.select("block", "doc_id", "tie", "text"), T.StructType([*docs.schema, *_KEPT])
     bits = min(64, 38 + (n * block_bytes >> 10).bit_length() - 14)  # chance hits stay rare at any size
     groups, docs_columns = lambda df: df.groupBy("block"), docs.columns
 
     def ask_anchors(block: int, rows: pa.Table):
         _, keys, count, _, _ = _anchor_keys(Block(rows, _split), k, bits)
-        yield request(block, 1, keys, count, n)
+        yield request(block, 1, keys, count, buckets)
 
-    anchors = resolve(groups(slim).applyInArrow(sent(ask_anchors), REQUEST), n, "u1", _merge_anchors)
+    anchors = resolve(groups(slim).applyInArrow(sent(ask_anchors), REQUEST), buckets, "u1", _merge_anchors)
 
     def ask_windows(key: tuple[pa.Scalar, ...], rows: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(rows, _split)
@@ -110,10 +115,10 @@ def drop_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYT
         _, first, second, at, _ = _windows(b, window, answers(got, 1, np.uint8, len(found[1])), found)
         extra = np.empty(len(first), _WINDOW)
         extra["rest"], extra["doc"], extra["tie"] = second, b.ids[b.doc[at]], b.ties[b.doc[at]]
-        return pa.Table.from_batches([request(key[0].as_py(), 2, first, extra, n)])
+        return pa.Table.from_batches([request(key[0].as_py(), 2, first, extra, buckets)])
 
     asked = groups(slim).cogroup(groups(anchors.repartition(n, "block"))).applyInArrow(tidied(ask_windows), REQUEST)
-    firsts = resolve(asked, n, _WINDOW, _merge_windows)
+    firsts = resolve(asked, buckets, _WINDOW, _merge_windows)
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(rows, _split)
