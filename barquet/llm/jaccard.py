@@ -10,6 +10,8 @@ and for each point as many as tell unrelated texts of its size apart.
    children as the bound allows: groups are taken by rising mass until those left, summed, fall below
    the least overlap that a link needs. Two points without a common child have summed minima below it,
    so no link is lost; and what a third of all documents hold has a large mass and is hardly ever taken.
+   A child of two points is a pair, and none if their sizes are too unlike; others are cut into cells of alike
+   size, two for each point, so that sizes which allow a link share one. Below, cells stand for children.
 2. Each point of a child is compared with the child's first point: sizes and coordinates first, then
    shingles. That joins copies into parts with a number of comparisons in proportion to the entries.
    The first point's text is sent once for some hundred others, whatever number a child has.
@@ -26,6 +28,7 @@ hashes: shingles and sets are told apart by 64 bits. The result doesn't depend o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -39,6 +42,8 @@ from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
 GROUPS, MASSES, FINE_BITS = 64, 1 << 16, 48
+#: Coarse counts have groups of so many shingles on average, as a power of two: enough to part most unrelated texts of any length.
+COARSER = 2
 #: Classes of text hashes: texts whose class nobody asks for are not shuffled. A 64th of so many rows, words of bits, are broadcast at most.
 SLOTS = 1 << 24
 #: Points of a page at most on average, halvings of a branch at most (more pages than that are dealt by hash), and
@@ -71,9 +76,9 @@ def _points(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32).reshape(-1, GROUPS)
 
 
-def _fine_point(s: np.ndarray) -> np.ndarray:
-    """Counts in so many groups, a power of two, that a group has a shingle of the set at most on average."""
-    bits = min(24, max(GROUPS.bit_length() - 1, len(s).bit_length()))
+def _fine_point(s: np.ndarray, more: int = 0) -> np.ndarray:
+    """Counts in so many groups, a power of two, that a group has a shingle of the set at most on average, or 2 ** ``more``."""
+    bits = min(24, max(GROUPS.bit_length() - 1, len(s).bit_length() - more))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
@@ -179,6 +184,17 @@ def in_slots(version: str) -> Column:
     return (word == F.col("slot_word")) & (F.col("slot_bits").bitwiseAND(bit) != 0)
 
 
+def _cells(box: str, size: str, percent: int) -> Column:
+    """The two cells of a box that a point goes to: sizes of which the smaller is ``percent`` hundredths of the larger or more share one."""
+    n = F.floor(F.log(size) / math.log(100 / max(percent, 1) * (1 + 1e-9))).cast("long")  # a bit wider, so that rounding parts none
+    return F.array(F.xxhash64(box, n), F.xxhash64(box, n + 1))
+
+
+def _asked(points: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The points (id and ``columns``) whose class ``ids`` hold, so that few others are shuffled."""
+    return points.join(slots(ids, "id"), in_slots("id"), "left_semi").select("id", *columns)
+
+
 def _summed_minima(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
@@ -274,19 +290,20 @@ def _search(rows: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], Dat
         visited = rows.join(large, "box", "left_anti").withColumns(none).select(columns)
         visited = visited.unionByName(_page_pairs(rows.join(large, "box"), points, percent, page_shingles, keep).select(columns))
 
-    def survivors(rows: DataFrame, counts: str) -> DataFrame:
+    def survivors(rows: DataFrame, counted: DataFrame, counts: str) -> DataFrame:
         def survive(rows: pa.Table) -> pa.RecordBatch:
             found = _survivors(rows["size"].to_numpy(), rows[counts].to_pylist(), rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
             return pa.RecordBatch.from_struct_array(rows.select(columns).filter(pa.array(found)).to_struct_array().combine_chunks())
 
-        return keep(_visits(rows.join(points.select("id", counts), "id"), survive, ", ".join(f"{c} long" for c in columns)))
+        return keep(_visits(rows.join(counted, "id"), survive, ", ".join(f"{c} long" for c in columns)))
 
     def link(rows: pa.Table) -> pa.RecordBatch:
         found = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], rows["page"].to_numpy(), rows["part"].to_numpy(), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     # Chance meetings grow faster than the input, and coordinates part most of them: only what those leave is sent with the fine counts.
-    left = _once(survivors(survivors(visited, "coarse"), "fine").drop("size"), keep)
+    left = survivors(visited, points.select("id", "coarse"), "coarse")
+    left = _once(survivors(left, _asked(points, left, "fine"), "fine").drop("size"), keep)
     return _visits(left.join(fetch(left), "id"), link, "a long, b long")
 
 
@@ -319,7 +336,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
             masses += np.bincount(_mass_group(np.concatenate(sets)), minlength=MASSES)
             counts = _points(sets)
             points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(counts.ravel()))
-            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, [_coded(p) for p in counts], [_coded(_fine_point(s)) for s in sets], [None] * len(sets)]
+            coded = [[_coded(_fine_point(s, more)) for s in sets] for more in (COARSER, 0)]
+            cols = [batch["doc_id"], batch["version"], [len(s) for s in sets], [_id(s) for s in sets], points, *coded, [None] * len(sets)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None if t is not types[-1] else masses], t) for t in types], names=names)
 
@@ -335,28 +353,38 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
         """The root's children of each set, once a task: copies of a set are one point before anything is shuffled."""
         done: set[int] = set()
         for batch in slices(batches):
-            hashes, ids, children = WordHashes(), [], []
+            hashes, ids, sizes, children = WordHashes(), [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, words, hashes)
                 if len(s) and (i := _id(s)) not in done:
                     ids.append(i)
+                    sizes.append(len(s))
                     children.append(_children(s, sent.value, percent).view(np.int64))
             done.update(ids)
             if len(done) > 1 << 20:
                 done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(children, pa.list_(pa.int64()))], names=["id", "boxes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(children, pa.list_(pa.int64()))], names=["id", "size", "boxes"])
 
     # Written, as both the first points and the join need it. Spark aggregates before it shuffles, and in the join of written tables splits a box that many points share.
-    entered = keep(docs.select("text").mapInArrow(enter, "id long, boxes array<long>"), texts=True)
-    entries = entered.select("id", F.explode("boxes").alias("box"))
-    first = keep(entries.groupBy("box").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
-    live = keep(entries.join(first, "box").select("box", "id", "first").distinct())
-    keep.release(entered, first)
+    entered = keep(docs.select("text").mapInArrow(enter, "id long, size int, boxes array<long>"), texts=True)
+    entries = entered.select("id", "size", F.explode("boxes").alias("box"))
+    ends = [F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")]
+    first = entries.groupBy("box").agg(*ends, F.min("size").alias("low"), F.max("size").alias("high")).where("first < last")
+    # Two entries with different points are a pair, which is all that such a box can give, and none if their sizes are too unlike.
+    first = keep(first.where((F.col("n") > 2) | (100 * F.col("low") >= percent * F.col("high"))).select("box", "first", "last", "n"))
+    shared = keep(entries.join(first.where("n > 2").select("box"), "box").select("box", "id", "size").distinct())
+    # Boxes of more are cut into cells of alike size. A point goes to two, so that sizes which allow a link have one in common.
+    cells = shared.select("id", F.explode(_cells("box", "size", percent)).alias("box"))
+    cell = keep(cells.groupBy("box").agg(*ends).where("first < last"))
+    live = keep(cells.join(cell.where("n > 2").select("box", "first"), "box").select("box", "id", "first"))
+    met = first.unionByName(cell).where("n = 2").select(F.col("last").alias("id_a"), F.col("first").alias("id_b"))
+    met = keep(met.unionByName(live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b"))).distinct())
+    keep.release(entered, first, shared, cell)
 
     # Of each point that shares a box: a row with its text, its size and its coordinates.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("best")
     points = described.where("id is not null").groupBy("id").agg(best, F.first("n_shingles").alias("size"), F.first("point").alias("point"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
-    points = keep(points.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "coarse", "fine"))
+    points = keep(points.join(met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi").select("id", F.col("best.doc_id").alias("best_id"), F.col("best.version").alias("best_version"), "size", "point", "coarse", "fine"))
 
     def as_sets(batches):
         for batch in slices(batches):
@@ -378,8 +406,19 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
         return keep(texts_of(ids).mapInArrow(as_sets, "id long, shingles binary"), texts=True)
 
     boxed = points.select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.col("point").alias("most"))
-    pairs = live.where("id <> first").select(F.col("id").alias("id_a"), F.col("first").alias("id_b")).distinct()
-    pairs = keep(pairs.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
+    pairs = keep(met.join(_side(boxed, "a"), "id_a").join(_side(boxed, "b"), "id_b").where(_may_link(percent)).select("id_a", "id_b"))
+    keep.release(met)
+
+    def bounded(batches):
+        for batch in tidily(batches):
+            a, b = batch["coarse_a"].to_pylist(), batch["coarse_b"].to_pylist()
+            sizes = (batch["size_a"].to_numpy() + batch["size_b"].to_numpy()).tolist()
+            ok = [(100 + percent) * _fine_minima(_decoded(x), _decoded(y)) >= percent * n for x, y, n in zip(a, b, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id_a"], batch["id_b"]], names=["id_a", "id_b"]).filter(pa.array(ok, pa.bool_()))
+
+    # Only what coarse counts leave is sent with a text a pair.
+    counted = _asked(points, pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")), "size", "coarse")
+    pairs = keep(pairs.join(_side(counted, "a"), "id_a").join(_side(counted, "b"), "id_b").mapInArrow(bounded, "id_a long, id_b long"))
     leaves = texts_of(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
 
     def verify(batches):

@@ -7,9 +7,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from barquet.llm import substrings
+from barquet.llm import jaccard, substrings
 from barquet.llm.blocks import Block
+from barquet.llm.common import Scratch
+from tests.llm.test_cases import classes
 
 
 def test_a_block_of_repeats_is_small():
@@ -27,3 +30,35 @@ def test_a_block_of_repeats_is_small():
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert peak < 110
+
+
+def test_sizes_that_may_link_share_a_cell(spark):
+    for percent in (50, 80, 90, 100):
+        sizes = spark.range(1, 400).select(F.lit(7).cast("long").alias("box"), F.col("id").cast("int").alias("size"))
+        cells = sizes.select("size", F.explode(jaccard._cells("box", "size", percent)).alias("cell")).collect()
+        of = {}
+        for size, cell in cells:
+            of.setdefault(size, set()).add(cell)
+        assert all(of[a] & of[b] for b in of for a in of if a <= b and 100 * a >= percent * b)
+        assert not of[1] & of[399]
+
+
+def test_unlike_texts_with_a_rare_passage_meet_in_few_pairs(spark, monkeypatch):
+    """Unlike sizes don't meet at all, and of long unlike texts none is sent: 64 coordinates can't part those, coarse counts can."""
+    rng = random.Random(2)
+    words = [f"v{i}" for i in range(5000)]
+    rows = [(i, " ".join(["rare passage of seven words to share", *rng.choices(words, k=40 * 2 ** (i % 5))])) for i in range(30)]
+    rows += [(100 + i, " ".join(["long and rare passage of many words", *rng.choices(words, k=6000)])) for i in range(6)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(3)]
+    frames, written = [], Scratch.__call__
+
+    def kept(keep, df, texts=False):
+        out = written(keep, df, texts)
+        if out.columns == ["id_a", "id_b"]:
+            frames.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "__call__", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == classes(rows, 3, 90)
+    assert frames[-1] <= 6 and frames[0] < 100  # pairs whose texts are sent, and all that met
