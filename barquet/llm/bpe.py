@@ -131,13 +131,14 @@ class _Chunk:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["target", "kind", "chunk", "bucket", "docs", "sizes", "data", "more"])
 
 
-def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Token ids of every whole text: a row (doc_id, ids array<int>) per row of docs.
+def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES, texts: bool = False) -> DataFrame:
+    """Token ids of every whole text: a row (doc_id, ids array<int>) per row of docs, with ``texts`` also text, what ``decode`` makes of the ids.
 
     docs: doc_id and text; other columns are left out. A null or empty text has no ids. Special
     tokens are not added; where their strings stand in a text they are encoded as themselves.
     Repeated rows are encoded each. An empty table gives an empty one. path: a byte-level
     tokenizer file on the driver. part_bytes: text for each part of the table and of the result.
+    ``texts`` saves a second worker a task, which lives on with its memory when the task is over.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_tokenizer(path))
@@ -176,6 +177,7 @@ def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_byte
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["target", "chunk", "bucket", "data", "more"])
 
     def join_ids(key: tuple[pa.Scalar, ...], rows: pa.Table, known: pa.Table) -> pa.Table:
+        _cached_tokenizer.cache_clear()  # all words are encoded by now, and most workers that did it come here
         found: dict[int, list] = {}
         for row in known.to_pylist():
             found.setdefault(row["chunk"], []).append((row["bucket"], row["data"], row["more"]))
@@ -198,12 +200,17 @@ def encode(docs: DataFrame, path: str, part_bytes: int = BLOCK_BYTES, chunk_byte
             ends.extend((ends[-1] + tokens_end).tolist())
             docs_out.extend(row["docs"])
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
-        return pa.table({"doc_id": pa.array(docs_out, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        out = {"doc_id": pa.array(docs_out, pa.int64()), "ids": lists}
+        if texts:
+            pieces = _cached_pieces(spec.value)
+            out["text"] = pa.chunked_array([_texts(lists.slice(i, 256), pieces) for i in range(0, len(lists), 256)], pa.string())
+        return pa.table(out)
 
     # In a fixed order, so that a task that runs again after a lost executor makes the same chunks.
     sent = docs.sortWithinPartitions("doc_id", "text").mapInArrow(split, _SENT).repartition(n, "target")
     encoded = sent.groupBy("target").applyInArrow(tidied(encode_words), _ENCODED).repartition(n, "target")
-    return sent.groupBy("target").cogroup(encoded.groupBy("target")).applyInArrow(tidied(join_ids), "doc_id long, ids array<int>")
+    return sent.groupBy("target").cogroup(encoded.groupBy("target")).applyInArrow(tidied(join_ids), "doc_id long, ids array<int>" + ", text string" * texts)
 
 
 def _pieces(spec: str) -> list[bytes | None]:
@@ -218,6 +225,22 @@ def _pieces(spec: str) -> list[bytes | None]:
     return out
 
 
+@cache
+def _cached_pieces(spec: str) -> pa.Array:
+    """One per worker and specification, a few MB."""
+    return pa.array(_pieces(spec), pa.binary())
+
+
+def _texts(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """What lists of ids stand for."""
+    flat = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), flat, None)
+    got = pc.fill_null(pieces.take(known), b"")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), got), b"")
+    return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with ids array<int>) and text, what its ids stand for, special tokens included.
 
@@ -228,16 +251,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
 
     def join_pieces(batches):
-        table = pa.array(_pieces(spec.value), pa.binary())
+        pieces = _cached_pieces(spec.value)
         for batch in slices(batches):
-            lists = batch["ids"]
-            flat = lists.flatten()
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)
-            got = pc.fill_null(table.take(known), b"")
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), got), b"")
-            texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), texts], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), _texts(batch["ids"], pieces)], names=[*names, "text"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "text")
     return encoded.select(names).mapInArrow(join_pieces, f"{schema}, text string")

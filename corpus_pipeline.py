@@ -89,9 +89,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids stand for, of every document."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), texts=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -62,3 +62,15 @@ def test_unlike_texts_with_a_rare_passage_meet_in_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == classes(rows, 3, 90)
     assert frames[-1] <= 6 and frames[0] < 100  # pairs whose texts are sent, and all that met
+
+
+def test_token_ids_take_one_worker_a_task(spark):
+    """Idle workers keep their memory, and two Python steps in one task double their number."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"word{i} and <|endoftext|> {'é' * i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    found = corpus_pipeline.token_ids(spark, docs, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 - plan.count("ReusedExchange")  # the split of texts, which both sides of the join read
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert all(rows[r["doc_id"]]["text"] == r["text"] and len(rows[r["doc_id"]]["ids"]) == rows[r["doc_id"]]["n_tokens"] for r in docs.collect())
