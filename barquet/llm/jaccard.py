@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import Scratch, WordHashes, durable, few, rolling, runs, slices, small_batches, tidily
+from barquet.llm.common import Scratch, distinct, durable, few, rolling, runs, slices, small_batches, tidily, word_hashes
 from barquet.llm.components import components
 
 #: Coordinates of points and boxes below the root, groups in which the corpus is counted, and bits of a fine group.
@@ -55,12 +55,10 @@ _DESCRIBED = "doc_id long, version long, n_shingles long, id long, point array<i
 _LEAST = np.uint64(64 - FINE_BITS)
 
 
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles of ``text``; with fewer words, of all words as one."""
-    words = (text or "").encode().lower().split()
-    if len(words) < k:
-        return rolling(hashes.of(words), len(words)) if words else np.zeros(0, np.uint64)
-    return np.unique(rolling(hashes.of(words), k))
+    words = word_hashes((text or "").encode().lower())
+    return distinct(rolling(words, min(k, len(words)))) if len(words) else words
 
 
 def _id(s: np.ndarray) -> int | None:
@@ -112,7 +110,7 @@ def _least_overlap(n: int, percent: int) -> int:
 def _children(s: np.ndarray, masses: np.ndarray, percent: int) -> np.ndarray:
     """Fine groups in order of mass, until the counts of those left sum to less than the least overlap."""
     order = np.argsort(masses[_mass_group(s)], kind="stable")
-    return np.unique(s[order[: len(s) - _least_overlap(len(s), percent) + 1]] >> _LEAST)
+    return distinct(s[order[: len(s) - _least_overlap(len(s), percent) + 1]] >> _LEAST)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -331,8 +329,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
         names, masses = ["doc_id", "version", "n_shingles", "id", "point", "coarse", "fine", "masses"], np.zeros(MASSES, np.int64)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for batch in slices(batches):
-            hashes = WordHashes()
-            sets = [shingles(t, words, hashes) for t in batch["text"].to_pylist()]
+            sets = [shingles(t, words) for t in batch["text"].to_pylist()]
             masses += np.bincount(_mass_group(np.concatenate(sets)), minlength=MASSES)
             counts = _points(sets)
             points = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(counts.ravel()))
@@ -353,9 +350,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
         """The root's children of each set, once a task: copies of a set are one point before anything is shuffled."""
         done: set[int] = set()
         for batch in slices(batches):
-            hashes, ids, sizes, children = WordHashes(), [], [], []
+            ids, sizes, children = [], [], []
             for text in batch["text"].to_pylist():
-                s = shingles(text, words, hashes)
+                s = shingles(text, words)
                 if len(s) and (i := _id(s)) not in done:
                     ids.append(i)
                     sizes.append(len(s))
@@ -388,8 +385,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
 
     def as_sets(batches):
         for batch in slices(batches):
-            hashes = WordHashes()
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t, words, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t, words).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "shingles"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """A text of each point: id, text. It is about half as large as the set."""
@@ -424,9 +420,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, page_shingles: i
     def verify(batches):
         b = None  # the set of the run's first text, in a row without id_a before the others
         for batch in slices(batches):
-            hashes, linked = WordHashes(), []
+            linked = []
             for i, id_a in enumerate(batch["id_a"].to_pylist()):  # texts one by one: a slice may hold long ones
-                s = shingles(batch["text"][i].as_py(), words, hashes)
+                s = shingles(batch["text"][i].as_py(), words)
                 if id_a is None:
                     b = s
                 linked.append(id_a is not None and _linked(s, b, percent))

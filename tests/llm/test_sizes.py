@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barquet.llm import jaccard, substrings
 from barquet.llm.blocks import Block
-from barquet.llm.common import Scratch
+from barquet.llm.common import Scratch, durable, word_hashes
 from tests.llm.test_cases import classes
 
 
@@ -74,3 +76,30 @@ def test_token_ids_take_one_worker_a_task(spark):
     assert plan.count("MapInArrow") == 2 - plan.count("ReusedExchange")  # the split of texts, which both sides of the join read
     rows = {r["doc_id"]: r for r in found.collect()}
     assert all(rows[r["doc_id"]]["text"] == r["text"] and len(rows[r["doc_id"]]["ids"]) == rows[r["doc_id"]]["n_tokens"] for r in docs.collect())
+
+
+def test_shuffle_files_go_when_a_table_is_durable(spark):
+    env = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.split("_")[1] for d in env.localDirsString() for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+    before, df = shuffled(), spark.range(1000).repartition(3, "id")
+    kept = durable(df.groupBy((F.col("id") % 7).alias("m")).count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert sorted(r["count"] for r in kept.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_words_are_hashed_without_being_made():
+    texts = [b"", b" ", b"a", b" b\x0bc\x1cd ", b"ab ba abba baab", b"q" * 64 + b" " + b"q" * 65 + b" " + b"q" * 300, b"x yz " * 40_000, b" " * 200_000 + b"end", b"\0 \0\0", "é ü ÿ".encode()]
+    rng, known = random.Random(3), {}
+    texts += [bytes(rng.choices(range(256), k=rng.randrange(3000))) for _ in range(20)]
+    for text in texts:
+        words, hashes = text.split(), word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(known.values())) == len(known)
